@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, decontamination, simhash
 
 QUERIES = {
     "op2_bpe": lambda spark, d: bpe.op2_bpe(spark, d),
+    "op5_decontamination": decontamination.op5_decontamination,
     "op8_simhash": simhash.op8_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.SQL,
+}
