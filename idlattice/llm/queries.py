@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_rules, simhash
+from . import bpe, decontamination, quality_rules, simhash, warc
 
 QUERIES = {
     "op2_bpe": lambda spark, d: bpe.op2_bpe(spark, d),
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_decontamination": decontamination.op5_decontamination,
     "op8_simhash": simhash.op8_simhash,
+    "op9_warc": warc.op9_warc,
 }
 
 SQL: dict[str, str] = {
     "op5_decontamination": decontamination.SQL,
+    "op9_warc": warc.SQL,
 }
