@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, quality_rules, simhash, warc
+from . import bpe, decontamination, quality_rules, simhash, substring_dedup, warc
 
 QUERIES = {
     "op2_bpe": lambda spark, d: bpe.op2_bpe(spark, d),
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
