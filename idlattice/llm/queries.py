@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, quality_rules, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontamination, html_text, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op2_bpe": lambda spark, d: bpe.op2_bpe(spark, d),
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,

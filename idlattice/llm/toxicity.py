@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .shared import held_out, in_train, table
 
 #: Bounds of the training sample: documents of either label, and characters of each that are used to fit (never to score).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
 #: A word or prefix marks toxic tokens if in this many toxic documents, and this many times as frequent there as in others.
 SUPPORT, LIFT = 5, 50
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6)
 BITS, MOST_CHAIN, MEMORY = 18, 64, 400_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 FINAL = (".", "!", "?", "…", "。")
@@ -150,31 +150,32 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.3
         return hit_memory[token]
 
     yes, no = [], []
-    for t, y in zip(texts, toxic, strict=True):
+    for n, (t, y) in enumerate(zip(texts, toxic, strict=True)):
         tokens = t.split()
         if not tokens:
             continue
         starts = chains(np.array([x.endswith(FINAL) for x in tokens]), np.array([len(tokens)])).tolist()
         for a, b in zip(starts, [*starts[1:], len(tokens)], strict=True):
-            truth = [y and marked(x) for x in tokens[a:b]]
-            (yes if any(truth) else no).append((tokens[a:b], truth))
-    for k in rng.permutation(len(no))[: max(2000, 5 * len(yes))].tolist():
-        yes.append(no[k])
-    data = []
-    for tokens, truth in yes:
-        rows = [own_features(x) for x in tokens]
-        for k in range(len(tokens)):
-            rows[k] += ([near_feature(tokens[k - 1], "before")] if k else []) + ([near_feature(tokens[k + 1], "after")] if k + 1 < len(tokens) else [])
-        data.append((rows, np.array(truth, float)))
+            (yes if y and any(map(marked, tokens[a:b])) else no).append((n, a, b))
+    chosen = sorted(yes + [no[k] for k in rng.permutation(len(no))[: max(2000, 5 * len(yes))].tolist()])
+    data, tokens, last = [], [], -1
+    for n, a, b in chosen:
+        if n != last:
+            tokens, last = texts[n].split(), n
+        rows = [own_features(x) for x in tokens[a:b]]
+        for k in range(b - a):
+            rows[k] += ([near_feature(tokens[a + k - 1], "before")] if k else []) + ([near_feature(tokens[a + k + 1], "after")] if a + k + 1 < b else [])
+        sizes = np.fromiter(map(len, rows), np.int16, len(rows))
+        data.append((np.fromiter(chain.from_iterable(rows), np.int32), sizes, np.array([toxic[n] and marked(x) for x in tokens[a:b]], float)))
     by_size: dict[int, list] = {}
-    for rows, truth in data:
-        by_size.setdefault(len(rows), []).append((rows, truth))
-    packs = [(size, own[k : k + 256]) for size, own in by_size.items() for k in range(0, len(own), 256)]
+    for one in data:
+        by_size.setdefault(len(one[1]), []).append(one)
     packed = []
-    for size, own in packs:
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(r for r, _ in own)), np.int64)
-        of = np.repeat(np.arange(len(own) * size), [len(x) for r, _ in own for x in r])
-        packed.append((size, flat, of, np.array([t for _, t in own])))
+    for size, own in by_size.items():
+        for k in range(0, len(own), 256):
+            part = own[k : k + 256]
+            of = np.repeat(np.arange(len(part) * size), np.concatenate([x[1] for x in part]))
+            packed.append((size, np.concatenate([x[0] for x in part]), of, np.array([x[2] for x in part])))
     seen_w, seen_b, seen_m = np.full(1 << BITS, 1e-2), 1e-2, np.full((2, 2), 1e-2)
     for _ in range(epochs):
         for k in rng.permutation(len(packed)).tolist():
