@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontamination, html_text, language_id, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_bpe": lambda spark, d: bpe.op2_bpe(spark, d),
     "op3_html_extraction": html_text.op3_html_extraction,
     "op4_quality_rules": quality_rules.op4_quality_rules,
