@@ -14,6 +14,7 @@ from ..operators.fraud import signals
 from ..operators.merge import with_overrides
 from ..operators.scoring import THRESHOLDS, scores
 from ..operators.validate import validate
+from .storage import stored
 
 
 @dataclass
@@ -35,14 +36,15 @@ def process_classification(docs: DataFrame, as_of: str) -> tuple[DataFrame, Data
 def process_verification(typed: DataFrame, as_of: str, overrides: DataFrame | None = None, thresholds: dict[str, float] = THRESHOLDS) -> Verified:
     """Fields, findings and verdicts of documents with a known type; the others are rejected.
 
-    Every part is keyed by doc_id: one partitioning serves all joins. Callers that use
-    several parts should write typed and the fields once and read them back.
+    Classified documents, fields and findings are each written once and read back; all are
+    keyed by doc_id.
     """
     if overrides is not None:
         typed = with_overrides(typed, overrides)
+    typed = stored(typed, "typed")
     known = typed.where(F.col("document_type") != "UNKNOWN")
-    fields = extract(known, as_of)
-    checked = validate(fields, as_of)
-    marks = signals(known, fields)
+    fields = stored(extract(known, as_of), "fields")
+    checked = stored(validate(fields, as_of), "validations")
+    marks = stored(signals(known, fields), "signals")
     numbers = features(known, fields, checked, marks)
     return Verified(fields, checked, marks, numbers, scores(known, numbers, fields, checked, marks, thresholds), typed.where(F.col("document_type") == "UNKNOWN"))
