@@ -19,6 +19,8 @@ N = 10
 #: n-grams that are broadcast, and anchors that are put into the scan's filter, at most; beyond, windows and n-grams are joined by a shuffle.
 MOST_GRAMS, MOST_ANCHORS = 200_000, 50_000
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+#: The same before lower-casing.
+RAW_SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 
 def lowered(text: Column) -> Column:
@@ -117,9 +119,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", text:
     own = "".join(docs.columns) + "_"  # clashes with no column
     cuts = found.select(F.col(key).alias(own + "k"), F.col("text_hash").alias(own + "h"), covered(F.col("spans")).alias(own + "c"))
     joined = docs.join(cuts, F.col(key).eqNullSafe(F.col(own + "k")) & (F.xxhash64(text) == F.col(own + "h")), "left")
-    parts = F.regexp_extract_all(text, F.lit(f"[^{SEPARATORS}]+[{SEPARATORS}]*"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(f"[^{RAW_SEPARATORS}]+[{RAW_SEPARATORS}]*"), F.lit(0))
     rest = F.filter(F.transform(parts, lambda p, i: F.when(~F.array_contains(own + "c", i), p)), lambda p: p.isNotNull())
-    cut = F.concat(F.regexp_extract(text, f"^[{SEPARATORS}]*", 0), F.array_join(rest, ""))
+    cut = F.concat(F.regexp_extract(text, f"^[{RAW_SEPARATORS}]*", 0), F.array_join(rest, ""))
     return joined.withColumn(text, F.when(F.col(own + "c").isNotNull(), cut).otherwise(F.col(text))).select(*docs.columns)
 
 
