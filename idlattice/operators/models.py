@@ -82,7 +82,8 @@ def train(data: DataFrame, target: str, seed: int = 42) -> tuple[PipelineModel,
     """Trees and calibration for one target, with accuracy, threshold and score statistics on test rows."""
     label = f"y_{target}"
     ready = VectorAssembler(inputCols=NAMES, outputCol="x").transform(features_for(parts(data, label, seed), target)).select("id", "part", "x", label).cache()
-    trees = GBTClassifier(featuresCol="x", labelCol=label, maxIter=50, maxDepth=4, stepSize=0.08, seed=seed, rawPredictionCol="margin", probabilityCol="tree_p", predictionCol="tree_y").fit(ready.where("part = 0"))
+    boosting = GBTClassifier(featuresCol="x", labelCol=label, maxIter=50, maxDepth=4, stepSize=0.08, seed=seed, predictionCol="tree_y")
+    trees = boosting.setRawPredictionCol("margin").setProbabilityCol("tree_p").fit(ready.where("part = 0"))
     platt = LogisticRegression(featuresCol="margin", labelCol=label, regParam=0.0, rawPredictionCol="raw", probabilityCol="p", predictionCol="y").fit(trees.transform(ready.where("part = 1")))
     model = PipelineModel([VectorAssembler(inputCols=NAMES, outputCol="x"), trees, platt])
     tested = platt.transform(trees.transform(ready.where("part = 2"))).select(F.col(label).cast("int").alias(label), vector_to_array("p")[1].alias("p")).cache()
