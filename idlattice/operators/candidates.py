@@ -99,8 +99,7 @@ def none() -> Column:
 
 def first_of_each(cands: Column, key=lambda c: c["text"]) -> Column:
     """Keeps the first candidate of each text."""
-    keys = F.transform(cands, key)
-    return F.filter(cands, lambda c, i: F.array_position(keys, key(c)) == i + 1)
+    return let(cands, lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda c, i: F.array_position(keys, key(c)) == i + 1)))
 
 
 def field_confidence(value: Column, words: Column) -> Column:

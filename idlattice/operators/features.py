@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.scores import ratio
 from ..functions.text import text_or_empty
 from .classify import TYPES, by_format, by_keywords, by_layout
@@ -35,14 +36,11 @@ COUNTS = {
 
 def deviation(values: Column) -> Column:
     """Population standard deviation of an array, 0 for none."""
-    m = mean(values, 0.0)
-    return F.sqrt(mean(F.transform(values, lambda x: (x - m) * (x - m)), 0.0))
+    return let(values, lambda v: let(mean(v, 0.0), lambda m: F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m)), 0.0))))
 
 
 def median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2
+    return let(F.array_sort(values), lambda v: (F.get(v, ((F.size(v) - 1) / 2).cast("int")) + F.get(v, (F.size(v) / 2).cast("int"))) / 2)
 
 
 def text_features(docs: DataFrame) -> DataFrame:

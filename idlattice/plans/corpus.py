@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.checksum import dihedral_table, permutation_table
 from ..functions.text import lines, tokens
 
@@ -105,13 +106,16 @@ FROM (
 
 def with_words(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds word_map: word i of line j at left 12 x its place in the line, top 40 j + 10, 12 wide a letter, 20 high."""
-    split = F.transform(lines(F.col(text)), lambda line, j: F.transform(tokens(line), lambda w, i: F.struct(line.alias("line"), w.alias("w"), i.alias("i"), j.alias("j"))))
-    before = lambda x: F.length(F.array_join(F.slice(tokens(x["line"]), F.lit(1), x["i"]), " ")) + F.when(x["i"] > 0, 1).otherwise(0)
+
+    def of_line(line, j):
+        place = lambda ws, i: F.length(F.array_join(F.slice(ws, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
+        return let(tokens(line), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), (place(ws, i) * 12).cast("int").alias("left"), (j * 40 + 10).cast("int").alias("top"))))
+
     box = lambda x, n: F.struct(
-        x["w"].alias("text"), (before(x) * 12).cast("int").alias("left"), (x["j"] * 40 + 10).cast("int").alias("top"), (F.length(x["w"]) * 12).cast("int").alias("width"), F.lit(20).alias("height"),
+        x["w"].alias("text"), x["left"].alias("left"), x["top"].alias("top"), (F.length(x["w"]) * 12).cast("int").alias("width"), F.lit(20).alias("height"),
         ((50 + (F.col("k") * 31 + n * 7) % 50) / 100).cast("double").alias("conf"),
     )
-    return docs.withColumn("word_map", F.transform(F.flatten(split), box))
+    return docs.withColumn("word_map", F.transform(F.flatten(F.transform(lines(F.col(text)), of_line)), box))
 
 
 #: The same words as rows, over a table c made by corpus_sql(Duck).
