@@ -109,10 +109,11 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         before = (seen["n"], seen["h"])
         # Large star: each node's greater neighbours go to its least neighbour (itself included).
         around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Least neighbours are written first: only a join whose two sides are plain shuffles can be split at a hub.
+        least = materialise(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), tag)
+        large = materialise(around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), tag)
         # Small star: each node and its lesser neighbours go to the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         now = materialise(small, tag)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
