@@ -7,10 +7,18 @@ first are repeats; runs of repeats with enough words are cut out of the document
 
 Bands: with 2 rows in 10 bands a pair at similarity 0.8 is missed with probability
 (1 - 0.8 ** 2) ** 10, less than 4 in 100,000.
+
+Passages that don't fill lines: all overlapping windows of 20 words, inside and across
+lines, are paragraphs too, compared exactly. A window's anchor is the least hash of its
+8-word parts, so equal windows have equal anchors, and only those with an anchor that
+occurs again are looked at. Consecutive windows of one anchor are a block. A block that
+a lesser key has repeats as a whole; of the others only those with an anchor that has
+several different blocks are split into windows. None that repeats is left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +31,14 @@ from .shared import by_ids, components, materialise, sorted_groups, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 2, 10
+#: Words of a window, and of the parts of which the least hash is its anchor.
+WINDOW, PART = 20, 8
 #: Words of a run of repeats that is cut out, at least.
 RUN_WORDS = 30
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 2000
 WHITE = b" \t\n\r\x0b\x0c"
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 KEYS = [f"k{b}" for b in range(BANDS)]
 
 
@@ -35,6 +46,7 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed) | 1 for k in range(n)], np.uint64)
 
 
+PLACES = _odd(4, WINDOW)
 PLACE, PERM, SALT = _odd(1, SHINGLE), _odd(2, ROWS * BANDS), _odd(3, ROWS * BANDS)
 
 
@@ -72,13 +84,54 @@ def sketches(word_hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def paragraphs(text: bytes) -> list[list[bytes]]:
+def lines(text: bytes) -> list[list[bytes]]:
     """Lower-cased (A-Z) words of each line; lines without a word give an empty list."""
     return [line.split() for line in text.lower().split(b"\n")]
 
 
+def spread(word_hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    count = max(len(word_hashes) - n + 1, 0)
+    sums = np.zeros(count, np.uint64)
+    for k in range(n if count else 0):
+        sums += word_hashes[k : k + count] * PLACES[k]
+    return mixed(sums)
+
+
+def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Identity (signed) and anchor (signed) of each overlapping window of the words."""
+    if len(words) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    parts = spread(hashes, PART)
+    count = len(words) - WINDOW + 1
+    low = parts[:count].copy()
+    for k in range(1, WINDOW - PART + 1):
+        np.minimum(low, parts[k : k + count], out=low)
+    return spread(hashes, WINDOW).view(np.int64), (low & np.uint64((1 << 40) - 1)).view(np.int64)
+
+
+def blocks(ids: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the runs of windows with one anchor begin, their lengths, and an identity of each (signed)."""
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+    sizes = np.diff(np.append(heads, len(ids)))
+    # the order of the windows counts: first and last are mixed in
+    sums = np.add.reduceat(mixed(ids.view(np.uint64)), heads)
+    ends = ids.view(np.uint64)[heads] * PLACES[0] + ids.view(np.uint64)[heads + sizes - 1] * PLACES[1]
+    return heads, sizes, mixed(sums * PLACES[2] + mixed(ends)).view(np.int64)
+
+
+def paragraphs(text: bytes) -> list[list[bytes]]:
+    """The words of each line, then each window as one word: a line feed, which no word of a text has, and its identity."""
+    return lines(text) + [[b"\n%d" % h] for h in windows(text.lower().split())[0].tolist()]
+
+
 def identity(words: list[bytes]) -> int:
     """64-bit identity of a paragraph, as a signed number; equal for equal words."""
+    if words[0].startswith(b"\n"):
+        return int(words[0])
     h = xxhash.xxh3_64_intdigest(b" ".join(words))
     return h - (1 << 64) if h >> 63 else h
 
@@ -88,7 +141,7 @@ def occurrences(docs: DataFrame, text: str, key: str) -> DataFrame:
     word_hash = xxhash.xxh3_64_intdigest
 
     def sketch(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-        found = [[p for p in paragraphs(t) if p] for t in texts]
+        found = [[p for p in lines(t) if p] for t in texts]
         of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
         flat = [p for f in found for p in f]
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
@@ -184,7 +237,7 @@ def links(docs: DataFrame, met: DataFrame, text: str, similarity: float) -> Data
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 400):
-                found = {identity(p): b" ".join(p) for t in whole.slice(k, 400).column(0).cast(pa.binary()).to_pylist() if t for p in paragraphs(t) if len(p) >= SHINGLE}
+                found = {identity(p): b" ".join(p) for t in whole.slice(k, 400).column(0).cast(pa.binary()).to_pylist() if t for p in lines(t) if len(p) >= SHINGLE}
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["ph", "words"])
 
     texts = by_ids(docs.select(text).mapInArrow(own, "ph bigint, words binary"), wanted, "ph", "left_semi").dropDuplicates(["ph"])
@@ -223,13 +276,110 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     return rows.groupBy(key).agg(F.collect_set(F.struct("ph", "cluster", (F.col(key) == F.col("least")).alias("first"))).alias("repeats"))
 
 
-def cut(text: bytes, known: dict[int, tuple[int, bool]], run_words: int) -> tuple[bytes, list[int], int, int]:
-    """The text without its runs of repeats, the lines cut, the words cut, and its paragraphs.
-
-    Repeats shorter than a shingle only bridge a run, they neither begin nor end it.
+def windows_again(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, blocks, again): the blocks and the single windows of each document that a lesser
+    key has. Documents with neither and without an anchor in two places are left out."""
+    kind = docs.schema[key].dataType.simpleString()
+    keyed = docs.where(F.col(key).isNotNull()).select(key, text)
+
+    def rows_of(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *[pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]], [key, *names])
+
+    def each(names, one):
+        """mapInArrow's function: one gives arrays of equal length for a text and what else is in its row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for k in range(0, whole.num_rows, 200):
+                    batch = whole.slice(k, 200)
+                    texts = batch.column(1).cast(pa.binary()).to_pylist()
+                    more = batch.column(2) if batch.num_columns > 2 else texts
+                    yield rows_of(batch, [one(*windows((t or b"").lower().split()), m) for t, m in zip(texts, more, strict=True)], names)
+
+        return run
+
+    def anchors(ids, low, _):
+        """Distinct anchors with 1, or 2 for more than one place; a place is in WINDOW - PART + 1 windows at most."""
+        heads, sizes, _ = blocks(ids, low)
+        values, n = np.unique(np.repeat(low[heads], 1 + (sizes > WINDOW - PART + 1)), return_counts=True)
+        return values, np.minimum(n, 2).astype(np.int8)
+
+    def some_blocks(ids, low, wanted):
+        heads, _, names = blocks(ids, low)
+        own = np.isin(low[heads], wanted.values.to_numpy())
+        names, at = np.unique(names[own], return_index=True)
+        return low[heads][own][at], names
+
+    def some_windows(ids, low, wanted):
+        _, sizes, names = blocks(ids, low)
+        own = np.repeat(np.isin(names, wanted.values.to_numpy()), sizes)
+        wh = np.unique(ids[own])
+        return (wh,)
+
+    all_anchors = materialise(keyed.mapInArrow(each(["anchor", "n"], anchors), f"`{key}` {kind}, anchor bigint, n tinyint"), "dedup-anchors")
+    # Aggregates are written first: only a join whose two sides are plain shuffles can be split at a hub.
+    often = materialise(all_anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "dedup-often")
+    met = materialise(all_anchors.join(often, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("_wanted"), F.max("n").alias("n")), "dedup-met")
+    found = materialise(keyed.join(met.select(key, "_wanted"), key).mapInArrow(each(["anchor", "block"], some_blocks), f"`{key}` {kind}, anchor bigint, block bigint"), "dedup-blocks")
+    firsts = materialise(found.groupBy("anchor", "block").agg(F.min(key).alias("least")), "dedup-firsts")
+    split = materialise(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "dedup-split")
+    again = found.join(firsts.select("block", "least"), "block").where(F.col(key) > F.col("least")).select(key, "block", F.lit(None).cast("bigint").alias("wh"))
+    asked = firsts.join(split, "anchor").groupBy(F.col("least").alias(key)).agg(F.collect_set("block").alias("_wanted"))
+    written = materialise(keyed.join(asked, key).mapInArrow(each(["wh"], some_windows), f"`{key}` {kind}, wh bigint"), "dedup-windows")
+    low = materialise(written.groupBy("wh").agg(F.min(key).alias("least"), F.count("*").alias("total")).where("total > 1").select("wh", "least"), "dedup-least")
+    single = written.join(low, "wh").where(F.col(key) > F.col("least")).select(key, F.lit(None).cast("bigint").alias("block"), "wh")
+    twice = met.where("n > 1").select(key, F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("wh"))
+    return again.unionByName(single).unionByName(twice).groupBy(key).agg(F.collect_set("block").alias("blocks"), F.collect_set("wh").alias("again"))
+
+
+def window_marks(words: list[bytes], known: dict[int, tuple[int, bool]]) -> np.ndarray:
+    """True for each word in a window that repeats another.
+
+    Of a document's own windows the first place stays. A window of few different words
+    doesn't repeat its own document, nor does one that overlaps its first place.
     """
-    lines, kinds, sizes, seen = text.split(b"\n"), [], [], set()
-    for words in paragraphs(text):
+    ids = windows(words)[0]
+    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+    again = np.isin(ids, np.array([h for h, (_, least) in known.items() if not least], np.int64))
+    for k in np.flatnonzero(~again & (np.arange(len(ids)) - first[of] >= WINDOW)).tolist():
+        again[k] = len(set(words[k : k + WINDOW])) > WINDOW // 2
+    step = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(again)
+    step[at] += 1
+    step[at + WINDOW] -= 1
+    return np.cumsum(step)[:-1] > 0
+
+
+def spans(marks: np.ndarray, starts: np.ndarray, run_words: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Runs of marked words, of run_words at least.
+
+    A gap shorter than a shingle is bridged if the run's shingles keep the similarity
+    (a changed word inside a passage) and no whole line lies in it.
+    starts: the first word of each line that has one."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
+    runs: list[list[int]] = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        same = max(b - a - SHINGLE + 1, 0)
+        if runs and a - runs[-1][1] < SHINGLE:
+            whole, both = b - runs[-1][0] - SHINGLE + 1, runs[-1][2] + same
+            in_gap = np.searchsorted(starts, [runs[-1][1], a], "left")
+            inside = in_gap[1] - in_gap[0] + (in_gap[1] < len(starts) and starts[in_gap[1]] == a)
+            if both >= similarity * (2 * whole - both) and inside < 2:
+                runs[-1][1:] = [b, both]
+                continue
+        runs.append([a, b, same])
+    return [(a, b) for a, b, _ in runs if b - a >= run_words]
+
+
+def cut(text: bytes, known: dict[int, tuple[int, bool]], run_words: int, inside: bool = True) -> tuple[bytes, list[int], int, int]:
+    """The text without its runs of repeats, the lines cut whole, the words cut, and its lines with a word.
+
+    Repeated lines shorter than a shingle only bridge a run of lines, they neither begin nor end it.
+    inside: False if no window of the text repeats, which saves the search for them.
+    """
+    raw, kinds, sizes, seen = text.split(b"\n"), [], [], set()
+    for words in lines(text):
         again = False
         if words and (hit := known.get(identity(words))) is not None:
             again = not hit[1] or hit[0] in seen
@@ -250,33 +400,65 @@ def cut(text: bytes, known: dict[int, tuple[int, bool]], run_words: int) -> tupl
             gone += range(k, end + 1)
         k = end + 1
     out = {*gone}
-    return b"\n".join([x for i, x in enumerate(lines) if i not in out]), gone, sum(sizes[i] for i in gone), sum(s > 0 for s in sizes)
+    starts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    marks = window_marks(text.lower().split(), known) if inside else np.zeros(starts[-1], bool)
+    drop = np.zeros(len(marks), bool)
+    if marks.any():
+        for i, kind in enumerate(kinds):
+            if kind == "r" or i in out:
+                marks[starts[i] : starts[i + 1]] = True
+        for a, b in spans(marks, np.array([x for x, n in zip(starts, sizes, strict=False) if n]), run_words):
+            drop[a:b] = True
+    for i in out:
+        drop[starts[i] : starts[i + 1]] = True
+    kept = []
+    for i, line in enumerate(raw):
+        own = drop[starts[i] : starts[i + 1]]
+        if i in out or (len(own) and own.all()):
+            out.add(i)
+        elif own.any():
+            at = [m.start() for m in WORD.finditer(line)] + [len(line)]
+            pieces = [line[: at[0]]] + [line[at[j] : at[j + 1]] for j in range(len(own)) if not own[j]]
+            kept.append(b"".join(pieces).rstrip(WHITE) if own[-1] else b"".join(pieces))
+        else:
+            kept.append(line)
+    return b"\n".join(kept), sorted(out), int(drop.sum()), sum(s > 0 for s in sizes)
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, run_words: int = RUN_WORDS, report: bool = False) -> DataFrame:
     """The documents with repeated passages cut out of text; other columns stay as they are.
 
-    report: also n_paragraphs, n_removed, n_words_removed and removed (the numbers of the
-    lines cut). The first document in the order of keys keeps a passage, the first place
+    Spans of words are cut, lines that lose all their words go.
+
+    report: also n_paragraphs, n_removed, n_words_removed (of all spans) and removed (the
+    numbers of the lines cut whole). The first document in the order of keys keeps a passage, the first place
     in it if it has several. Null texts stay null. Rows with a null key stay as they are
     and repeat nothing; rows of the same key are taken for one document.
     """
     own = "_" + "".join(docs.columns)  # clashes with no column
     lists = repeats(docs, text, key, similarity).select(F.col(key).alias(own + "k"), F.col("repeats").alias(own + "r"))
-    joined = docs.join(lists, F.col(key) == F.col(own + "k"), "left").drop(own + "k")
+    again = windows_again(docs, text, key).select(F.col(key).alias(own + "l"), F.col("blocks").alias(own + "b"), F.col("again").alias(own + "w"))
+    both = lists.join(again, F.col(own + "k") == F.col(own + "l"), "full").select(F.coalesce(own + "k", own + "l").alias(own + "k"), own + "r", own + "b", own + "w")
+    joined = docs.join(both, F.col(key) == F.col(own + "k"), "left").drop(own + "k")
     fields, at = docs.schema.fields, docs.columns.index(text)
     extra = ["n_paragraphs", "n_removed", "n_words_removed", "removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rest = [], []
-            known_rows = batch.column(len(fields)).to_pylist()
-            for t, known in zip(batch.column(at).cast(pa.binary()).to_pylist(), known_rows, strict=True):
-                if t is None or not known:
+            known_rows = [batch.column(len(fields) + k).to_pylist() for k in range(3)]
+            for t, known, whole, single in zip(batch.column(at).cast(pa.binary()).to_pylist(), *known_rows, strict=True):
+                if t is None or (not known and whole is None):
                     texts.append(t)
                     rest.append((sum(bool(x.strip(WHITE)) for x in (t or b"").split(b"\n")), 0, 0, []))
                     continue
-                new, gone, words, n = cut(t, {x["ph"]: (x["cluster"], x["first"]) for x in known}, run_words)
+                held = {x["ph"]: (x["cluster"], x["first"]) for x in known or ()}
+                if whole:
+                    ids, low = windows(t.lower().split())
+                    _, sizes, names = blocks(ids, low)
+                    held |= {h: (h, False) for h in ids[np.repeat(np.isin(names, np.array(whole, np.int64)), sizes)].tolist()}
+                held |= {h: (h, False) for h in single or ()}
+                new, gone, words, n = cut(t, held, run_words, whole is not None)
                 texts.append(new)
                 rest.append((n, len(gone), words, gone))
             columns = list(batch.columns[: len(fields)])

@@ -129,3 +129,47 @@ def test_edges_of_the_input(spark):
     want = [(1, None), (2, ""), (3, "\n\n"), (4, long), (5, ""), (None, long), (6, ""), (6, ""), (7, "w " * 200_000), (8, "a\nb\na")]
     assert got == sorted(want, key=str)
     assert S.dedup(docs.limit(0)).count() == 0
+
+
+def wrapped(words, n):
+    return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+
+
+def test_passages_inside_lines(spark):
+    """Mid-line, in texts of one line, broken otherwise, and with a changed word, a passage goes to the word."""
+    rng = random.Random(8)
+    passage = sentence(rng, 55).split()
+    near = [*passage[:27], "changed", *passage[28:]]
+    around = {k: (sentence(rng, 40), sentence(rng, 33)) for k in range(1, 9)}
+    form = {1: " ".join(passage), 2: " ".join(passage), 3: wrapped(passage, 7), 4: wrapped(passage, 11).upper(), 5: " ".join(near), 6: wrapped(near, 9), 7: " ".join(passage[:19]), 8: f"{' '.join(passage)} {' '.join(passage)}"}
+    rows = [(k, f"{around[k][0]} {form[k]} {around[k][1]}") for k in form]
+    once = sentence(rng, 45)
+    rows += [(20, f"{once} {sentence(rng, 5)} {once}"), (21, "one two three " * 40), (22, " ".join([sentence(rng, 12)] * 9))]
+    got = {r.doc_id: r for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    for k, t in rows:
+        if k in (1, 7, 21):
+            assert got[k].text == t and got[k].n_words_removed == 0
+        elif k < 20:
+            assert " ".join(got[k].text.split()) == " ".join(around[k])
+    assert got[2].n_words_removed == 55 and got[8].n_words_removed == 110
+    assert got[20].text.split() == rows[8][1].split()[:50] and len(got[22].text.split()) < 50
+
+
+def test_windows_equal_counting_all(spark):
+    """The anchors leave out no window that repeats."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(("ab", "cd", "ef", "gh")) for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += [f"{sentence(rng, 9)} {texts[k]} {sentence(rng, 3)}" for k in range(40)] + [" ".join(sentence(rng, 11).split() * 5)]
+    seen = {}
+    for k, t in enumerate(texts):
+        for h in S.windows(t.encode().split())[0].tolist():
+            seen.setdefault(h, []).append(k)
+    want = {(k, h) for h, ks in seen.items() for k in ks if k > ks[0]}
+    rows = S.windows_again(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(r.doc_id, h) for r in rows for h in r.again}
+    for r in rows:
+        ids, low = S.windows(texts[r.doc_id].encode().split())
+        heads, sizes, names = S.blocks(ids, low)
+        got |= {(r.doc_id, h) for a, n, b in zip(heads, sizes, names.tolist(), strict=True) if b in r.blocks for h in ids[a : a + n].tolist()}
+    assert got == want and len(want) > 300 and any(r.again for r in rows) and any(r.blocks for r in rows)
+    assert any(r.doc_id == 100 for r in rows)
