@@ -23,11 +23,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .shared import table
+from .shared import slices, table
 
 #: Chunks of text whose tokens a worker remembers; beyond it the memory is emptied, which changes no result.
-MEMORY = 500_000
+MEMORY = 200_000
 NEVER = np.iinfo(np.int64).max
 #: The code points with Unicode's White_Space property.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,20 +37,58 @@ UNICODE_SPACE = re.compile(f"[{SPACES}]+")
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 
-def ranges(kind: str) -> str:
-    """The inside of a character class: all code points whose category starts with kind."""
-    points = [k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == kind]
+def character_class(points: list[int]) -> str:
+    """The inside of a character class of sorted code points."""
     cuts = [0, *[k for k in range(1, len(points)) if points[k] != points[k - 1] + 1], len(points)]
     return "".join(f"{re.escape(chr(points[a]))}-{re.escape(chr(points[b - 1]))}" for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def all_points() -> list[int]:
+    return [k for k in range(sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF]
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> str:
+    """Code points that Python's Unicode version doesn't assign; planes 4 to 13 have no characters in any."""
+    return "".join(c for k in all_points() if not 0x40000 <= k < 0xE0000 and unicodedata.category(c := chr(k)) == "Cn")
+
+
+def with_category(kind: str) -> list[int]:
+    """The code points that the file's patterns take for \\p{kind}.
+
+    The library's Unicode version is newer than Python's, so it is asked for those that Python doesn't assign.
+    """
+    new = unassigned()
+    inside = np.ones(len(new), bool)
+    for _, (a, b) in pre_tokenizers.Split(Regex(f"\\p{{{kind}}}+"), "removed").pre_tokenize_str(new):
+        inside[a:b] = False
+    return sorted([k for k in all_points() if unicodedata.category(chr(k))[0] == kind] + [ord(new[k]) for k in np.flatnonzero(inside).tolist()])
+
+
 @lru_cache(maxsize=1)
 def split_pattern() -> re.Pattern:
     """The file format's split: contractions, letters, single numerals, other runs without white space."""
-    letters, numerals = ranges("L"), ranges("N")
+    letters, numerals = character_class(with_category("L")), character_class(with_category("N"))
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numerals}]|[^{SPACES}{letters}{numerals}]+")
 
 
+@lru_cache(maxsize=1)
+def odd_pattern() -> re.Pattern:
+    """The code points on which Python's NFC or lower case may differ from the library's, whose normalisation is older.
+
+    Those are marks that it doesn't order and compositions that it doesn't make, with
+    their parts, and letters whose lower case Python doesn't know.
+    """
+    nfc, lower, odd = normalizers.NFC(), normalizers.Lowercase(), set()
+    for c in map(chr, all_points()):
+        if unicodedata.combining(c):
+            odd |= {c} if any(nfc.normalize_str(x) != unicodedata.normalize("NFC", x) for m in "\u0323\u0301\u0334" for x in (f"q{c}{m}", f"q{m}{c}")) else set()
+        elif (parts := unicodedata.normalize("NFD", c)) != c and nfc.normalize_str(parts) != unicodedata.normalize("NFC", parts):
+            odd |= {c, *parts}
+    odd |= {c for c in unassigned() if lower.normalize_str(c) != c}
+    return re.compile(f"[{character_class(sorted(map(ord, odd)))}]")
+
+
 def byte_symbols() -> list[str]:
     """The printable symbol of each byte: itself where printable in Latin-1, else the next from U+0100 on."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -103,6 +142,7 @@ class Bpe:
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
+        self.odd = odd_pattern()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {(self.ids[a], self.ids[b]): self.ids[a + b] for a, b in pairs}
         made = np.array([(a, b, c) for (a, b), c in self.rank.items()], np.int64)
@@ -292,9 +332,12 @@ class Bpe:
             if k % 2:
                 out.append("\n" + part)
                 continue
-            if not part.isascii() and not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            part = part.replace("Σ", "σ").lower()  # a final sigma is a letter like others here
+            if not part.isascii() and self.odd.search(part):
+                part = normalizers.Lowercase().normalize_str(normalizers.NFC().normalize_str(part))
+            else:
+                if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+                    part = unicodedata.normalize("NFC", part)
+                part = part.replace("Σ", "σ").lower()  # a final sigma is a letter like others here
             out += UNICODE_SPACE.split(part) if ODD_SPACES.search(part) else part.split()
         return out
 
@@ -327,8 +370,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
         coder = bpe(path)
         names = np.array([coder.names[i] for i in range(len(coder.names))], object)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for batch in slices(whole, len(keep)):
                 found = coder.encode_batch([t or "" for t in batch.column(len(keep)).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 out = [*batch.columns[: len(keep)], pa.ListArray.from_arrays(offsets, np.concatenate(found) if found else np.empty(0, np.int32))]

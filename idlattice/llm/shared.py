@@ -9,12 +9,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a one-key table that a join may broadcast (about 32 MB as a hash relation).
 BROADCAST_ROWS = 500_000
 
+#: Common function words by language.
+STOP_WORDS = {
+    "en": "the of and to in a is that for it as was with be by on not he his but at are this have had they you were their one all we can her has there been if more when will would who so no".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par sur au pas plus ne se sont avec il ce ou mais elle nous son aux été leur cette ces comme".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
+    "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue".split(),
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
@@ -71,6 +80,19 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and, but for a longer single text, bytes of a text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if k > begin and (held + n > most or k - begin >= rows):
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Groups of equal key from batches that are sorted by it, skipping groups of one row.
 

@@ -33,6 +33,19 @@ def test_any_text(text):
     assert bpe.bpe(PATH).encode_batch([text])[0].tolist() == library([text])[0]
 
 
+def test_every_code_point():
+    points = bpe.all_points()
+    texts = [" ".join(f"a{c} {c}b" for c in map(chr, points[k : k + 500])) for k in range(0, len(points), 500)]
+    for k in range(0, len(texts), 100):
+        assert [x.tolist() for x in bpe.bpe(PATH).encode_batch(texts[k : k + 100])] == library(texts[k : k + 100])
+
+
+def test_marks_in_any_order():
+    marks = [c for c in map(chr, bpe.all_points()) if bpe.unicodedata.combining(c)]
+    texts = [f"q{c}{m} Q{m}{c}É" for c in marks for m in "\u0323\u0301\u0334"] + ["\U00011935\U00011930 é", "e\u0301\u0323x"]
+    assert [x.tolist() for x in bpe.bpe(PATH).encode_batch(texts)] == library(texts)
+
+
 def test_words_built_from_tokens():
     rng = random.Random(3)
     names = [t.removesuffix("</w>") for t in bpe.bpe(PATH).ids if t.isascii()]
