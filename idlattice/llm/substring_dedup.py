@@ -1,19 +1,15 @@
 """Operator 10: removal of repeated passages by paragraph MinHash banding.
 
-Paragraphs (lines) are sketched by MinHash over five-word shingles. Distinct
-paragraphs that share a band meet, exact Jaccard similarity decides, and connected
-components of similar paragraphs are clusters. All occurrences of a cluster but the
-first are repeats; runs of repeats with enough words are cut out of the documents.
-
-Bands: with 2 rows in 10 bands a pair at similarity 0.8 is missed with probability
-(1 - 0.8 ** 2) ** 10, less than 4 in 100,000.
-
-Passages that don't fill lines: all overlapping windows of 20 words, inside and across
-lines, are paragraphs too, compared exactly. A window's anchor is the least hash of its
-8-word parts, so equal windows have equal anchors, and only those with an anchor that
-occurs again are looked at. Consecutive windows of one anchor are a block. A block that
-a lesser key has repeats as a whole; of the others only those with an anchor that has
-several different blocks are split into windows. None that repeats is left out.
+Paragraphs are of two kinds. Lines are sketched by MinHash over five-word shingles;
+distinct lines that share a band meet, exact Jaccard similarity decides, and connected
+components of similar lines are clusters. All occurrences of a cluster but the first
+are repeats. Blocks of words that don't depend on line breaks, at places that the words
+themselves choose, are compared exactly and extended word by word (passages.py). Runs
+of repeated words, from either kind, are cut out of the documents if they are long enough.
+
+Bands: with 2 rows in 8 bands a pair at similarity 0.8 is missed with probability
+(1 - 0.8 ** 2) ** 8, less than 3 in 10,000. A passage inside a line is found for certain
+if 35 words in a row are equal.
 """
 
 from __future__ import annotations
@@ -27,176 +23,114 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_ids, components, materialise, sorted_groups, table
+from .passages import passages
+from .shared import by_ids, components, materialise, slices, sorted_groups, table, text_bytes
+from .words import GOLDEN, SHINGLE, Words, mixed, odd_numbers
 
-SHINGLE, SIMILARITY = 5, 0.8
-ROWS, BANDS = 2, 10
-#: Words of a window, and of the parts of which the least hash is its anchor.
-WINDOW, PART = 20, 8
+SIMILARITY = 0.8
+ROWS, BANDS = 2, 8
 #: Words of a run of repeats that is cut out, at least.
-RUN_WORDS = 30
-#: Members of a bucket compared in one task; larger buckets are compared block by block.
-BLOCK = 2000
+RUN_WORDS = 40
+#: Lines of a bucket compared in one task are twice this at most; larger buckets are compared block by block.
+BLOCK = 250
 WHITE = b" \t\n\r\x0b\x0c"
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 KEYS = [f"k{b}" for b in range(BANDS)]
+PERM, SALT = odd_numbers(2, ROWS * BANDS), odd_numbers(3, ROWS * BANDS)
 
 
-def _odd(seed: int, n: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed) | 1 for k in range(n)], np.uint64)
-
-
-PLACES = _odd(4, WINDOW)
-PLACE, PERM, SALT = _odd(1, SHINGLE), _odd(2, ROWS * BANDS), _odd(3, ROWS * BANDS)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingle_hashes(word_hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of texts that lie one after another, and where each text's begin.
-
-    sizes: the words of each text, SHINGLE at least."""
-    n = len(word_hashes) - SHINGLE + 1
-    sums = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        sums += word_hashes[k : k + n] * PLACE[k]
-    ends = np.cumsum(sizes)
-    inside = np.ones(n, bool)
-    for k in range(SHINGLE - 1):  # windows that begin in a text's last words cross its end
-        inside[(ends[:-1] - 1 - k)] = False
-    counts = sizes - SHINGLE + 1
-    return mixed(sums[inside]), np.cumsum(counts) - counts
-
-
-def sketches(word_hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Band keys (texts x BANDS) of the texts' MinHash signatures."""
-    shingles, starts = shingle_hashes(word_hashes, sizes)
+def sketches(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Band keys (lines x BANDS) of MinHash signatures; shingles of lines one after another, sizes of each."""
+    starts = np.cumsum(sizes) - sizes
     out = np.empty((len(sizes), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(sizes), b + 1, np.uint64)
         for p in range(b * ROWS, (b + 1) * ROWS):
             low = np.minimum.reduceat(mixed((shingles ^ SALT[p]) * PERM[p]), starts)
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ low)
+            key = mixed(key * GOLDEN ^ low)
         out[:, b] = key
     return out.view(np.int64)
 
 
-def lines(text: bytes) -> list[list[bytes]]:
-    """Lower-cased (A-Z) words of each line; lines without a word give an empty list."""
-    return [line.split() for line in text.lower().split(b"\n")]
-
-
-def spread(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words."""
-    count = max(len(word_hashes) - n + 1, 0)
-    sums = np.zeros(count, np.uint64)
-    for k in range(n if count else 0):
-        sums += word_hashes[k : k + count] * PLACES[k]
-    return mixed(sums)
-
-
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Identity (signed) and anchor (signed) of each overlapping window of the words."""
-    if len(words) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    parts = spread(hashes, PART)
-    count = len(words) - WINDOW + 1
-    low = parts[:count].copy()
-    for k in range(1, WINDOW - PART + 1):
-        np.minimum(low, parts[k : k + count], out=low)
-    return spread(hashes, WINDOW).view(np.int64), (low & np.uint64((1 << 40) - 1)).view(np.int64)
-
-
-def blocks(ids: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the runs of windows with one anchor begin, their lengths, and an identity of each (signed)."""
-    if not len(ids):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-    sizes = np.diff(np.append(heads, len(ids)))
-    # the order of the windows counts: first and last are mixed in
-    sums = np.add.reduceat(mixed(ids.view(np.uint64)), heads)
-    ends = ids.view(np.uint64)[heads] * PLACES[0] + ids.view(np.uint64)[heads + sizes - 1] * PLACES[1]
-    return heads, sizes, mixed(sums * PLACES[2] + mixed(ends)).view(np.int64)
-
-
-def paragraphs(text: bytes) -> list[list[bytes]]:
-    """The words of each line, then each window as one word: a line feed, which no word of a text has, and its identity."""
-    return lines(text) + [[b"\n%d" % h] for h in windows(text.lower().split())[0].tolist()]
-
-
-def identity(words: list[bytes]) -> int:
-    """64-bit identity of a paragraph, as a signed number; equal for equal words."""
-    if words[0].startswith(b"\n"):
-        return int(words[0])
-    h = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return h - (1 << 64) if h >> 63 else h
-
-
-def occurrences(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, ph, k0...): identity and band keys of each paragraph with a word; keys are null below SHINGLE words."""
-    word_hash = xxhash.xxh3_64_intdigest
-
-    def sketch(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-        found = [[p for p in lines(t) if p] for t in texts]
-        of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-        flat = [p for f in found for p in f]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-        long = np.flatnonzero(sizes >= SHINGLE)
-        keys = np.zeros((len(flat), BANDS), np.int64)
-        if len(long):
-            hashes = np.fromiter([word_hash(w) for k in long.tolist() for w in flat[k]], np.uint64, int(sizes[long].sum()))
-            keys[long] = sketches(hashes, sizes[long])
-        none = sizes < SHINGLE
-        ph = np.fromiter(map(identity, flat), np.int64, len(flat))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(ph), *[pa.array(keys[:, b], mask=none) for b in range(BANDS)]], [key, "ph", *KEYS])
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Of docs (doc, th, text): (doc, th, place, h, k0...), a row for each line with a word and for each seed taken.
+
+    Lines have no place; their h is their identity and k0... their band keys, null
+    below SHINGLE words. One pass over the texts, in bounded parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 400):
-                batch = whole.slice(k, 400)
-                yield sketch(batch.column(0), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ph bigint, " + ", ".join(f"{k} bigint" for k in KEYS)
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, schema)
-
-
-def buckets(found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(bucket, ph): distinct paragraphs that share a band, each set of them once.
-
-    A set of more than block members is given as all pairs of its blocks, so that a
-    task never holds more than two blocks of texts and no pair is left out.
+            for batch in slices(whole, 2):
+                words = Words.read(text_bytes(batch.column(2)))
+                long = np.flatnonzero(words.lines >= SHINGLE)
+                n = len(words.lines)
+                of, place, h = words.seeds()
+                keys = np.zeros((n + len(of), BANDS), np.int64)
+                if len(long):
+                    keys[long] = sketches(*words.shingles(long))
+                none = np.ones(n + len(of), bool)
+                none[long] = False
+                rows = pa.array(np.concatenate((words.of, of)))
+                at = pa.array(np.concatenate((np.zeros(n, np.int32), place.astype(np.int32))), mask=np.arange(n + len(of)) < n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), at, pa.array(np.concatenate((words.line_ids(), h))), *[pa.array(keys[:, b], mask=none) for b in range(BANDS)]], ["doc", "th", "place", "h", *KEYS])
+
+    schema = f"doc {docs.schema['doc'].dataType.simpleString()}, th int, place int, h bigint, " + ", ".join(f"{k} bigint" for k in KEYS)
+    return docs.mapInArrow(run, schema)
+
+
+def buckets(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(bucket, ph): distinct lines that share a band, each set of them once.
+
+    A band of more than block lines is numbered by blocks as it streams by, and given as
+    all pairs of its blocks, which go to different tasks: no task holds more than two
+    blocks of texts, and no pair is left out.
     """
-    distinct = found.where(F.col(KEYS[0]).isNotNull()).groupBy("ph").agg(*[F.first(k).alias(k) for k in KEYS])
+    distinct = lines.where(F.col(KEYS[0]).isNotNull()).groupBy("ph").agg(*[F.first(k).alias(k) for k in KEYS])
     banded = distinct.select("ph", F.explode(F.array(*KEYS)).alias("band")).repartition("band").sortWithinPartitions("band", "ph")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, members, held = [], [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)), pa.array(np.concatenate(members) if members else np.empty(0, np.int64))], ["bucket", "ph"])
-
-        for group in sorted_groups(batches, "band"):
-            ids = np.unique(group.column("ph").to_numpy())
-            cut = [ids[k : k + block] for k in range(0, len(ids), block)]
-            pairs = [(i, j) for i in range(len(cut)) for j in range(i + 1, len(cut))] or [(0, 0)]
-            for i, j in pairs:
-                own = cut[i] if i == j else np.concatenate((cut[i], cut[j]))
-                if len(own) < 2:
-                    continue
-                name = np.array([xxhash.xxh3_64_intdigest(own.tobytes())], np.uint64).view(np.int64)
-                sets.append(np.repeat(name, len(own)))
-                members.append(own)
-                held += len(own)
-                if held > 100_000:
-                    yield out()
-                    sets, members, held = [], [], 0
+        done: list[tuple[int, int | None, np.ndarray]] = []
+        band, held, parts = None, np.empty(0, np.int64), 0  # of the group that is not yet over
+
+        def close() -> None:
+            if not parts and 2 <= len(held) <= block:  # equal sets of several bands get one name
+                done.append((xxhash.xxh3_64_intdigest(held.tobytes()) - (1 << 63), None, held))
+            elif parts or len(held) > block:
+                done.extend((band, parts + k, held[k * block : (k + 1) * block]) for k in range(-(-len(held) // block)))
+
+        def out() -> pa.RecordBatch:
+            sizes = [len(x[2]) for x in done]
+            names = np.repeat(np.array([x[0] for x in done], np.int64), sizes)
+            part = np.repeat(np.array([-1 if x[1] is None else x[1] for x in done], np.int32), sizes)
+            rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array(part, mask=part < 0), pa.array(np.concatenate([np.empty(0, np.int64), *(x[2] for x in done)]))], ["bucket", "part", "ph"])
+            done.clear()
+            return rows
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(bands[1:] != bands[:-1]) + 1, [len(bands)]))
+            for k in sorted({0, *np.flatnonzero(np.diff(cuts) > 1).tolist(), len(cuts) - 2}):
+                a, b = int(cuts[k]), int(cuts[k + 1])
+                if bands[a] != band:
+                    close()
+                    band, held, parts = int(bands[a]), np.empty(0, np.int64), 0
+                held = np.concatenate((held, ids[a:b]))
+                while len(held) > 2 * block:
+                    done.append((band, parts, held[:block]))
+                    held, parts = held[block:], parts + 1
+            if sum(len(x[2]) for x in done) > 50_000:
+                yield out()
+        close()
         yield out()
 
-    return banded.mapInArrow(run, "bucket bigint, ph bigint").distinct()
+    sets = materialise(banded.select("band", "ph").mapInArrow(run, "bucket bigint, part int, ph bigint").distinct(), "dedup-sets")
+    last = sets.where("part is not null").groupBy("bucket").agg(F.max("part").alias("last"))
+    large = sets.where("part is not null").join(last, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).where("other <> part")
+    pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    return sets.where("part is null").select("bucket", "ph").unionByName(large.select(pair.alias("bucket"), "ph"))
 
 
 def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
@@ -204,14 +138,14 @@ def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
 
     Grows one component at a time: a text is compared with all texts that no component has yet.
     """
-    sets = []
-    for t in texts:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words := t.split()), np.uint64, len(words))
-        sets.append(np.unique(shingle_hashes(hashes, np.array([len(words)]))[0]))
+    words = Words.read(texts)
+    shingles, counts = words.shingles(np.arange(len(texts)))
+    ends = np.cumsum(counts)
+    sets = [np.unique(shingles[b - n : b]) for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    root, free = list(range(len(texts))), np.ones(len(texts), bool)
+    root, free, most = list(range(len(texts))), np.ones(len(texts), bool), int(flat.max()) + 1
     for k in range(len(texts)):
         if not free[k]:
             continue
@@ -219,7 +153,7 @@ def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
         todo = [k]
         while todo and free.any():
             j = todo.pop()
-            mark = np.zeros(int(flat.max()) + 1, bool)
+            mark = np.zeros(most, bool)
             mark[flat[starts[j] : starts[j] + sizes[j]]] = True
             both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
             near = np.flatnonzero(free & (both >= similarity * (sizes + sizes[j] - both) - 1e-9))
@@ -230,17 +164,19 @@ def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
     return root
 
 
-def links(docs: DataFrame, met: DataFrame, text: str, similarity: float) -> DataFrame:
-    """Edges (a, b) between paragraphs of a bucket whose components under exact similarity are one."""
+def links(docs: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between lines of a bucket whose components under exact similarity are one."""
     wanted = materialise(met.select("ph").distinct(), "dedup-wanted")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 400):
-                found = {identity(p): b" ".join(p) for t in whole.slice(k, 400).column(0).cast(pa.binary()).to_pylist() if t for p in lines(t) if len(p) >= SHINGLE}
+            for batch in slices(whole, 0):
+                texts = [b"\n".join(w for line in t.lower().split(b"\n") if len(w := b" ".join(line.split()).strip()) > 2 * SHINGLE - 2) for t in text_bytes(batch.column(0))]
+                lines = [x for t in texts for x in t.split(b"\n") if x]
+                found = dict(zip(Words.read(lines).line_ids().tolist(), lines, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["ph", "words"])
 
-    texts = by_ids(docs.select(text).mapInArrow(own, "ph bigint, words binary"), wanted, "ph", "left_semi").dropDuplicates(["ph"])
+    texts = by_ids(docs.select("text").mapInArrow(own, "ph bigint, words binary"), wanted, "ph", "left_semi").dropDuplicates(["ph"])
     grouped = met.join(texts, "ph").repartition("bucket").sortWithinPartitions("bucket")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,217 +195,158 @@ def links(docs: DataFrame, met: DataFrame, text: str, similarity: float) -> Data
     return grouped.mapInArrow(verify, "a bigint, b bigint")
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(key, repeats): for each document with such paragraphs the set of (ph, cluster, first).
+def repeats(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, lines): for each document with such lines the set of (ph, cluster, first).
 
-    cluster: the least identity of similar paragraphs; first: whether the document has
+    cluster: the least identity of similar lines; first: whether the document has
     the least key of all with the cluster. Clusters of one occurrence are left out.
     """
-    found = materialise(occurrences(docs, text, key), "dedup-paragraphs")
-    met = materialise(buckets(found), "dedup-buckets")
-    joined = components(links(docs, met, text, similarity), "dedup-links").withColumnsRenamed({"node": "ph", "root": "cluster"})
-    each = found.groupBy("ph").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    met = materialise(buckets(lines), "dedup-buckets")
+    joined = components(links(docs, met, similarity), "dedup-links").withColumnsRenamed({"node": "ph", "root": "cluster"})
+    each = lines.groupBy("ph").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     of = materialise(each.join(joined, "ph", "left").withColumn("joined", F.col("cluster").isNotNull()).withColumn("cluster", F.coalesce("cluster", "ph")).where("joined or n > 1"), "dedup-clusters")
     first = of.groupBy("cluster").agg(F.min("least").alias("least"))
     known = of.select("ph", "cluster").join(first, "cluster")
-    rows = found.select(key, "ph").join(known, "ph")
-    return rows.groupBy(key).agg(F.collect_set(F.struct("ph", "cluster", (F.col(key) == F.col("least")).alias("first"))).alias("repeats"))
-
-
-def windows_again(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, blocks, again): the blocks and the single windows of each document that a lesser
-    key has. Documents with neither and without an anchor in two places are left out."""
-    kind = docs.schema[key].dataType.simpleString()
-    keyed = docs.where(F.col(key).isNotNull()).select(key, text)
-
-    def rows_of(batch: pa.RecordBatch, found: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
-        of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *[pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]], [key, *names])
-
-    def each(names, one):
-        """mapInArrow's function: one gives arrays of equal length for a text and what else is in its row."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for k in range(0, whole.num_rows, 200):
-                    batch = whole.slice(k, 200)
-                    texts = batch.column(1).cast(pa.binary()).to_pylist()
-                    more = batch.column(2) if batch.num_columns > 2 else texts
-                    yield rows_of(batch, [one(*windows((t or b"").lower().split()), m) for t, m in zip(texts, more, strict=True)], names)
-
-        return run
-
-    def anchors(ids, low, _):
-        """Distinct anchors with 1, or 2 for more than one place; a place is in WINDOW - PART + 1 windows at most."""
-        heads, sizes, _ = blocks(ids, low)
-        values, n = np.unique(np.repeat(low[heads], 1 + (sizes > WINDOW - PART + 1)), return_counts=True)
-        return values, np.minimum(n, 2).astype(np.int8)
-
-    def some_blocks(ids, low, wanted):
-        heads, _, names = blocks(ids, low)
-        own = np.isin(low[heads], wanted.values.to_numpy())
-        names, at = np.unique(names[own], return_index=True)
-        return low[heads][own][at], names
-
-    def some_windows(ids, low, wanted):
-        _, sizes, names = blocks(ids, low)
-        own = np.repeat(np.isin(names, wanted.values.to_numpy()), sizes)
-        wh = np.unique(ids[own])
-        return (wh,)
-
-    all_anchors = materialise(keyed.mapInArrow(each(["anchor", "n"], anchors), f"`{key}` {kind}, anchor bigint, n tinyint"), "dedup-anchors")
-    # Aggregates are written first: only a join whose two sides are plain shuffles can be split at a hub.
-    often = materialise(all_anchors.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor"), "dedup-often")
-    met = materialise(all_anchors.join(often, "anchor").groupBy(key).agg(F.collect_set("anchor").alias("_wanted"), F.max("n").alias("n")), "dedup-met")
-    found = materialise(keyed.join(met.select(key, "_wanted"), key).mapInArrow(each(["anchor", "block"], some_blocks), f"`{key}` {kind}, anchor bigint, block bigint"), "dedup-blocks")
-    firsts = materialise(found.groupBy("anchor", "block").agg(F.min(key).alias("least")), "dedup-firsts")
-    split = materialise(firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"), "dedup-split")
-    again = found.join(firsts.select("block", "least"), "block").where(F.col(key) > F.col("least")).select(key, "block", F.lit(None).cast("bigint").alias("wh"))
-    asked = firsts.join(split, "anchor").groupBy(F.col("least").alias(key)).agg(F.collect_set("block").alias("_wanted"))
-    written = materialise(keyed.join(asked, key).mapInArrow(each(["wh"], some_windows), f"`{key}` {kind}, wh bigint"), "dedup-windows")
-    low = materialise(written.groupBy("wh").agg(F.min(key).alias("least"), F.count("*").alias("total")).where("total > 1").select("wh", "least"), "dedup-least")
-    single = written.join(low, "wh").where(F.col(key) > F.col("least")).select(key, F.lit(None).cast("bigint").alias("block"), "wh")
-    twice = met.where("n > 1").select(key, F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("wh"))
-    return again.unionByName(single).unionByName(twice).groupBy(key).agg(F.collect_set("block").alias("blocks"), F.collect_set("wh").alias("again"))
-
-
-def window_marks(words: list[bytes], known: dict[int, tuple[int, bool]]) -> np.ndarray:
-    """True for each word in a window that repeats another.
-
-    Of a document's own windows the first place stays. A window of few different words
-    doesn't repeat its own document, nor does one that overlaps its first place.
-    """
-    ids = windows(words)[0]
-    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-    again = np.isin(ids, np.array([h for h, (_, least) in known.items() if not least], np.int64))
-    for k in np.flatnonzero(~again & (np.arange(len(ids)) - first[of] >= WINDOW)).tolist():
-        again[k] = len(set(words[k : k + WINDOW])) > WINDOW // 2
-    step = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(again)
-    step[at] += 1
-    step[at + WINDOW] -= 1
-    return np.cumsum(step)[:-1] > 0
-
-
-def spans(marks: np.ndarray, starts: np.ndarray, run_words: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    rows = lines.select("doc", "ph").join(known, "ph")
+    return rows.groupBy("doc").agg(F.collect_set(F.struct("ph", "cluster", (F.col("doc") == F.col("least")).alias("first"))).alias("lines"))
+
+
+def runs(marks: np.ndarray, starts: np.ndarray, run_words: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Runs of marked words, of run_words at least.
 
     A gap shorter than a shingle is bridged if the run's shingles keep the similarity
     (a changed word inside a passage) and no whole line lies in it.
-    starts: the first word of each line that has one."""
+    starts: the first word of each line.
+    """
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
-    runs: list[list[int]] = []
+    out: list[list[int]] = []
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         same = max(b - a - SHINGLE + 1, 0)
-        if runs and a - runs[-1][1] < SHINGLE:
-            whole, both = b - runs[-1][0] - SHINGLE + 1, runs[-1][2] + same
-            in_gap = np.searchsorted(starts, [runs[-1][1], a], "left")
+        if out and a - out[-1][1] < SHINGLE:
+            whole, both = b - out[-1][0] - SHINGLE + 1, out[-1][2] + same
+            in_gap = np.searchsorted(starts, [out[-1][1], a], "left")
             inside = in_gap[1] - in_gap[0] + (in_gap[1] < len(starts) and starts[in_gap[1]] == a)
             if both >= similarity * (2 * whole - both) and inside < 2:
-                runs[-1][1:] = [b, both]
+                out[-1][1:] = [b, both]
                 continue
-        runs.append([a, b, same])
-    return [(a, b) for a, b, _ in runs if b - a >= run_words]
+        out.append([a, b, same])
+    return [(a, b) for a, b, _ in out if b - a >= run_words]
 
 
-def cut(text: bytes, known: dict[int, tuple[int, bool]], run_words: int, inside: bool = True) -> tuple[bytes, list[int], int, int]:
-    """The text without its runs of repeats, the lines cut whole, the words cut, and its lines with a word.
+def repeated_words(words: Words, known: dict[int, tuple[int, bool]], spans: list[tuple[int, int, bool]], run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of one text go, and which are in a passage that occurs elsewhere or goes.
 
-    Repeated lines shorter than a shingle only bridge a run of lines, they neither begin nor end it.
-    inside: False if no window of the text repeats, which saves the search for them.
+    known: cluster and first of its lines that are repeats; spans: start, stop, again of
+    its passages. Of a document's own lines of a cluster the first place stays. Repeated
+    lines shorter than a shingle only bridge a run, they neither begin nor end it.
     """
-    raw, kinds, sizes, seen = text.split(b"\n"), [], [], set()
-    for words in lines(text):
-        again = False
-        if words and (hit := known.get(identity(words))) is not None:
-            again = not hit[1] or hit[0] in seen
+    n = int(words.texts[0])
+    ends = np.cumsum(words.lines)
+    starts = ends - words.lines
+    kinds: tuple[list, list] = ([], [])  # "r" a repeat, "s" a short one, "-" none; once for what goes, once for what is shared
+    seen = set()
+    for h, size in zip(words.line_ids().tolist(), words.lines.tolist(), strict=True):
+        hit = known.get(h)
+        kind = "r" if size >= SHINGLE else "s"
+        again = hit is not None and (not hit[1] or hit[0] in seen)
+        kinds[0].append(kind if again else "-")
+        kinds[1].append(kind if hit is not None else "-")
+        if hit is not None:
             seen.add(hit[0])
-        kinds.append(" " if not words else "-" if not again else "r" if len(words) >= SHINGLE else "s")
-        sizes.append(len(words))
-    gone: list[int] = []
-    k = 0
-    while k < len(kinds):
-        if kinds[k] != "r":
-            k += 1
-            continue
-        end = j = k
-        while j < len(kinds) and kinds[j] != "-":
-            end = j if kinds[j] == "r" else end
-            j += 1
-        if sum(sizes[k : end + 1]) >= run_words:
-            gone += range(k, end + 1)
-        k = end + 1
-    out = {*gone}
-    starts = np.concatenate(([0], np.cumsum(sizes))).tolist()
-    marks = window_marks(text.lower().split(), known) if inside else np.zeros(starts[-1], bool)
-    drop = np.zeros(len(marks), bool)
-    if marks.any():
-        for i, kind in enumerate(kinds):
-            if kind == "r" or i in out:
-                marks[starts[i] : starts[i + 1]] = True
-        for a, b in spans(marks, np.array([x for x, n in zip(starts, sizes, strict=False) if n]), run_words):
+    out = []
+    for k, own in enumerate(kinds):
+        marks = np.zeros(n, bool)
+        for a, b, again in spans:
+            if again or k:
+                marks[a:b] = True
+        for j, kind in enumerate(own):
+            if kind == "r":
+                marks[starts[j] : ends[j]] = True
+        j = 0
+        while j < len(own):
+            if own[j] != "s":
+                j += 1
+                continue
+            end = j
+            while end < len(own) and own[end] == "s":
+                end += 1
+            if starts[j] and ends[end - 1] < n and marks[starts[j] - 1] and marks[ends[end - 1]]:
+                marks[starts[j] : ends[end - 1]] = True
+            j = end
+        drop = np.zeros(n, bool)
+        for a, b in runs(marks, starts, run_words):
             drop[a:b] = True
-    for i in out:
-        drop[starts[i] : starts[i + 1]] = True
-    kept = []
-    for i, line in enumerate(raw):
-        own = drop[starts[i] : starts[i + 1]]
-        if i in out or (len(own) and own.all()):
-            out.add(i)
+        out.append(drop)
+    return out[0], out[0] | out[1]
+
+
+def cut(text: bytes, drop: np.ndarray) -> tuple[bytes, int]:
+    """The text without some of its words, and how many lines went whole: those that lose all their words."""
+    kept, gone, at = [], 0, 0
+    for line in text.split(b"\n"):
+        n = len(line.split())
+        own = drop[at : at + n]
+        at += n
+        if n and own.all():
+            gone += 1
         elif own.any():
-            at = [m.start() for m in WORD.finditer(line)] + [len(line)]
-            pieces = [line[: at[0]]] + [line[at[j] : at[j + 1]] for j in range(len(own)) if not own[j]]
+            places = [m.start() for m in WORD.finditer(line)] + [len(line)]
+            pieces = [line[: places[0]]] + [line[places[j] : places[j + 1]] for j in range(n) if not own[j]]
             kept.append(b"".join(pieces).rstrip(WHITE) if own[-1] else b"".join(pieces))
         else:
             kept.append(line)
-    return b"\n".join(kept), sorted(out), int(drop.sum()), sum(s > 0 for s in sizes)
+    return b"\n".join(kept), gone
+
+
+REPORT = {"n_words": pa.int64(), "n_lines_removed": pa.int64(), "n_words_removed": pa.int64(), "n_words_shared": pa.int64()}
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, run_words: int = RUN_WORDS, report: bool = False) -> DataFrame:
     """The documents with repeated passages cut out of text; other columns stay as they are.
 
-    Spans of words are cut, lines that lose all their words go.
+    Spans of words are cut, lines that lose all their words go. The first document in the
+    order of keys keeps a passage, the first place in it if it has several.
 
-    report: also n_paragraphs, n_removed, n_words_removed (of all spans) and removed (the
-    numbers of the lines cut whole). The first document in the order of keys keeps a passage, the first place
-    in it if it has several. Null texts stay null. Rows with a null key stay as they are
-    and repeat nothing; rows of the same key are taken for one document.
+    report: also n_words, n_lines_removed, n_words_removed and n_words_shared (words in
+    passages that occur elsewhere, cut or kept), in place of columns of those names. Null
+    texts stay null. Rows with a null key stay as they are and repeat nothing; equal rows
+    are taken for one document.
     """
+    if report:
+        docs = docs.drop(*REPORT)
+    plain = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.hash(text).alias("th"), F.col(text).alias("text"))
+    found = materialise(occurrences(plain), "dedup-paragraphs")
+    lines = found.where("place is null").select("doc", F.col("h").alias("ph"), *KEYS)
+    seeds = found.where("place is not null").select("doc", "th", "place", "h")
+    lists = repeats(plain, lines, similarity)
+    spans = passages(plain, seeds).groupBy("doc").agg(F.collect_set(F.struct("th", "start", "stop", "again")).alias("spans"))
     own = "_" + "".join(docs.columns)  # clashes with no column
-    lists = repeats(docs, text, key, similarity).select(F.col(key).alias(own + "k"), F.col("repeats").alias(own + "r"))
-    again = windows_again(docs, text, key).select(F.col(key).alias(own + "l"), F.col("blocks").alias(own + "b"), F.col("again").alias(own + "w"))
-    both = lists.join(again, F.col(own + "k") == F.col(own + "l"), "full").select(F.coalesce(own + "k", own + "l").alias(own + "k"), own + "r", own + "b", own + "w")
-    joined = docs.join(both, F.col(key) == F.col(own + "k"), "left").drop(own + "k")
+    both = lists.join(spans, "doc", "full").select(F.col("doc").alias(own + "k"), F.col("lines").alias(own + "l"), F.col("spans").alias(own + "s"))
+    joined = docs.join(both, F.col(key) == F.col(own + "k"), "left").drop(own + "k").withColumn(own + "h", F.hash(text))
     fields, at = docs.schema.fields, docs.columns.index(text)
-    extra = ["n_paragraphs", "n_removed", "n_words_removed", "removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rest = [], []
-            known_rows = [batch.column(len(fields) + k).to_pylist() for k in range(3)]
-            for t, known, whole, single in zip(batch.column(at).cast(pa.binary()).to_pylist(), *known_rows, strict=True):
-                if t is None or (not known and whole is None):
-                    texts.append(t)
-                    rest.append((sum(bool(x.strip(WHITE)) for x in (t or b"").split(b"\n")), 0, 0, []))
-                    continue
-                held = {x["ph"]: (x["cluster"], x["first"]) for x in known or ()}
-                if whole:
-                    ids, low = windows(t.lower().split())
-                    _, sizes, names = blocks(ids, low)
-                    held |= {h: (h, False) for h in ids[np.repeat(np.isin(names, np.array(whole, np.int64)), sizes)].tolist()}
-                held |= {h: (h, False) for h in single or ()}
-                new, gone, words, n = cut(t, held, run_words, whole is not None)
-                texts.append(new)
-                rest.append((n, len(gone), words, gone))
-            columns = list(batch.columns[: len(fields)])
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            names = [f.name for f in fields]
-            if report:
-                columns += [pa.array([r[k] for r in rest], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))]
-                names = names + extra
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", n_paragraphs bigint, n_removed bigint, n_words_removed bigint, removed array<int>" if report else "")
+        for whole in batches:
+            for batch in slices(whole, at):
+                texts, rest = [], []
+                raw = batch.column(at).cast(pa.binary()).to_pylist()
+                for t, known, places, th in zip(raw, *(batch.column(len(fields) + k).to_pylist() for k in range(3)), strict=True):
+                    if t is None or (not known and not places):
+                        texts.append(t)
+                        rest.append((len((t or b"").split()), 0, 0, 0))
+                        continue
+                    words = Words.read([t])
+                    drop, shared = repeated_words(words, {x["ph"]: (x["cluster"], x["first"]) for x in known or ()}, [(x["start"], x["stop"], x["again"]) for x in places or () if x["th"] == th], run_words)
+                    new, gone = cut(t, drop) if drop.any() else (t, 0)
+                    texts.append(new)
+                    rest.append((len(drop), gone, int(drop.sum()), int(shared.sum())))
+                columns = list(batch.columns[: len(fields)])
+                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                if report:
+                    columns += [pa.array([r[k] for r in rest], kind) for k, kind in enumerate(REPORT.values())]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields] + (list(REPORT) if report else []))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " + ", ".join(f"{c} bigint" for c in REPORT) if report else "")
     return joined.mapInArrow(run, schema)
 
 

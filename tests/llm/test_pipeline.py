@@ -20,7 +20,7 @@ def test_run_equals_brute_force(spark):
     group = test_simhash.plain_groups([(k, test_simhash.plain_fingerprint(t)) for k, t in rows])
     rows = [(k, t) for k, t in rows if group[k] == k]
     cut = test_substring_dedup.brute(rows)
-    rows = [(k, cut[k][0].decode()) for k, _ in rows]
+    rows = [(k, cut[k][0]) for k, _ in rows]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").collect()]
     leaks = {r[0] for r in test_decontamination.brute(rows, items) if r[5]}
     rows = [(k, t) for k, t in rows if k not in leaks]
