@@ -15,8 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .quality_rules import COMMON
-from .shared import table
+from .shared import STOP_WORDS, table
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -41,7 +40,7 @@ OUTER_MARKS = {"header", "head", "heading"}
 INNER_MARKS = {"article", "articlebody", "post", "postbody", "entry", "story", "maincontent", "hentry"}
 #: Elements that end when a sibling begins or a parent ends, even without an end tag.
 LOOSE = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
-STOP = {w for words in COMMON.values() for w in words}
+STOP = {w for words in STOP_WORDS.values() for w in words}
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 #: Words of a block that is decided by its own text; shares of stop words and of linked characters.

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import CLASSES, REST, measure, repeated_lines, repeated_words, shares
-from .shared import held_out, in_train, table
+from .quality_rules import CLASSES, class_counts, repeated_lines, repeated_words, shares
+from .shared import STOP_WORDS, held_out, in_train, slices, table, text_bytes
 
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 8000, 16000
@@ -28,32 +28,33 @@ NAMES = (
     [f"class{k}" for k in range(CLASSES)]
     + "stop long_words word_length log_words repeated lines_repeated runs distinct top_word marked shouted ended line_length".split()
 )
+STOP = {w.encode() for words in STOP_WORDS.values() for w in words}
 
 
 def features(text: bytes) -> np.ndarray:
     """Numbers that describe a whole text; all 0 without words."""
-    m = measure(text)
-    n = m.n_words
+    words = text.split()
+    n = len(words)
     if not n:
         return np.zeros(len(NAMES))
-    lengths = np.fromiter(map(len, m.words), np.int64, n)
-    counts = Counter(m.words)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    counts = Counter(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    plain = sum(w.isalpha() or not w.isascii() for w in m.words)
+    plain = sum(w.isalpha() or not w.isascii() for w in words)
     return np.concatenate((
-        shares(m.classes),
+        shares(class_counts(text)),
         [
-            1 - m.bins[REST] / n,
+            sum(w in STOP for w in text.lower().split()) / n,
             (lengths > 12).mean(),
             min(lengths.mean(), 40) / 10,
             np.log1p(n) / 10,
-            repeated_words(m.words) / n,
+            repeated_words(words) / n,
             repeated_lines(text) / len(lines),
-            sum(a == b for a, b in zip(m.words, m.words[1:], strict=False)) / n,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
             len(counts) / n,
             max(counts.values()) / n,
             1 - plain / n,
-            sum(w.isupper() for w in m.words) / n,
+            sum(w.isupper() for w in words) / n,
             sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines),
             np.log1p(n / len(lines)) / 10,
         ],

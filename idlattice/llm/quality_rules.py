@@ -2,31 +2,25 @@
 
 Two histograms of a text, of character classes and of common words, are compared
 with those of each language by Jensen-Shannon distance; the nearest language
-counts. The references come from a grouped aggregation over all documents. A
-guard by length keeps a short text from failing on chance alone.
+counts. Languages, their common words and their histograms come from a grouped
+aggregation over all documents. A guard by length keeps a short text from failing
+on chance alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialise, slices, table, text_bytes
 
-#: Common function words by language.
-COMMON = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have had they you were their one all we can her has there been if more when will would who so no".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par sur au pas plus ne se sont avec il ce ou mais elle nous son aux été leur cette ces comme".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split(),
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue".split(),
-}
 #: Characters that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -34,6 +28,8 @@ PUNCTUATION = b".,;:!?'\"()-"
 #: Classes of a text's characters, by their first UTF-8 byte; CONTINUED bytes begin no character.
 LOWER, UPPER, DIGIT, SPACE, POINT, SYMBOL, OTHER, CONTROL, BEYOND, CONTINUED = range(10)
 CLASSES = CONTINUED
+#: Words that a task holds of a language's sums before it passes them on.
+HELD = 100_000
 
 
 def class_table() -> np.ndarray:
@@ -46,8 +42,6 @@ def class_table() -> np.ndarray:
 
 
 KINDS = class_table()
-BINS = {w.encode(): k for k, w in enumerate(dict.fromkeys(w for words in COMMON.values() for w in words))}
-REST = len(BINS)
 
 
 @dataclass(frozen=True)
@@ -62,35 +56,69 @@ class Rules:
     word_limit: float = 0.215
     word_slack: float = 1.0
     word_words: int = 50  # guard: fewer words, no comparison of common words
+    common_share: float = 0.003  # mean share of a language's words from which a word is common
+    least_documents: int = 20  # documents from which a language has a reference
 
 
-@dataclass
+@dataclass(frozen=True)
+class References:
+    """Languages, the bin of each common word of any of them, and a row of mean shares for each language."""
+
+    languages: list[str]
+    bins: dict[bytes, int]
+    classes: np.ndarray
+    words: np.ndarray
+
+
+NO_REFERENCES = References([], {}, np.zeros((0, CLASSES)), np.zeros((0, 1)))
+
+
+@dataclass(frozen=True)
 class Measures:
-    """Of one text."""
+    """Counts of one text: they stay small, however long it is."""
 
     n_words: int
+    n_repeat_words: int
     classes: np.ndarray
     bins: np.ndarray
-    words: list[bytes] = field(repr=False)
+
+    def base_failed(self, rules: Rules) -> bool:
+        return self.n_words < rules.least_words or 100 * self.n_repeat_words > rules.repeat_percent * self.n_words
 
 
-def measure(text: bytes) -> Measures:
-    words = text.split()  # on bytes: the six ASCII white-space characters
+def class_counts(text: bytes) -> np.ndarray:
     classes = np.zeros(CLASSES + 1, np.int64)
     for k in range(0, len(text), 1 << 20):
         classes += np.bincount(KINDS[np.frombuffer(text[k : k + (1 << 20)], np.uint8)], minlength=CLASSES + 1)
-    bins = np.bincount(np.fromiter(map(BINS.get, text.lower().split(), repeat(REST)), np.int64, len(words)), minlength=REST + 1)
-    return Measures(len(words), classes[:CLASSES], bins, words)
+    return classes[:CLASSES]
+
+
+def measure(text: bytes, bins: dict[bytes, int]) -> Measures:
+    """bins: the bin of each common word, lower-cased; the last bin is for all others."""
+    again = repeated_words(text.split())  # on bytes: the six ASCII white-space characters
+    lowered = text.lower().split()
+    found = np.fromiter(map(bins.get, lowered, repeat(len(bins))), np.int64, len(lowered))
+    return Measures(len(lowered), again, class_counts(text), np.bincount(found, minlength=len(bins) + 1))
 
 
 def repeated_words(words: list[bytes], n: int = 3) -> int:
     """Words inside windows of n that occur twice or more, the first occurrence included."""
-    windows = list(zip(*(words[k:] for k in range(n)), strict=False))
-    if len(set(windows)) == len(windows):
+    m = len(words) - n + 1
+    if m < 2:
         return 0
-    counts = Counter(windows)
-    inside = np.zeros(len(words) + n, bool)
-    at = np.flatnonzero(np.fromiter([counts[w] > 1 for w in windows], bool, len(windows)))
+    number = dict(zip(dict.fromkeys(words), count(), strict=False))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    windows = ids[:m]
+    for k in range(1, n):
+        if (int(windows.max()) + 1) * len(number) >= 1 << 62:
+            windows = np.unique(windows, return_inverse=True)[1]
+        windows = windows * len(number) + ids[k : k + m]
+    order = np.argsort(windows, kind="stable")
+    equal = windows[order[1:]] == windows[order[:-1]]
+    if not equal.any():
+        return 0
+    inside = np.zeros(len(words), bool)
+    at = order[np.concatenate((equal, [False])) | np.concatenate(([False], equal))]
     for k in range(n):
         inside[at + k] = True
     return int(inside.sum())
@@ -115,98 +143,132 @@ def shares(counts: np.ndarray) -> np.ndarray:
     return counts / np.maximum(counts.sum(axis=-1, keepdims=True), 1)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean shares of character classes and of common words by language.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> References:
+    """Mean shares of character classes and of common words of every language of the documents.
 
-    Over all documents of a language in COMMON with enough words and without heavy
-    repetition; each counts once, whatever its length. A partition sends one row
-    per language and bin, so the driver gets at most languages x bins rows.
+    Over all documents of a language that pass the base rules; each counts once,
+    whatever its length. Tasks pass on sums by language and word, and Spark adds
+    them up; a word is common with a mean share of common_share or more in any
+    language, so the driver gets 1 / common_share words of a language at most. A language of fewer than
+    least_documents such documents has none. Null languages and texts don't count.
     """
-    size = CLASSES + REST + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {x: np.zeros(size + 1) for x in COMMON}
-        for batch in batches:
-            for x, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if t and x in sums and len(t) >= 2 * rules.least_words - 1:
-                    m = measure(t)
-                    if m.n_words >= rules.least_words and 100 * repeated_words(m.words) <= rules.repeat_percent * m.n_words:
-                        sums[x] += np.concatenate((shares(m.classes), shares(m.bins), [1]))
-        for x, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(values)), pa.array(range(len(values)), pa.int32()), pa.array(values)], ["lang", "bin", "value"])
-
-    found = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, bin int, value double").groupBy("lang", "bin").agg(F.sum("value").alias("value")).collect()
-    out = {}
-    for x in COMMON:
-        values = np.zeros(size + 1)
-        for r in found:
-            if r.lang == x:
-                values[r.bin] = r.value
-        if values[-1]:
-            out[x] = (values[:CLASSES] / values[-1], values[CLASSES:-1] / values[-1])
-    return out
-
-
-def judge(measures: list[Measures], known: dict, rules: Rules) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        words: dict[str, dict] = defaultdict(lambda: defaultdict(float))
+        kinds: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES + 1))
+
+        def rows(x: str, names: list[bytes], values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(values, pa.float64())], ["lang", "word", "value"])
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                for x, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                    if x is None or len(t) < 2 * rules.least_words - 1:
+                        continue
+                    lowered = t.lower().split()
+                    n = len(lowered)
+                    if n < rules.least_words or 100 * repeated_words(t.split()) > rules.repeat_percent * n:
+                        continue
+                    own = words[x]
+                    for w, c in Counter(lowered).items():
+                        own[w] += c / n
+                    kinds[x] += [*shares(class_counts(t)), 1]
+                    if len(own) > HELD:
+                        yield rows(x, list(own), list(own.values()))
+                        own.clear()
+        for x, own in words.items():
+            yield rows(x, [*own, *(b" %d" % k for k in range(CLASSES + 1))], [*own.values(), *kinds[x]])
+
+    sums = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, word binary, value double")
+    # A space begins the names of character classes and, after them, of the number of documents; no word has one.
+    sums = materialise(sums.groupBy("lang", "word").agg(F.sum("value").alias("value")), "quality-words")
+    total = F.broadcast(sums.where(F.col("word") == F.lit(b" %d" % CLASSES)).where(F.col("value") >= rules.least_documents - 0.5).select("lang", F.col("value").alias("n")))
+    special = F.substring("word", 1, 1) == F.lit(b" ")
+    common = F.broadcast(sums.where(~special).join(total, "lang").where(F.col("value") >= rules.common_share * F.col("n")).select("word").distinct())
+    found = [(r.lang, bytes(r.word), r.value / r.n) for r in sums.where(~special).join(common, "word").unionByName(sums.where(special)).join(total, "lang").collect()]
+    languages = sorted({x for x, _, _ in found})
+    if not languages:
+        return NO_REFERENCES
+    bins = {w: k for k, w in enumerate(sorted({w for _, w, _ in found if w[:1] != b" "}))}
+    classes, words = np.zeros((len(languages), CLASSES)), np.zeros((len(languages), len(bins) + 1))
+    for x, w, value in found:
+        if w in bins:
+            words[languages.index(x), bins[w]] = value
+        elif int(w) < CLASSES:
+            classes[languages.index(x), int(w)] = value
+    words[:, -1] = 1 - words[:, :-1].sum(axis=1)
+    return References(languages, bins, classes, words)
+
+
+def judge(measures: list[Measures], known: References, rules: Rules) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """Nearest language, its two distances, and whether the distances pass, of each text.
 
     Nearest by the sum of both distances, the first language on a tie. Without
     references every text passes and has no language.
     """
     n = np.array([m.n_words for m in measures])
-    if not known or not measures:
+    if not known.languages or not measures:
         return [None] * len(measures), np.full(len(n), np.nan), np.full(len(n), np.nan), np.ones(len(n), bool)
     classes, bins = shares(np.array([m.classes for m in measures])), shares(np.array([m.bins for m in measures]))
-    by_class = np.array([js_distance(classes, c) for c, _ in known.values()])
-    by_word = np.array([js_distance(bins, b) for _, b in known.values()])
+    by_class = np.array([js_distance(classes, c) for c in known.classes])
+    by_word = np.array([js_distance(bins, b) for b in known.words])
     best = (by_class + by_word).argmin(axis=0)
     at = np.arange(len(n))
     one, two = by_class[best, at], by_word[best, at]
     root = np.sqrt(np.maximum(n, 1))
     fails = (n >= rules.class_words) & (one > rules.class_limit + rules.class_slack / root) | (n >= rules.word_words) & (two > rules.word_limit + rules.word_slack / root)
-    names = list(known)
-    return [names[k] for k in best.tolist()], one, two, ~fails
+    return [known.languages[k] for k in best.tolist()], one, two, ~fails
 
 
-def verdicts(docs: DataFrame, known: dict, text: str = "text", key: str = "doc_id", rules: Rules = Rules()) -> DataFrame:
+def verdicts(docs: DataFrame, known: References, text: str = "text", key: str = "doc_id", lang: str | None = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row per row: the base counts, the nearest language, both distances and the verdict.
 
-    Null and empty texts have no words and fail; repeated rows give a row each;
-    other columns aren't read. One pass without a shuffle.
+    A text whose own language (column lang, if named) has no reference passes the
+    comparison, since it can be near none. Null and empty texts have no words and
+    fail; repeated rows give a row each; other columns aren't read. One pass without
+    a shuffle.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    source = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            found = [measure(t) for t in texts]
-            n = np.array([m.n_words for m in found], np.int64)
-            again = np.array([repeated_words(m.words) for m in found], np.int64)
-            failed = (n < rules.least_words) | (100 * again > rules.repeat_percent * n)
-            language, one, two, passes = judge(found, known, rules)
-            columns = [
-                batch.column(0), n,
-                np.array([m.classes.sum() - m.classes[SPACE] for m in found], np.int64),
-                np.array([m.classes[SYMBOL] for m in found], np.int64),
-                np.array([repeated_lines(t) for t in texts], np.int64),
-                again, failed, ~failed & passes, pa.array(language, pa.string()), one, two,
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [key, *counts, "base_failed", "kept", "language", "class_distance", "word_distance"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = text_bytes(batch.column(1))
+                found = [measure(t, known.bins) for t in texts]
+                failed = np.array([m.base_failed(rules) for m in found], bool)
+                language, one, two, passes = judge(found, known, rules)
+                passes |= unknown(batch.column(2), known)
+                columns = [
+                    batch.column(0),
+                    np.array([m.n_words for m in found], np.int64),
+                    np.array([m.classes.sum() - m.classes[SPACE] for m in found], np.int64),
+                    np.array([m.classes[SYMBOL] for m in found], np.int64),
+                    np.array([repeated_lines(t) for t in texts], np.int64),
+                    np.array([m.n_repeat_words for m in found], np.int64),
+                    failed, ~failed & passes, pa.array(language, pa.string()), one, two,
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [key, *counts, "base_failed", "kept", "language", "class_distance", "word_distance"])
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, kept boolean, language string, class_distance double, word_distance double"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
+
+
+def unknown(column: pa.Array, known: References) -> np.ndarray:
+    """True where a language is given and has no reference."""
+    return np.array([x is not None and x not in known.languages for x in column.to_pylist()], bool)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """The rows whose text is kept, as they are. Two passes, no shuffle of texts."""
-    known, at = references(docs, text, lang, rules), docs.columns.index(text)
+    known, at, of = references(docs, text, lang, rules), docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            passes = judge(found, known, rules)[3]
-            good = [bool(p) and m.n_words >= rules.least_words and 100 * repeated_words(m.words) <= rules.repeat_percent * m.n_words for p, m in zip(passes, found, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, at):
+                found = [measure(t, known.bins) for t in text_bytes(batch.column(at))]
+                good = judge(found, known, rules)[3] | unknown(batch.column(of).cast(pa.string()), known)
+                yield batch.filter(pa.array(good & ~np.array([m.base_failed(rules) for m in found], bool)))
 
     return docs.mapInArrow(run, docs.schema)
 
