@@ -1,13 +1,17 @@
 """Operator 3: main text of web pages by two passes over their blocks.
 
-First pass: each block is decided by where it stands, its length, its density of
-stop words and its share of linked text, or stays ambiguous because it is short.
-Second pass: an ambiguous block inherits the label of its nearest decided neighbour.
+First pass: each block is decided by a sum of evidence: its length and density of
+stop words, its share of linked text, and whether an article element holds it (no
+evidence on pages without one). A block with as much for as against stays ambiguous:
+the short ones, and long ones without stop words, such as tables. Second pass: an
+ambiguous block inherits the label of its nearest decided neighbour.
+Menus, forms, comments, adverts and the like are left out by element and class before.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -15,12 +19,13 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import STOP_WORDS, table
+from .shared import STOP_WORDS, slices, table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-#: Elements whose content is no markup, and the ends of that content.
-RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+#: Elements whose content is no markup, and where that content ends.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -71,12 +76,53 @@ def words_of(attributes: str) -> tuple[set[str], bool]:
     return found, hidden
 
 
+def end_of_tag(html: str, at: int) -> int:
+    """The place after the tag whose inside begins at a place; a > in quotes doesn't end it, unless the quotes have no end. -1 without an end."""
+    place = at
+    while m := QUOTE_OR_END.search(html, place):
+        if m[0] == ">":
+            return m.end()
+        if (close := html.find(m[0], m.end())) < 0:
+            break  # no such quote follows, so this happens once a page for either kind
+        place = close + 1
+    return html.find(">", at) + 1 or -1
+
+
+def tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before, whether it is an end tag, name, attributes) of each tag, in one scan; at last the remaining text with an empty name.
+
+    Comments and declarations are left out, as is what elements of RAW hold. A page is
+    read once: what has no end is text, from there to the end of the page.
+    """
+    at, begin, last = 0, 0, html.rfind(">")
+    while 0 <= (at := html.find("<", at)) < last:
+        if html.startswith("<!--", at):
+            close = html.find("-->", at + 4)
+            yield html[begin:at], False, "", ""
+            at = begin = close + 3 if close >= 0 else len(html)
+        elif html.startswith(("<!", "<?"), at):
+            yield html[begin:at], False, "", ""
+            at = begin = html.find(">", at) + 1
+        elif (m := NAME.match(html, at + 1)) and (close := end_of_tag(html, m.end())) > 0:
+            name, ends = m[1].lower(), html[at + 1] == "/"
+            yield html[begin:at], ends, name, html[m.end() : close - 1]
+            at = begin = close
+            if name in RAW and not ends:
+                m = RAW[name].search(html, at)
+                close = html.find(">", m.end()) if m else -1
+                at = begin = close + 1 if close >= 0 else len(html)
+        else:
+            at += 1
+    yield html[begin:], False, "", ""
+
+
 def blocks(html: str) -> list[Block]:
     """The non-empty blocks of a page outside of dropped elements, in page order."""
     out: list[Block] = []
     parts: list[str] = []
     linked_parts: list[str] = []
     stack: list[tuple[str, str]] = []  # open elements: name, and "drop", "inside" or ""
+    open_now: Counter[str] = Counter()
     dropping = inside = links = headings = 0
     parent, parents = 0, 0
 
@@ -90,6 +136,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal dropping, inside, links, headings, parent, parents
         while len(stack) > depth:
             name, kind = stack.pop()
+            open_now[name] -= 1
             dropping -= kind == "drop"
             inside -= kind == "inside"
             links -= name == "a"
@@ -98,44 +145,31 @@ def blocks(html: str) -> list[Block]:
                 parents += 1
                 parent = parents
 
-    def text(piece: str) -> None:
-        if piece and not dropping:
-            parts.append(piece)
+    for text, ends, name, attributes in tags(html):
+        if text and not dropping:
+            parts.append(text)
             if links:
-                linked_parts.append(piece)
-
-    at, n = 0, len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        if m is None:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if name in BLOCK:
-                flush()
-            if depth is not None:
-                close(depth)
-            continue
-        if name in RAW:
-            end = RAW[name].search(html, at)
-            at = end.end() if end else n
+                linked_parts.append(text)
+        if not name or name in RAW:
             continue
         if name in BLOCK:
             flush()
-            if stack and stack[-1][0] == "p" or name in LOOSE and any(s[0] == name for s in stack[-6:]):
-                base = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK and stack[k][0] not in LOOSE), -1)
-                loose = next((k for k in range(base + 1, len(stack)) if stack[k][0] == ("p" if name not in LOOSE else name)), None)
-                if loose is not None:
-                    close(loose)
-        if name == "br":
-            text(" ")
-        if name in VOID or (m[3] or m[6] or "").endswith("/") and name not in BLOCK:
+        if ends:
+            if open_now[name]:
+                while stack[-1][0] != name:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
+            continue
+        if name in BLOCK:
+            for k in range(len(stack) - 1, max(len(stack) - 7, -1), -1):
+                if stack[k][0] == name and name in LOOSE or stack[k][0] == "p" and k == len(stack) - 1:
+                    close(k)
+                    break
+                if stack[k][0] in BLOCK and stack[k][0] not in LOOSE:
+                    break
+        if name == "br" and not dropping:
+            parts.append(" ")
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         kind = ""
         if name in DROPPED or name == "header" and not inside:
@@ -143,12 +177,13 @@ def blocks(html: str) -> list[Block]:
         elif name in ("body", "html"):
             kind = ""
         else:
-            marks, hidden = words_of(attributes) if (attributes := m[3] or m[6]) and attributes.strip() else ((), False)
+            marks, hidden = words_of(attributes) if attributes.strip() else ((), False)
             if hidden or marks and (MARKS & marks or not inside and OUTER_MARKS & marks and name in BLOCK):
                 kind = "drop"
             elif name in ("article", "main") or marks and name in BLOCK and (INNER_MARKS & marks or "main" in marks and name in ("div", "section")):
                 kind = "inside"
         stack.append((name, kind))
+        open_now[name] += 1
         dropping += kind == "drop"
         inside += kind == "inside"
         links += name == "a"
@@ -161,21 +196,26 @@ def blocks(html: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> list[bool | None]:
-    """True: article; False: not; None: too short to tell."""
+    """True: article; False: not; None: as much for as against.
+
+    For: 1 for a long block with enough stop words, 2 for one in an article element.
+    Against: 2 for mostly links, 3 if short too, 2 for a copyright line, 3 for one
+    outside of the page's article elements. A short block is in an article element
+    only by that, so its neighbours decide. On a page without any stop word in long
+    blocks, whose language isn't among the lists, length alone counts as density.
+    """
     framed = any(b.inside for b in found)
+    words = [b.text.split() for b in found]
+    shares = [sum(EDGE.sub("", w).lower() in STOP for w in own) / len(own) for own in words]
+    known = not found or any(s > 0.02 for s, own in zip(shares, words, strict=True) if len(own) >= LONG)
     labels: list[bool | None] = []
-    for b in found:
-        words = b.text.split()
-        if b.linked > LINK_SHARE * len(b.text) and (len(words) < LONG or not b.inside):
-            labels.append(False)
-        elif framed and not b.inside:
-            labels.append(False)
-        elif len(words) < LONG:
-            labels.append(None)
-        elif b.inside or sum(EDGE.sub("", w).lower() in STOP for w in words) >= STOP_SHARE * len(words):
-            labels.append(True)
-        else:
-            labels.append(False)
+    for b, own, share in zip(found, words, shares, strict=True):
+        long, linked = len(own) >= LONG, b.linked > LINK_SHARE * len(b.text)
+        evidence = (long and not linked and (share >= STOP_SHARE or not known)) - linked * (2 if long else 3) - 2 * b.text.startswith("©")
+        if framed:
+            evidence += 2 if b.inside else -3
+        undecided = not evidence or b.inside and not long and evidence == 2
+        labels.append(None if undecided else evidence > 0)
     return labels
 
 
@@ -184,33 +224,42 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
     On equal distance a heading follows what comes after it, another block its own
     parent, else the article. Without a decided neighbour a block inside an article
-    belongs to it, another does not.
+    belongs to it; on a page without any decided text the parent with most words does.
     """
+    before: list[int | None] = []
+    after: list[int | None] = []
+    for out, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last: dict[bool, int] = {}
+        for k in order:
+            out.append(last.get(found[k].inside))
+            if labels[k] is not None:
+                last[found[k].inside] = k
+    after.reverse()
+    sizes: Counter[int] = Counter()
+    if True not in labels and not any(b.inside for b in found):
+        for b, label in zip(found, labels, strict=True):
+            if label is None:
+                sizes[b.parent] += len(b.text.split())
+    best = max(sizes, key=lambda p: (sizes[p], -p)) if sizes and max(sizes.values()) >= LONG else None
     out = []
     for k, b in enumerate(found):
+        x, y = before[k], after[k]
         if labels[k] is not None:
             out.append(labels[k])
-            continue
-
-        def near(step: int, k: int = k, b: Block = b) -> int | None:
-            j = k + step
-            while 0 <= j < len(found) and (labels[j] is None or found[j].inside != b.inside):
-                j += step
-            return j if 0 <= j < len(found) else None
-
-        before, after = near(-1), near(1)
-        if before is None and after is None:
+        elif best is not None:
+            out.append(b.parent == best)
+        elif x is None and y is None:
             out.append(b.inside)
-        elif before is None or after is None:
-            out.append(labels[after if before is None else before])
-        elif labels[before] == labels[after]:
-            out.append(labels[before])
+        elif x is None or y is None:
+            out.append(labels[y if x is None else x])
+        elif labels[x] == labels[y]:
+            out.append(labels[x])
         elif b.heading:
-            out.append(labels[after])
-        elif k - before != after - k:
-            out.append(labels[before] if k - before < after - k else labels[after])
-        elif (found[before].parent == b.parent) != (found[after].parent == b.parent):
-            out.append(labels[before] if found[before].parent == b.parent else labels[after])
+            out.append(labels[y])
+        elif k - x != y - k:
+            out.append(labels[x] if k - x < y - k else labels[y])
+        elif (found[x].parent == b.parent) != (found[y].parent == b.parent):
+            out.append(labels[x] if found[x].parent == b.parent else labels[y])
         else:
             out.append(True)
     return out
@@ -229,8 +278,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for batch in slices(whole, len(keep)):
                 texts = [main_text(h) if h else "" for h in batch.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, text, "n_chars"])
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -39,6 +40,51 @@ def test_pages_of_the_tables(spark):
         assert r.n_chars == len(r.text)
 
 
+def truth(page):
+    inner = re.search("<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub("<[a-zA-Z/][^>]*>", "", re.sub("<br>|</?(?:p|h1)>", " ", inner))).split())
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+
+
+def test_without_article_elements(pages):
+    """Density, length and links find the text where no element names it."""
+    same = [H.main_text(re.sub(r"<(/?)article", r"<\1div", p)) == truth(p) for p in pages]
+    assert sum(same) / len(same) > 0.98
+
+
+def bare(page):
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|header|footer|aside|section|main|form)\b", r"<\1div", page))
+
+
+def test_each_rule_decides_on_bare_pages(pages, monkeypatch):
+    """With all of those elements renamed and no classes, each test changes results, and the text is still found."""
+    plain = [H.main_text(bare(p)) for p in pages]
+    found = [truth(p) in t and len(t) <= len(truth(p)) + 300 for p, t in zip(pages, plain, strict=True) if len(truth(p)) > 300]
+    assert sum(found) / len(found) > 0.8  # adverts without a class are the rest
+    for name, off in (("STOP_SHARE", 0.0), ("LINK_SHARE", 2.0), ("LONG", 1)):
+        monkeypatch.setattr(H, name, off)
+        assert sum(H.main_text(bare(p)) != t for p, t in zip(pages, plain, strict=True)) >= 3
+        monkeypatch.undo()
+
+
+def test_density_decides_between_divs():
+    link = "<a href=x>one of the links that is in the menu of the site</a> "
+    table = "<td>4711 ml ABC-12</td>" * 30
+    p = f"<div>{link * 4}</div><div><h2>Title</h2><p>{LONG}</p><table><tr>{table}</tr></table><p>{LONG}</p></div><div>{link * 4}</div><div>© The owner</div>"
+    assert H.main_text(p) == f"Title {LONG} {' '.join(['4711 ml ABC-12'] * 30)} {LONG}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '>", "<b>", "<b></i>", "<!", "<!--", "</script ", "<script>", "<p>", "<b><p>", "<div>x", "<li>", "<td><table>"])
+def test_malformed_pages_take_linear_time(piece):
+    begin = time.perf_counter()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - begin < 15  # quadratic scans take minutes
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<article>" + "word " * 300_000 + "</article>"), (3, "u", "<p>" * 20_000), (None, "v", "<article>a</article>")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
