@@ -6,6 +6,10 @@ Its line separator, which it puts after each row, is an empty gzip member.
 Reading: an archive is cut into byte ranges. A task looks for the gzip magic in its
 range, validates a candidate by decoding the start of the member as a WARC header,
 and owns the records that start inside its range, reading past its end for the last.
+A member may hold several records. A candidate with a header that is none is no member;
+one whose content breaks off is given as an incomplete record, so that none goes unseen.
+A whole archive inside a payload that the outer member stores uncompressed is told
+from members of its own only by what follows its last one.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 from urllib.parse import quote
 
@@ -30,6 +35,8 @@ LEAST_BYTES = 100
 #: Bytes of a range, of a read, and of what a task appends to an archive in one row.
 RANGE, READ, ROW = 8 << 20, 1 << 20, 1 << 20
 LEVEL = 4
+#: Ranges of a read, at most; bytes in which a header must end.
+MOST_RANGES, MOST_HEADER = 4000, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MULTIPART = "urn:idlattice:page:"
@@ -91,9 +98,15 @@ def write(planned: DataFrame, path: str, key: str = "page_id", level: int = LEVE
     rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(path, start, stop) of all archives in a folder, found by Spark's own listing."""
+def ranges(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """(path, start, stop) of all archives in a folder, found by Spark's own listing.
+
+    size: bytes of a range; by default RANGE, or more where that would give over MOST_RANGES.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    if size is None:
+        total = files.agg(F.sum("length")).first()[0] or 0
+        size = max(RANGE, -(-total // MOST_RANGES))
     cut = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))
     return files.select("path", F.explode(cut).alias("start"), F.col("length")).select("path", "start", F.least(F.col("start") + size, "length").alias("stop"))
 
@@ -132,54 +145,92 @@ class Window:
         self.start = max(self.start, before)
 
 
-def member(window: Window, at: int) -> tuple[bytes, int] | None:
-    """The content of the gzip member at a place and where it ends; None if there is no whole member with a WARC header or no content."""
-    unpack, out, place = zlib.decompressobj(31), [], at
-    checked = False
+@dataclass
+class Member:
+    content: bytes
+    stop: int
+    complete: bool
+
+
+def header(content: bytes, at: int = 0) -> tuple[dict[str, str], int] | None:
+    """The fields of the record at a place of a content, and where its payload begins; None if no whole WARC header is there."""
+    if not content.startswith(b"WARC/1.", at) or (end := content.find(b"\r\n\r\n", at)) < 0:
+        return None
+    try:
+        lines = [line.split(":", 1) for line in content[at:end].decode().split("\r\n")[1:]]
+        fields = {name.strip(): value.strip() for name, value in lines}
+        return (fields, end + 4) if int(fields["Content-Length"]) >= 0 else None
+    except (ValueError, KeyError):
+        return None
+
+
+def member(window: Window, at: int) -> Member | None:
+    """The gzip member at a place; None if none is there whose content is empty or begins with a WARC header, or if what follows it is neither a member nor the end."""
+    unpack, content, place = zlib.decompressobj(31), b"", at
+    parts: list[bytes] = []
+    valid = False
     try:
         while not unpack.eof:
             data = window.get(place, READ if place > at else 4096)
             if not data:
-                return None
-            out.append(unpack.decompress(data))
+                return Member(b"".join([content, *parts]), place, False) if valid else None
+            out = unpack.decompress(data)
             place += len(data)
-            if not checked and sum(map(len, out)) >= 8:
-                checked = True
-                if not b"".join(out).startswith(b"WARC/1."):
-                    return None
+            if valid:
+                parts.append(out)
+                continue
+            content += out
+            if content and not content.startswith(b"WARC/1."[: len(content)]):
+                return None
+            if (valid := header(content) is not None) is False and (b"\r\n\r\n" in content or len(content) > MOST_HEADER):
+                return None
     except zlib.error:
+        return Member(b"".join([content, *parts]), max(at + 1, place), False) if valid else None
+    if content and not valid:
         return None
-    content = b"".join(out)
-    return (content, place - len(unpack.unused_data)) if checked or not content else None
+    stop = place - len(unpack.unused_data)
+    return Member(b"".join([content, *parts]), stop, True) if window.get(stop, len(MAGIC)) in (MAGIC, b"") else None
 
 
-def records_in(file, start: int, stop: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payloads of the records whose members start in [start, stop)."""
+def records_in(file, start: int, stop: int) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and payloads of the records whose members start in [start, stop); the payload is None if it breaks off."""
     window, at = Window(file, start), start
     while (at := window.find(MAGIC, at, stop)) >= 0:
         window.drop(at)
         if (found := member(window, at)) is None:
             at += 1
             continue
-        content, at = found
-        if not content:
-            continue
-        head, _, body = content.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        yield fields, body[: int(fields["Content-Length"])]
+        content, at = found.content, found.stop if found.complete else at + 1
+        place = 0
+        while told := header(content, place):
+            fields, begin = told
+            place = begin + int(fields["Content-Length"])
+            yield fields, content[begin:place] if place <= len(content) else None
+            while content[place : place + 1] in (b"\r", b"\n"):
+                place += 1
 
 
-def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(record_id, record_type, url, refers_to, payload, payload_digest, payload_bytes) of all records.
+def read(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """(record_id, record_type, url, refers_to, payload, payload_digest, payload_bytes, complete) of all records.
 
     Of a revisit the payload is null, digest and length come from its header; of a
-    response they are computed from the payload read.
+    response they are computed from the payload read. A record that breaks off is not
+    complete, its payload, digest and length are null. What a header lacks is null.
     """
-    fields = ["record_id", "record_type", "url", "refers_to", "payload", "payload_digest", "payload_bytes"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+    fields = ["record_id", "record_type", "url", "refers_to", "payload", "payload_digest", "payload_bytes", "complete"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
     spread = ranges(spark, path, size)
     spread = spread.repartition(max(1, spread.count()), "path", "start")
 
+    def row(head: dict[str, str], body: bytes | None) -> tuple:
+        own = lambda name: head.get(name, "").strip("<>") or None
+        again, length = head.get("WARC-Type") == "revisit", head.get("X-Payload-Length", "")
+        told = (own("WARC-Payload-Digest") or "").removeprefix("sha256:") or None
+        if body is None:
+            return own("WARC-Record-ID"), own("WARC-Type"), own("WARC-Target-URI"), own("WARC-Refers-To"), None, None, None, False
+        digest, n = (told, int(length) if length.isdigit() else None) if again else (hashlib.sha256(body).hexdigest(), len(body))
+        return own("WARC-Record-ID"), own("WARC-Type"), own("WARC-Target-URI"), own("WARC-Refers-To"), None if again else body, digest, n, True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], fields)
@@ -190,21 +241,15 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                 rows, held = [], 0
                 with store.open_input_file(place) as file:
                     for head, body in records_in(file, start, stop):
-                        again = head["WARC-Type"] == "revisit"
-                        rows.append((
-                            head["WARC-Record-ID"].strip("<>"), head["WARC-Type"], head["WARC-Target-URI"], head.get("WARC-Refers-To", "").strip("<>") or None,
-                            None if again else body,
-                            head["WARC-Payload-Digest"].removeprefix("sha256:") if again else hashlib.sha256(body).hexdigest(),
-                            int(head["X-Payload-Length"]) if again else len(body),
-                        ))
-                        held += len(body)
+                        rows.append(row(head, body))
+                        held += len(body or b"")
                         if held > 4 << 20:
                             yield pack(rows)
                             rows, held = [], 0
                 if rows:
                     yield pack(rows)
 
-    schema = "record_id string, record_type string, url string, refers_to string, payload binary, payload_digest string, payload_bytes bigint"
+    schema = "record_id string, record_type string, url string, refers_to string, payload binary, payload_digest string, payload_bytes bigint, complete boolean"
     return spread.mapInArrow(run, schema)
 
 
