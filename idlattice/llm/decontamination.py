@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import by_ids, materialise, table
 
 N = 10
+#: Words of a part of a text; a row of the scan carries one part.
+PART = 200
 #: n-grams that are broadcast, and anchors that are put into the scan's filter, at most; beyond, windows and n-grams are joined by a shuffle.
 MOST_GRAMS, MOST_ANCHORS = 200_000, 50_000
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -49,7 +51,7 @@ def with_anchor(gram_table: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", n: int = N, most_grams: int = MOST_GRAMS, most_anchors: int = MOST_ANCHORS) -> DataFrame:
-    """(key, text_hash, n_words, spans, items) for each distinct pair of key and text.
+    """(key, text_hash, n_words, n_rows, spans, items) for each distinct pair of key and text, of which there are n_rows.
 
     spans: the (start, length) in words of each window found; items: the sorted ids
     of the items with such windows. Both empty for clean, empty and null texts.
@@ -60,45 +62,54 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     small = known.limit(most_grams + 1).count() <= most_grams
     anchors = [r.anchor for r in known.select("anchor").distinct().limit(most_anchors + 1).collect()] if small else []
     if small and len(anchors) <= most_anchors:
-        found = _by_anchor(base, known, anchors)
+        found = _by_anchor(base, known, anchors, n)
     else:
         found = _by_shuffle(base, known)
     return found.select(
-        F.col("doc").alias(key), "text_hash", "n_words",
+        F.col("doc").alias(key), "text_hash", "n_words", "n_rows",
         F.array_sort(F.col("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
     )
 
 
 def _folded(rows: DataFrame) -> DataFrame:
-    """One row per document from rows with a hit or a null each."""
+    """One row per document from rows with a hit or a null each, and how many equal rows of the input it stands for."""
     return rows.groupBy("doc", "text_hash").agg(
         F.max("n_words").alias("n_words"),
+        F.sum("first").alias("n_rows"),
         F.collect_set(F.when(F.col("hit"), F.struct("start", "length"))).alias("spans"),
         F.collect_set(F.when(F.col("hit"), F.col("items"))).alias("items"),
     )
 
 
-def _by_anchor(base: DataFrame, known: DataFrame, anchors: list[str]) -> DataFrame:
-    places = F.filter(F.transform("w", lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull()) if anchors else F.array().cast("array<int>")
-    scan = base.select("doc", "text_hash", F.size("w").alias("n_words"), "w", F.explode_outer(places).alias("at"))
+def _by_anchor(base: DataFrame, known: DataFrame, anchors: list[str], n: int) -> DataFrame:
+    """Texts are cut into parts of PART words with the n - 1 words around them, so that an
+    anchor's row carries one part of the text and the work is linear in its length."""
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(PART))
+    near = F.transform(begins, lambda b: F.struct(b.alias("base"), F.least(b, F.lit(n - 1)).alias("before"), F.slice("w", F.greatest(b - (n - 1), F.lit(0)) + 1, F.lit(PART + 2 * (n - 1))).alias("near")))
+    parts = base.select("doc", "text_hash", F.size("w").alias("n_words"), F.explode(near).alias("part")).select("doc", "text_hash", "n_words", "part.*")
+    inner = lambda i: (i >= F.col("before")) & (i < F.col("before") + PART)
+    places = F.filter(F.transform("near", lambda w, i: F.when(w.isin(anchors) & inner(i), i)), lambda i: i.isNotNull()) if anchors else F.array().cast("array<int>")
+    # Place -1 is no hit: it stands for the row itself, once for each.
+    places = F.concat(F.when(F.col("base") == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), places)
+    scan = parts.select("doc", "text_hash", "n_words", "base", "before", "near", F.explode(places).alias("at"))
     start = F.col("at") - F.col("offset")
     return _folded(
-        scan.join(F.broadcast(known), F.get("w", F.col("at")) == F.col("anchor"), "left").select(
-            "doc", "text_hash", "n_words", start.alias("start"), F.size("gram").alias("length"), "items",
-            F.coalesce((start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("gram"), F.lit(0))) == F.col("gram")), F.lit(False)).alias("hit"),
+        scan.join(F.broadcast(known), F.get("near", F.nullif("at", F.lit(-1))) == F.col("anchor"), "left").select(
+            "doc", "text_hash", "n_words", (F.col("base") - F.col("before") + start).alias("start"), F.size("gram").alias("length"), "items", (F.col("at") < 0).cast("int").alias("first"),
+            F.coalesce((start >= 0) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("gram"), F.lit(0))) == F.col("gram")), F.lit(False)).alias("hit"),
         )
     )
 
 
 def _by_shuffle(base: DataFrame, known: DataFrame) -> DataFrame:
     """For a benchmark that may not be broadcast: every document window meets the n-grams by a shuffle."""
-    lengths = known.select(F.size("gram").alias("length")).distinct()  # 1 to n rows
-    every = base.join(F.broadcast(lengths), F.size("w") >= F.col("length"))
+    lengths = [r.length for r in known.select(F.size("gram").alias("length")).distinct().collect()]  # 1 to n rows
+    every = base.select("doc", "text_hash", "w", F.explode(F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>")).alias("length")).where(F.size("w") >= F.col("length"))
     windows = every.select("doc", "text_hash", "length", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("length"))).alias("start"))
     windows = windows.select("doc", "text_hash", "start", "length", F.slice("w", F.col("start") + 1, F.col("length")).alias("gram"))
-    met = windows.join(known.select("gram", "items"), "gram").select("doc", "text_hash", F.lit(-1).alias("n_words"), "start", "length", "items", F.lit(True).alias("hit"))
-    none = base.select("doc", "text_hash", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(known.schema["items"].dataType).alias("items"), F.lit(False).alias("hit"))
+    met = windows.join(known.select("gram", "items"), "gram").select("doc", "text_hash", F.lit(-1).alias("n_words"), "start", "length", "items", F.lit(0).alias("first"), F.lit(True).alias("hit"))
+    none = base.select("doc", "text_hash", F.size("w").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast(known.schema["items"].dataType).alias("items"), F.lit(1).alias("first"), F.lit(False).alias("hit"))
     return _folded(none.unionByName(met))
 
 
@@ -126,7 +137,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", text:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per row of the documents, repeated rows included."""
     found = hits(docs, benchmark, **options)
+    found = found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).drop("_row")
     n_hit = F.size(covered(F.col("spans"))).cast("long")
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
