@@ -150,9 +150,16 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The documents without those that are not their group's least key. Rows with a null key stay."""
-    gone = groups(docs.where(F.col(key).isNotNull()), text, key, radius).where(F.col("component_id") < F.col(key)).select(key)
-    return by_ids(docs, materialise(gone, "simhash-gone"), key, "left_anti")
+    """The documents without those that are not their group's least key.
+
+    Of rows that have that key and its text in common one stays. Rows with a null key
+    stay: no key tells them apart.
+    """
+    keyed = docs.where(F.col(key).isNotNull())
+    gone = groups(keyed, text, key, radius).where(F.col("component_id") < F.col(key)).select(key)
+    kept = by_ids(docs, materialise(gone, "simhash-gone"), key, "left_anti")
+    several = materialise(kept.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "simhash-several")
+    return by_ids(kept, several, key, "left_anti").unionByName(by_ids(kept, several, key, "left_semi").dropDuplicates([key, text]))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
