@@ -4,8 +4,7 @@ Labels are of documents, so tokens are labelled first: a token of a toxic traini
 document is toxic if its word or one of its prefixes occurs in toxic training
 documents and hardly ever in others. The field (labels: toxic, other) is fitted to
 those tokens; forward-backward marginals give spans, and a logistic fit of their
-largest and their sum gives the document score. Chains are sentences; a sentence of
-more than MOST_CHAIN tokens goes on in a further chain, so no text is cut short.
+largest and their sum gives the document score. Chains are sentences, of any length.
 """
 
 from __future__ import annotations
@@ -22,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, in_train, table
+from .shared import held_out, in_train, materialise, slices, table
 
-#: Bounds of the training sample: documents of either label, and characters of each that are used to fit (never to score).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000
+#: Bounds of the training sample: documents of either label, and bytes of all of their whole texts together.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 3000, 64 << 20
 #: A word or prefix marks toxic tokens if in this many toxic documents, and this many times as frequent there as in others.
 SUPPORT, LIFT = 5, 50
 PREFIXES = (3, 4, 5, 6)
-BITS, MOST_CHAIN, MEMORY = 18, 64, 400_000
+BITS, MEMORY = 18, 400_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 FINAL = (".", "!", "?", "…", "。")
 
@@ -63,14 +62,11 @@ def markers(texts: list[str], toxic: np.ndarray) -> set[str]:
 
 def chains(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Where chains begin among the tokens of texts of given sizes. ends: the token ends a sentence."""
-    n = len(ends)
-    begins = np.zeros(n + 1, bool)
+    begins = np.zeros(len(ends) + 1, bool)
     begins[0] = True
     begins[np.cumsum(sizes)] = True
     begins[1:][ends] = True
-    starts = np.flatnonzero(begins[:n])
-    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    return np.flatnonzero(place % MOST_CHAIN == 0)
+    return np.flatnonzero(begins[: len(ends)])
 
 
 @dataclass
@@ -84,7 +80,10 @@ class Field:
 
     def messages(self, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ratios toxic : other of the forward and backward messages. odds: chains x tokens."""
-        (oo, ot), (to, tt) = np.exp(self.moves)
+        (oo, ot), (to, tt) = np.exp(self.moves).tolist()
+        if len(odds) < 4:  # a chain alone: plain numbers are faster than arrays of one
+            pairs = [self._messages(x, oo, ot, to, tt) for x in odds.tolist()]
+            return np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
         forward, backward = np.empty_like(odds), np.empty_like(odds)
         forward[:, 0], backward[:, -1] = odds[:, 0], 1
         for k in range(1, odds.shape[1]):
@@ -95,6 +94,19 @@ class Field:
             backward[:, k] = (tt * q + to) / (ot * q + oo)
         return forward, backward
 
+    @staticmethod
+    def _messages(odds: list[float], oo: float, ot: float, to: float, tt: float) -> tuple[list[float], list[float]]:
+        r, forward = odds[0], [odds[0]]
+        for x in odds[1:]:
+            r = x * (r * tt + ot) / (r * to + oo)
+            forward.append(r)
+        b, backward = 1.0, [1.0]
+        for x in reversed(odds[1:]):
+            q = x * b
+            b = (tt * q + to) / (ot * q + oo)
+            backward.append(b)
+        return forward, backward[::-1]
+
     def marginals(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probability of toxic for each token of chains that lie one after another."""
         out = np.empty(len(scores))
@@ -266,12 +278,25 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, yes: int, no: int, chars: int, text: str = "text", key: str = "doc_id") -> list:
-    """At most yes and no training documents of either label, the least by hash of their ids."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, yes: int, no: int, most: int, text: str = "text", key: str = "doc_id") -> list:
+    """Whole texts of at most yes and no training documents of either label, the least by
+    hash of their ids, as many of them in that order as hold at most so many bytes."""
     known = labels.where(in_train(F.col(key))).where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     parts = [known.where(F.col("label") == y).orderBy(F.xxhash64(key), key).limit(n) for y, n in ((1, yes), (0, no))]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(key, F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars).alias("text")).join(chosen, key).dropDuplicates([key]).collect()
+    chosen = materialise(parts[0].unionByName(parts[1]), "toxicity-sample")
+    own = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sizes = own.join(F.broadcast(chosen), key).groupBy(key, "label").agg(F.max(F.octet_length("text")).alias("size"), F.xxhash64(key).alias("order")).collect()
+    held, fitting = 0, []
+    for r in sorted(sizes, key=lambda r: (r.order, r[key])):
+        held += r["size"]
+        if held <= most:
+            fitting.append((r[key],))
+        else:
+            held -= r["size"]
+    if not fitting:
+        return []
+    taken = docs.sparkSession.createDataFrame(fitting, chosen.select(key).schema)
+    rows = own.join(F.broadcast(taken), key).join(F.broadcast(chosen), key).dropDuplicates([key]).collect()
     return sorted(rows, key=lambda r: r[key])
 
 
@@ -286,8 +311,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                batch = whole.slice(k, 200)
+            for batch in slices(whole, len(keep), rows=200):
                 texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
                 features, p, sizes = scorer.measures(texts)
                 ends = np.cumsum(sizes)
@@ -299,7 +323,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str, ..
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    rows = sample(docs, labels, "toxic", SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, text, key)
+    rows = sample(docs, labels, "toxic", SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES, text, key)
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
