@@ -3,8 +3,9 @@
 Positives are training documents labelled 1; unlabelled documents are drawn from the
 whole corpus and their labels never read. A small network minimises the
 non-negative unbiased risk of Kiryo et al. (2017) with the logistic loss, so its
-output is a probability. The class prior is estimated: the least ratio of the
-unlabelled to the positive share above a threshold of a classifier that tells the two apart.
+output is a probability. The class prior is estimated over all documents: the least
+ratio of their share above a threshold to the positives' share, under classifiers that
+tell positives from unlabelled documents, each on the half that it wasn't fitted to.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import STOP_WORDS, held_out, in_train, slices, table, text_bytes
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 8000, 16000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 512, 0.01, 1e-4
+#: Ways to halve the documents, for the class prior.
+HALVES = 6
 NAMES = (
     [f"class{k}" for k in range(CLASSES)]
     + "stop long_words word_length log_words repeated lines_repeated runs distinct top_word marked shouted ended line_length".split()
@@ -133,20 +136,66 @@ def fit_net(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, s
     return net
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0, fits: int = 6) -> float:
-    """Share of positives among the unlabelled: mean over splits of the least ratio on the half not seen.
+@dataclass
+class Halving:
+    """A classifier fitted to one half of the sample, and thresholds with the share of the other half's positives above each."""
 
-    Over sets that hold at least a fifth of the positives.
-    """
-    rng, found = np.random.default_rng(seed), []
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
-    for k in range(fits):
-        p, u = rng.permutation(positive), rng.permutation(unlabelled)
-        net = fit_net(p[:half_p], u[:half_u], None, k, epochs=20)
-        p, u = np.sort(net.probability(p[half_p:])), np.sort(net.probability(u[half_u:]))
-        cuts = np.quantile(p, np.linspace(0, 0.8, 81))
-        found.append(((1 - np.searchsorted(u, cuts, "left") / len(u)) / (1 - np.searchsorted(p, cuts, "left") / len(p))).min())
-    return float(np.clip(np.mean(found), 0.05, 0.99))
+    net: Net
+    cuts: np.ndarray
+    positive_share: np.ndarray
+
+
+def halvings(positive: np.ndarray, in_positive: np.ndarray, unlabelled: np.ndarray, in_unlabelled: np.ndarray, seed: int = 0) -> list[Halving]:
+    """in_...: a column for each way to halve, True for the half to fit to. Thresholds keep at least a fifth of the positives."""
+    out = []
+    for k in range(in_positive.shape[1]):
+        p, q, u = positive[in_positive[:, k]], positive[~in_positive[:, k]], unlabelled[in_unlabelled[:, k]]
+        if len(p) and len(q) and len(u):
+            net = fit_net(p, u, None, seed + k, epochs=20)
+            q = np.sort(net.probability(q))
+            cuts = np.quantile(q, np.linspace(0, 0.8, 81))
+            out.append(Halving(net, cuts, 1 - np.searchsorted(q, cuts, "left") / len(q)))
+    return out
+
+
+def class_prior(found: list[Halving], shares_above: list[np.ndarray]) -> float:
+    """Share of positives among all documents, from the documents' shares above each halving's thresholds: the mean of the least ratios."""
+    ratios = [(share / h.positive_share).min() for h, share in zip(found, shares_above, strict=True)]
+    return float(np.clip(np.mean(ratios), 0.05, 0.99)) if ratios else 0.5
+
+
+def fitted_half(key) -> object:
+    """array<boolean>: for each way to halve, whether a document is in the half that classifiers are fitted to."""
+    return F.array(*[F.xxhash64(F.lit(f"half{k}"), key) % 2 == 0 for k in range(HALVES)])
+
+
+def shares_above(docs: DataFrame, found: list[Halving], text: str, key: str) -> list[np.ndarray]:
+    """Of all documents in the half not fitted to, the share above each threshold: one pass that counts in the tasks and sends a row each."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    size = sum(len(h.cuts) + 1 for h in found)
+    source = docs.select(F.col(text).alias("text"), fitted_half(F.col(key)).alias("half"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = shared.value, np.zeros(size, np.int64)
+        for whole in batches:
+            for batch in slices(whole, 0):
+                x = np.array([features(t) for t in text_bytes(batch.column(0))])
+                half = np.array(batch.column(1).to_pylist(), bool)
+                counts = []
+                for k, h in enumerate(found):
+                    own = np.sort(h.net.probability(x[~half[:, k]]))
+                    counts += [[len(own)], len(own) - np.searchsorted(own, h.cuts, "left")]
+                total += np.concatenate(counts).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "n"])
+
+    totals = np.zeros(size)
+    for r in source.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        totals[r["at"]] = r["n"]
+    out, at = [], 0
+    for h in found:
+        out.append(totals[at + 1 : at + 1 + len(h.cuts)] / max(totals[at], 1))
+        at += len(h.cuts) + 1
+    return out
 
 
 def rows_of(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -161,25 +210,28 @@ def rows_of(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return source.mapInArrow(run, ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", features array<double>")
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
-    """Features of trusted positives and of unlabelled documents, the least by hash of their ids."""
-    trusted = labels.where(in_train(F.col(key)) & (F.col("quality") == 1)).select(key).distinct().orderBy(F.xxhash64(key), key).limit(POSITIVES).withColumn("positive", F.lit(True))
-    corpus = docs.where(in_train(F.col(key))).select(key).distinct().orderBy(F.xxhash64(F.lit("unlabelled"), key), key).limit(UNLABELLED).withColumn("positive", F.lit(False))
-    chosen = F.broadcast(trusted.unionByName(corpus).groupBy(key).agg(F.max("positive").alias("p"), F.max(~F.col("positive")).alias("u")))
-    found = rows_of(docs.join(chosen, key).select(key, text, "p", "u"), text, (key, "p", "u")).dropDuplicates([key]).collect()
-    found.sort(key=lambda r: r[key])
-    width = len(NAMES)
-    return tuple(np.array([r.features for r in found if r[c]], float).reshape(-1, width) for c in ("p", "u"))
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and halves of trusted positives, then of unlabelled documents: the least by hash of their ids."""
+    trusted = labels.where(in_train(F.col(key)) & (F.col("quality") == 1)).select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(POSITIVES).withColumn("positive", F.lit(True))
+    narrow = docs.where(in_train(F.col(key))).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    corpus = narrow.select("k").distinct().orderBy(F.xxhash64(F.lit("unlabelled"), "k"), "k").limit(UNLABELLED).withColumn("positive", F.lit(False))
+    chosen = F.broadcast(trusted.unionByName(corpus).groupBy("k").agg(F.max("positive").alias("p"), F.max(~F.col("positive")).alias("u")))
+    joined = narrow.join(chosen, "k").withColumn("half", fitted_half(F.col("k")))
+    found = rows_of(joined, "text", ("k", "p", "u", "half")).dropDuplicates(["k"]).collect()
+    found.sort(key=lambda r: r.k)
+    own = [[r for r in found if r[c]] for c in ("p", "u")]
+    return [(np.array([r.features for r in rows], float).reshape(-1, len(NAMES)), np.array([r.half for r in rows], bool).reshape(-1, HALVES)) for rows in own]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Net | None:
     """None without positives or unlabelled documents."""
-    positive, unlabelled = sample(docs, labels, text, key)
+    (positive, in_positive), (unlabelled, in_unlabelled) = sample(docs, labels, text, key)
     if len(positive) < 2 or len(unlabelled) < 2:
         return None
+    found = halvings(positive, in_positive, unlabelled, in_unlabelled)
+    prior = class_prior(found, shares_above(docs, found, text, key)) if found else 0.5
     rng = np.random.default_rng(1)
-    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
-    return fit_net(positive, unlabelled, class_prior(positive, unlabelled))
+    return fit_net(rng.permutation(positive), rng.permutation(unlabelled), prior)
 
 
 def score(docs: DataFrame, net: Net | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
