@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import main_text
-from .shared import in_train, materialise, table
+from .shared import in_train, materialise, slices, table
 
 BITS = 15
-#: Labels that get a text model, the most frequent ones, at most.
-MOST_LANGUAGES = 100
+#: A text model takes 128 KB; with more labels than this an error asks to join variants of labels first, none is dropped.
+MOST_LANGUAGES = 2000
 #: Weight of a trigram's log likelihood, and trigrams after which a longer text counts no more than its mean.
 TRUST, ENOUGH = 0.3, 400
 #: Records that a smoothing prior counts for.
@@ -57,11 +57,13 @@ def in_parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language), from all training documents with a label.
 
-    Each document counts once, whatever its length. The driver gets at most
-    MOST_LANGUAGES x 2 ** BITS sums.
+    Each document counts once, whatever its length. Every label gets a model. The driver
+    gets at most MOST_LANGUAGES x 2 ** BITS sums; more labels are an error.
     """
     labelled = docs.where(in_train(F.col(key)) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    languages = sorted(r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    languages = sorted(r.lang for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} language labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {x: np.zeros(1 << BITS) for x in languages}
@@ -89,8 +91,7 @@ def text_scores(rows: DataFrame, model: np.ndarray, keep: list[str], text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for batch in slices(whole, len(keep)):
                 raw = batch.column(len(keep)).to_pylist()
                 declared = [m[1].lower() if h and (m := DECLARED.search(h)) else None for h in raw] if html else []
                 texts = [(main_text(t) if html else t or "").encode() if t else b"" for t in raw]
@@ -152,10 +153,10 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     for r in told:
         by_true[languages.index(r.declared)] += [r[f"s{k}"] or 0.0 for k in range(n)]
     likelihood = np.log(by_true / by_true.sum(axis=0))
-    reliability = F.create_map(*[x for d in range(n) for x in (F.lit(languages[d]), F.array(*[F.lit(float(v)) for v in likelihood[d]]))])
-    said = F.coalesce(F.try_element_at(reliability, F.coalesce("declared", F.lit(""))), F.array(*[F.lit(0.0)] * n))
+    reliability = scored.sparkSession.createDataFrame([(x, [float(v) for v in row]) for x, row in zip(languages, likelihood, strict=True)], "declared string, said array<double>")
+    said = F.coalesce("said", F.array_repeat(F.lit(0.0), n))
 
-    joined = scored.join(known, ["suffix", "host"])
+    joined = scored.join(known, ["suffix", "host"]).join(F.broadcast(reliability), "declared", "left")
     others = F.zip_with("host_sums", "own", lambda a, b: a - b)
     prior = smoothed(others, F.col("suffix_prior"), HOST_WEIGHT)
     logits = F.zip_with(F.zip_with("scores", said, lambda a, b: a + b), prior, lambda a, b: a + F.log(b))
