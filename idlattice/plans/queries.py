@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksum, dates, scores, text
-from ..operators import candidates, classify, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
+from ..operators import candidates, classify, display, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
 from ..operators.boxes import BOX_SQL
 from ..sources import readers, sinks
 from . import corpus
@@ -210,13 +210,13 @@ Q12 = f'{W} SELECT doc_id, round(avg(conf), 6) AS conf, min("left") AS x, min(to
 
 def q13_box_overlap(spark, d):
     rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("seq"), F.concat(F.lit("f"), "l_linenumber").alias("field_name"),
+        F.col("l_orderkey").alias("doc_id"), (((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity")).cast("long").alias("seq"), F.concat(F.lit("f"), "l_linenumber").alias("field_name"),
         F.struct(((F.col("l_partkey") % 50) * 4).cast("int").alias("x"), ((F.col("l_suppkey") % 10) * 10).cast("int").alias("y"), (F.col("l_quantity") * 2).cast("int").alias("w"), (F.col("l_linenumber") * 5 + 20).cast("int").alias("h")).alias("box"),
     )
     return layout.overlapping_pairs(rows).select("doc_id", "first", "second", F.round("share", 6).alias("share"))
 
 
-Q13 = """WITH b AS (SELECT l_orderkey AS doc_id, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS seq, l_linenumber AS line, (l_partkey % 50) * 4 AS x, (l_suppkey % 10) * 10 AS y, CAST(l_quantity * 2 AS INT) AS w, l_linenumber * 5 + 20 AS h FROM lineitem),
+Q13 = """WITH b AS (SELECT l_orderkey AS doc_id, CAST(((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity AS BIGINT) AS seq, l_linenumber AS line, (l_partkey % 50) * 4 AS x, (l_suppkey % 10) * 10 AS y, CAST(l_quantity * 2 AS INT) AS w, l_linenumber * 5 + 20 AS h FROM lineitem),
 p AS (SELECT a.doc_id, 'f' || a.line AS first, 'f' || b.line AS second, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS dx, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS dy, a.w * a.h AS s, b.w * b.h AS t FROM b a JOIN b b ON a.doc_id = b.doc_id AND a.seq < b.seq)
 SELECT doc_id, first, second, round(dx * dy / least(s, t), 6) AS share FROM p WHERE dx > 0 AND dy > 0 AND s > 0 AND t > 0 AND dx * dy / least(s, t) > 0.3"""
 
@@ -389,28 +389,103 @@ def q30_attribution(spark, d):
 Q30 = f"{C}, {V} SELECT doc_id, seq, CASE status WHEN 'FAIL' THEN CASE WHEN contains(field_name, 'checksum') THEN 40 ELSE 20 END WHEN 'WARN' THEN 10 ELSE 0 END AS points, CASE status WHEN 'PASS' THEN '#28a745' WHEN 'WARN' THEN '#ffc107' ELSE '#dc3545' END AS colour FROM v"
 
 
+#: Fields of passports that page 2 gives first, beside the planted ones.
+SECOND_PAGE = ["place_of_birth", "place_of_issue"]
+
+
 def two_pages(spark, d):
     f = planted_fields(spark, d)
-    blank = lambda n, r: f.where((F.col("doc_id") + F.col("field_seq")) % 7 != n).withColumn("value", F.when((F.col("doc_id") + F.col("field_seq")) % 5 == r, F.lit("NOT_FOUND")).otherwise(F.concat(F.col("value"), F.lit(f"/{n}"))))
-    return blank(1, 0), blank(2, 3)
+    more = f.where("document_type = 'PASSPORT' AND field_seq = 0").withColumn("field_name", F.explode(F.array(*map(F.lit, SECOND_PAGE))))
+    f = f.unionByName(more.withColumns({"field_seq": F.when(F.col("field_name") == SECOND_PAGE[0], 7).otherwise(8), "value": F.concat(F.lit("city "), "doc_id")}))
+    keep = ["doc_id", "field_name", "value", "confidence", "status", "box"]
+
+    def page(n, r):
+        gone = (F.col("doc_id") + F.col("field_seq")) % 5 == r
+        own = f.where((F.col("doc_id") + F.col("field_seq")) % 7 != n).withColumns({"value": F.when(gone, F.lit("NOT_FOUND")).otherwise(F.concat(F.col("value"), F.lit(f"/{n}"))), "status": F.when(gone, "not_found").otherwise(f"page {n}"), "confidence": F.lit(n / 10) + F.col("field_seq") / 100})
+        return merge.shifted(own, F.lit(100 * n), F.lit(n)).select(*keep)
+
+    return page(1, 0), page(2, 3)
+
+
+def shown_fields(fields):
+    return fields.select("doc_id", "field_name", "value", F.round("confidence", 6).alias("confidence"), "status", "box.x", "box.y", "box.w", "box.h")
+
+
+def _page(n, r):
+    gone = f"(doc_id + field_seq) % 5 = {r}"
+    return f"SELECT doc_id, field_name, {{{{'value': CASE WHEN {gone} THEN 'NOT_FOUND' ELSE value || '/{n}' END, 'confidence': {n} / 10.0 + field_seq / 100.0, 'status': CASE WHEN {gone} THEN 'not_found' ELSE 'page {n}' END, 'x': m % 3 * 20 + {100 * n}, 'y': (doc_id * 13 + box_seq * 17) % 120 + {n}}}}} AS {'ab'[n - 1]} FROM pf WHERE (doc_id + field_seq) % 7 <> {n}".replace("{{", "{").replace("}}", "}")
 
 
-_P = f"{C}, pf AS ({PF}), a AS (SELECT doc_id, field_name, CASE WHEN (doc_id + field_seq) % 5 = 0 THEN 'NOT_FOUND' ELSE value || '/1' END AS v1 FROM pf WHERE (doc_id + field_seq) % 7 <> 1), b AS (SELECT doc_id, field_name, CASE WHEN (doc_id + field_seq) % 5 = 3 THEN 'NOT_FOUND' ELSE value || '/2' END AS v2 FROM pf WHERE (doc_id + field_seq) % 7 <> 2)"
+_P = f"""{C}, pf AS (SELECT *, field_seq AS box_seq FROM ({PF}) UNION ALL SELECT doc_id, kind, m, 7, 'place_of_birth', 'city ' || doc_id, 0 FROM c WHERE kind = 'PASSPORT' UNION ALL SELECT doc_id, kind, m, 8, 'place_of_issue', 'city ' || doc_id, 0 FROM c WHERE kind = 'PASSPORT'),
+a AS ({_page(1, 0)}), b AS ({_page(2, 3)})"""
+_ROW = "r.value AS value, round(CAST(r.confidence AS DOUBLE), 6) AS confidence, r.status AS status, r.x AS x, r.y AS y, 60 AS w, 20 AS h"
 
 
 def q31_page_merge(spark, d):
-    return merge.merge_pages(*two_pages(spark, d))
+    return shown_fields(merge.merge_pages(*two_pages(spark, d)))
 
 
-_ID = ", ".join(f"'{f}'" for f in merge.IDENTITY_FIELDS)
-Q31 = f"{_P} SELECT doc_id, field_name, coalesce(CASE WHEN field_name IN ({_ID}) THEN coalesce(nullif(v1, 'NOT_FOUND'), nullif(v2, 'NOT_FOUND')) ELSE coalesce(nullif(v2, 'NOT_FOUND'), nullif(v1, 'NOT_FOUND')) END, 'NOT_FOUND') AS value FROM a FULL JOIN b USING (doc_id, field_name)"
+_FOUND_A, _FOUND_B = "CASE WHEN a.value <> 'NOT_FOUND' THEN a END", "CASE WHEN b.value <> 'NOT_FOUND' THEN b END"
+Q31 = f"""{_P} SELECT doc_id, field_name, {_ROW} FROM (SELECT doc_id, field_name, CASE WHEN field_name IN ('passport_number', 'name', 'nationality', 'dob', 'expiry', 'sex', 'mrz_line1', 'mrz_line2')
+THEN coalesce({_FOUND_A}, {_FOUND_B}, a, b) ELSE coalesce({_FOUND_B}, {_FOUND_A}, b, a) END AS r FROM a FULL JOIN b USING (doc_id, field_name))"""
 
 
 def q32_fallback_fill(spark, d):
-    return merge.fill_missing(*two_pages(spark, d))
+    return shown_fields(merge.fill_missing(*two_pages(spark, d)))
 
 
-Q32 = f"{_P} SELECT doc_id, field_name, CASE WHEN v1 IS NULL OR v1 = 'NOT_FOUND' THEN CASE WHEN v2 IS NULL OR v2 = 'NOT_FOUND' THEN 'NOT_FOUND' ELSE v2 END ELSE v1 END AS value FROM a FULL JOIN (SELECT * FROM b WHERE v2 <> 'NOT_FOUND') USING (doc_id, field_name)"
+Q32 = f"{_P}, s AS (SELECT * FROM b WHERE b.value <> 'NOT_FOUND') SELECT doc_id, field_name, {_ROW} FROM (SELECT doc_id, field_name, coalesce({_FOUND_A}, b, a) AS r FROM a FULL JOIN s USING (doc_id, field_name))"
+
+
+def q46_page_order(spark, d):
+    """Two sides of a picture, or one; the page that comes first, and the whole picture's words."""
+    docs = typed(spark, d)
+    side = lambda n: docs.where(f"m % 5 <> {3 if n == 'B' else 99}").select("doc_id", F.lit(n).alias("side"), (F.col("ocr_raw_text") if n == "A" else F.when(F.col("m") % 2 == 0, F.concat("mrz1", F.lit("\n"), "mrz2")).otherwise(F.col("last"))).alias("text"), F.lit(0 if n == "A" else 300).alias("dx"), F.lit(0).alias("dy"), (F.lit(0.5) if n == "A" else F.lit(0.25)).alias("confidence"), F.slice("word_map", 1, 1).alias("word_map"))
+    whole = merge.whole_picture(split.page_order(side("A").unionByName(side("B"))))
+    return whole.select("doc_id", F.md5("ocr_raw_text").alias("text_md5"), "ocr_confidence", F.array_join(F.transform("word_map", lambda w: w["left"].cast("string")), ",").alias("lefts"))
+
+
+_POINTS = "list_sum(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(upper(x), '[^A-Z0-9<]', '', 'g')), lambda x: length(x) >= 30), lambda x: CASE WHEN starts_with(x, 'P<') OR (starts_with(x, 'P') AND length(x) - length(replace(x, '<', '')) >= 5) THEN 15 WHEN length(x) - length(replace(x, '<', '')) >= 10 THEN 10 WHEN length(x) - length(replace(x, '<', '')) >= 5 THEN 5 ELSE 0 END))"
+Q46 = f"""{W}, s AS (SELECT doc_id, 'A' AS side, raw_text AS t FROM c UNION ALL SELECT doc_id, 'B', CASE WHEN m % 2 = 0 THEN mrz1 || chr(10) || mrz2 ELSE last END FROM c WHERE m % 5 <> 3),
+p AS (SELECT doc_id, side, coalesce(t, '') AS t, coalesce({_POINTS}, 0) + length(coalesce(t, '')) - length(replace(coalesce(t, ''), '<', '')) AS n FROM s), f AS (SELECT doc_id, max(CASE WHEN side = 'A' THEN t END) AS ta, max(CASE WHEN side = 'B' THEN t END) AS tb, max(CASE WHEN side = 'A' THEN n END) AS na, max(CASE WHEN side = 'B' THEN n END) AS nb FROM p GROUP BY 1),
+l AS (SELECT doc_id, arg_min("left", n) AS x FROM w GROUP BY 1)
+SELECT doc_id, md5(CASE WHEN nb IS NULL THEN ta WHEN na >= nb THEN ta || chr(10) || tb ELSE tb || chr(10) || ta END) AS text_md5, CASE WHEN nb IS NULL THEN 0.5 ELSE 0.375 END AS ocr_confidence, CASE WHEN nb IS NULL THEN '' || x WHEN na >= nb THEN x || ',' || (x + 300) ELSE (x + 300) || ',' || x END AS lefts FROM f JOIN l USING (doc_id)"""
+
+
+def first_lines(spark, d):
+    """The first line of each document as a field: right, with another value, or without a box."""
+    docs = typed(spark, d).where("kind <> 'UNKNOWN'")
+    own = F.filter("word_map", lambda w: w["top"] == F.array_min(F.transform("word_map", lambda x: x["top"])))
+    line = F.array_join(F.transform(own, lambda w: w["text"]), " ")
+    value = F.when(F.col("m") % 4 == 0, F.concat(line, F.lit(" X"))).when(F.col("m") % 4 == 1, F.lit("NOT_FOUND")).otherwise(F.upper(line))
+    box = F.when(F.col("m") % 4 != 2, layout.union_box(own))
+    return docs, docs.select("doc_id", F.lit("name").alias("field_name"), F.lit(0).alias("field_seq"), value.alias("value"), F.when(F.col("m") % 8 == 3, "low_confidence").otherwise("ok").alias("status"), box.alias("box"))
+
+
+def q47_highlights(spark, d):
+    docs, fields = first_lines(spark, d)
+    return display.with_highlights(fields, docs).select("doc_id", "field_name", "highlight_status")
+
+
+Q47 = f"{C} SELECT doc_id, 'name' AS field_name, CASE WHEN m % 4 IN (0, 2) THEN 'Highlight unavailable for this field.' ELSE '' END AS highlight_status FROM c WHERE kind <> 'UNKNOWN'"
+
+
+def q48_display_text(spark, d):
+    docs, fields = first_lines(spark, d)
+    named = typed(spark, d).select("doc_id", F.col("kind").alias("document_type"), F.lit(0.875).alias("classification_confidence"))
+    return display.ocr_display(named, display.with_highlights(fields, docs))
+
+
+Q48 = f"""{C}, f AS (SELECT doc_id, kind, m, string_split(raw_text, chr(10))[1] AS line FROM c)
+SELECT doc_id, 'CLASSIFIED DOCUMENT: ' || kind || chr(10) || CASE WHEN kind = 'UNKNOWN' THEN '' ELSE 'CLASSIFICATION CONFIDENCE: 87.5%' || chr(10) END || repeat('=', 45) || chr(10) ||
+CASE WHEN kind = 'UNKNOWN' THEN '  (No fields extracted successfully yet)' WHEN m % 4 = 1 THEN 'EXTRACTED DETAILS:' || chr(10) || '  (No fields extracted successfully yet)'
+ELSE 'EXTRACTED DETAILS:' || chr(10) || '  Name: ' || CASE WHEN m % 4 = 0 THEN line || ' X' ELSE upper(line) END || CASE WHEN m % 4 IN (0, 2) THEN ' [Highlight unavailable]' ELSE '' END || CASE WHEN m % 8 = 3 THEN ' [Low Confidence]' ELSE '' END END AS display FROM f"""
+
+
+def q49_failed_rules(spark, d):
+    docs = typed(spark, d).where("kind <> 'UNKNOWN'")
+    none = planted_fields(spark, d).where("FALSE")
+    return display.failed_rules(validate.validate(planted_fields(spark, d), AS_OF), fraud.signals(docs, none)).select("doc_id", "title", "points")
 
 
 # -- audit, exports, tables ------------------------------------------------------------
@@ -446,6 +521,10 @@ SELECT doc_id, {_LABEL.format("field_name")} AS label, value, CASE WHEN (doc_id
 UNION ALL SELECT doc_id, {_LABEL.format("field_name")}, '', '', status FROM v WHERE NOT EXISTS (SELECT 1 FROM pf WHERE pf.doc_id = v.doc_id AND contains(v.field_name, pf.field_name))"""
 
 
+Q49 = f"""{C}, {V} SELECT doc_id, 'Rule Failure: ' || {_LABEL.format("field_name")} AS title, CASE WHEN contains(field_name, 'checksum') THEN 40 ELSE 20 END AS points FROM v WHERE status = 'FAIL'
+UNION ALL SELECT doc_id, 'Editing Software Detected', 30 FROM c WHERE m % 10 = 0 AND kind <> 'UNKNOWN' UNION ALL SELECT doc_id, 'Timestamp Mismatch', 15 FROM c WHERE m % 12 = 0 AND kind <> 'UNKNOWN'"""
+
+
 def pictures(spark, d):
     """A 24 x 16 picture for each supplier, arithmetic of its key."""
     pixel = F.transform(F.sequence(F.lit(0), F.lit(24 * 16 - 1)), lambda i: ((F.col("s_suppkey") * 31 + i * i * (1 + F.col("s_suppkey") % 5) + (i % 24) * 11) % 256).cast("int"))
@@ -552,6 +631,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules,
 }
 
 SQL = {
@@ -560,4 +640,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49,
 }

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import logging
+from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name
+from ..plans.storage import stored
 from .readers import AUDIT_SCHEMA
 
 log = logging.getLogger(__name__)
@@ -31,21 +34,38 @@ def field_map(fields: DataFrame) -> DataFrame:
     return fields.groupBy("doc_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("field_seq", "field_name", "value"))), lambda x: F.struct(x["field_name"], x["value"]))).alias("values"))
 
 
-def audit_rows(scores: DataFrame, fields: DataFrame, docs: DataFrame, stamp: str, first_id: int = 1) -> DataFrame:
-    """Rows for the audit table. docs: doc_id, image_path and document_hash. Ids grow from first_id,
-    without a global sort: they are unique and increasing within a partition."""
+def audit_rows(scores: DataFrame, fields: DataFrame, docs: DataFrame, stamp: str) -> DataFrame:
+    """Rows for the audit table, without ids, which append_audit gives. docs: doc_id, image_path and document_hash."""
     kept = F.to_json(F.coalesce("values", F.create_map().cast("map<string,string>")))
     joined = scores.join(field_map(fields), "doc_id", "left").join(docs.select("doc_id", "image_path", "document_hash"), "doc_id", "left")
     return joined.select(
-        (F.monotonically_increasing_id() + first_id).alias("id"), F.lit(stamp).alias("timestamp"), F.coalesce("document_hash", F.lit("UNKNOWN")).alias("document_hash"),
+        F.lit(stamp).alias("timestamp"), F.coalesce("document_hash", F.lit("UNKNOWN")).alias("document_hash"),
         F.coalesce("image_path", F.lit("")).alias("file_path"), "document_type", F.col("fraud_risk_score").alias("risk_score"), F.col("final_decision").alias("verdict"), kept.alias("extracted_fields"), F.lit("1.0.0").alias("pipeline_version"),
     )
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Appends only; repeated documents are logged again."""
+def append_audit(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Appends a batch's rows to the audit table; repeated documents are logged again.
+
+    Each batch is a folder of its number, so that a batch that runs again replaces its own
+    rows. Ids go on from the greatest of lesser batches, without a gap and without a sort:
+    the rows of each partition are counted first. batch: by default one more than the last.
+    One writer at a time.
+    """
     spark = rows.sparkSession
-    rows.to(spark.createDataFrame([], AUDIT_SCHEMA).schema).write.mode("append").parquet(path)
+    try:
+        known = spark.read.parquet(path).groupBy("batch").agg(F.max("id").alias("id")).collect()  # a row for each batch
+    except AnalysisException:
+        known = []
+    number = batch if batch is not None else max((r.batch for r in known), default=-1) + 1
+    first = max((r.id for r in known if r.batch < number), default=0) + 1
+    rows = stored(rows.to(spark.createDataFrame([], AUDIT_SCHEMA.removeprefix("id bigint, ")).schema), "audit")
+    placed = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    begins = list(accumulate((n for _, n in counts), initial=first))
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, begins, strict=False)], "_part int, _first bigint")
+    numbered = placed.join(F.broadcast(offsets), "_part").select((F.col("_first") + F.col("_at")).alias("id"), *rows.columns)
+    numbered.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
 
 def statistics(audit: DataFrame) -> DataFrame:
@@ -95,7 +115,7 @@ def export_all(outputs: dict[str, tuple[DataFrame, str]]) -> dict[str, str]:
     errors = {}
     for name, (df, path) in outputs.items():
         try:
-            (df.write.mode("append").parquet if name == "audit" else df.write.mode("overwrite").text)(path)
+            append_audit(df, path) if name == "audit" else df.write.mode("overwrite").text(path)
         except Exception as e:  # one sink's failure must not stop the others
             log.exception("output %s failed", name)
             errors[name] = str(e)

@@ -20,16 +20,15 @@ def verify_stream(docs: DataFrame, audit_path: str, checkpoint: str, as_of: str,
     """Verifies documents as they arrive and appends to the audit table.
 
     docs: a streaming DataFrame with doc_id, ocr_raw_text, ocr_confidence, word_map,
-    exif_tags, image_path and document_hash. A batch's rows carry its number, so that a
-    batch that is run again after a failure writes the same ids.
+    exif_tags, image_path and document_hash. A batch that is run again after a failure
+    replaces its own rows.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
             done = process_verification(classify(rows), as_of)
-            stamped = audit_rows(done.scores, done.fields, rows, stamp=f"{as_of} 00:00:00", first_id=number << 40)
-            append_audit(stamped, audit_path)
+            append_audit(audit_rows(done.scores, done.fields, rows, stamp=f"{as_of} 00:00:00"), audit_path, number)
         finally:
             rows.unpersist()
 

@@ -1,10 +1,12 @@
 """Operators on small documents, and their invariants."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from idlattice.operators import boxes, classify, extract, fraud, layout, models, pixels, split, validate
+from idlattice.operators import boxes, classify, extract, fraud, layout, merge, models, pixels, split, validate
 from idlattice.operators.candidates import NOT_FOUND
 from idlattice.plans import corpus
 from idlattice.sources import readers, sinks
@@ -149,3 +151,33 @@ def test_files_audit_and_exports(spark, tmp_path):
     assert readers.config(None) == {}
     modes = spark.createDataFrame([("PAN",), ("PAN_FALLBACK",)], "t string").select(readers.page_mode(F.col("t"), {"PAN": 6}).alias("m"), readers.languages(F.col("t")).alias("l")).collect()
     assert [r.m for r in modes] == [6, 11] and modes[0].l == "eng"
+
+
+def test_audit_batches(spark, tmp_path):
+    """Ids of many partitions and batches are unique and go on; a batch that runs again replaces its own rows."""
+    path = str(tmp_path / "audit")
+    for batch in (0, 1, 1):
+        rows = spark.range(0, 400, 1, 200).selectExpr("'t' timestamp", "cast(id as string) document_hash", "'' file_path", "'PAN' document_type", "1 risk_score", "'Genuine' verdict", "'{}' extracted_fields", "'1' pipeline_version")
+        sinks.append_audit(rows, path, batch)
+    sinks.append_audit(rows.limit(1), path)
+    ids = [r.id for r in readers.audit(spark, path).collect()]
+    assert ids == list(range(801, 0, -1))
+
+
+def test_reports_of_a_document(spark):
+    fields = spark.createDataFrame([(1, 0, "name", "A < B", "A < B", 0.5, None)], "doc_id long, field_seq int, field_name string, value string, raw_text string, confidence double, box struct<x:int,y:int,w:int,h:int>")
+    validations = spark.createDataFrame([(1, 0, "pan_format", "FAIL", "x", None)], "doc_id long, seq int, field_name string, status string, expected string, actual string")
+    signals = spark.createDataFrame([(1, 0, "n", 5, "d", "s")], "doc_id long, seq int, name string, score int, description string, source string")
+    scores = spark.createDataFrame([(1, "PAN", 0.9, 0.8, 70, 30, 70, "Genuine")], "doc_id long, document_type string, classification_confidence double, ocr_confidence double, extraction_reliability int, fraud_risk_score int, authenticity_score int, final_decision string")
+    docs = spark.createDataFrame([(1, "p.png", "text")], "doc_id long, image_path string, ocr_raw_text string")
+    told = json.loads(sinks.report_json(docs, fields, validations, signals, scores).first().json)
+    assert told["extracted_fields"]["name"]["value"] == "A < B" and told["fraud_signals"][0]["score"] == 5 and told["validation_results"][0]["status"] == "FAIL"
+    page = sinks.report_html(fields, validations, scores).first().html
+    assert "<td>A &lt; B</td>" in page and sinks.RED in page and "Genuine" in page
+
+
+def test_one_sided_pictures_and_shifted_fields(spark):
+    pages = spark.createDataFrame([(1, "A", "x", 0, 0, []), (1, "B", "P<INDX<<<<<<<<<<<<<<<<<<<<<<<<<<<<", 9, 0, []), (2, "B", "y", 5, 5, [])], f"doc_id long, side string, text string, dx int, dy int, word_map {WORDS}")
+    assert {(r.doc_id, r.side, r.page) for r in split.page_order(pages).collect()} == {(1, "A", 2), (1, "B", 1), (2, "B", 1)}
+    fields = spark.createDataFrame([(1, (1, 2, 3, 4)), (2, None)], "doc_id long, box struct<x:int,y:int,w:int,h:int>")
+    assert [tuple(r.box) if r.box else None for r in merge.shifted(fields, F.lit(10), F.lit(20)).orderBy("doc_id").collect()] == [(11, 22, 3, 4), None]

@@ -13,7 +13,6 @@ from idlattice.plans import queries as engine
 from .conftest import ROOT, TINY
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"q29_full_verification", "q37_trained_scores"}
 
 
 def plain(rows, columns):
@@ -23,7 +22,7 @@ def plain(rows, columns):
     return sorted(tuple(one(r[c]) for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in engine.SQL if n != "q13_box_overlap"])
+@pytest.mark.parametrize("name", list(engine.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
