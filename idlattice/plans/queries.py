@@ -541,6 +541,17 @@ l AS (SELECT c.doc_id, c.g, sum(n.g) - 4 * c.g AS l FROM p c JOIN p n ON n.doc_i
 SELECT doc_id, round(var_pop(l), 4) AS blur_score, round(stddev_pop(g), 6) AS noise_score FROM l GROUP BY doc_id"""
 
 
+def q50_picture_repair(spark, d):
+    """The median filter, and how level the rows of ink lie."""
+    return pictures(spark, d).select("doc_id", F.md5(F.array_join(pixels.medians("pixels", "width"), ",")).alias("medians"), F.round(pixels.level("pixels", "width"), 6).alias("level"))
+
+
+Q50 = """WITH p AS (SELECT s_suppkey AS doc_id, i // 24 AS y, i % 24 AS x, (s_suppkey * 31 + i * i * (1 + s_suppkey % 5) + (i % 24) * 11) % 256 AS g FROM supplier, range(384) r(i)),
+m AS (SELECT c.doc_id, c.y, c.x, CAST(quantile_disc(n.g, 0.5) AS INT) AS g FROM p c, range(-1, 2) a(dy), range(-1, 2) b(dx), p n WHERE n.doc_id = c.doc_id AND n.y = greatest(0, least(15, c.y + dy)) AND n.x = greatest(0, least(23, c.x + dx)) GROUP BY 1, 2, 3),
+j AS (SELECT doc_id, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY y, x)) AS medians FROM m GROUP BY 1), r AS (SELECT doc_id, y, count(*) FILTER (g < 128) AS n FROM p GROUP BY 1, 2)
+SELECT doc_id, medians, round(var_pop(n), 6) AS level FROM r JOIN j USING (doc_id) GROUP BY 1, 2"""
+
+
 def q37_trained_scores(spark, d):
     """A model of fraud, trained on the synthetic set, over the corpus' features."""
     model, _ = models.train(models.training_set(spark, 2000), "fraud")
@@ -631,7 +642,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair,
 }
 
 SQL = {
@@ -640,5 +651,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50,
 }

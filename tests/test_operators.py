@@ -181,3 +181,22 @@ def test_one_sided_pictures_and_shifted_fields(spark):
     assert {(r.doc_id, r.side, r.page) for r in split.page_order(pages).collect()} == {(1, "A", 2), (1, "B", 1), (2, "B", 1)}
     fields = spark.createDataFrame([(1, (1, 2, 3, 4)), (2, None)], "doc_id long, box struct<x:int,y:int,w:int,h:int>")
     assert [tuple(r.box) if r.box else None for r in merge.shifted(fields, F.lit(10), F.lit(20)).orderBy("doc_id").collect()] == [(11, 22, 3, 4), None]
+
+
+def test_preprocessing_of_pictures(spark):
+    """Lines of text that lie askew are turned level; specks go; ink stays black on white."""
+    page = np.full((240, 240), 250.0)
+    page[20:220:12, 20:220] = page[21:220:12, 20:220] = page[22:220:12, 20:220] = 20
+    for turn in (-9, 0, 6):
+        assert abs(pixels.skew(pixels.rotated(page, turn, 250)) + turn) <= 1
+    specks = page.copy()
+    specks[5, 5], specks[230, 100] = 0, 0
+    assert (pixels.median(specks)[5, 5], pixels.median(specks)[230, 100]) == (250, 250)
+    out = pixels.binarised(page)
+    assert {*np.unique(out)} == {0, 255} and out[21, 100] == 0 and out[26, 100] == 255 and out[5, 5] == 255
+    rows = [(1, [int(v) for v in page[:60, :60].ravel()], 60), (2, [], 0), (3, None, None)]
+    done = {r.doc_id: r for r in pixels.preprocess(spark.createDataFrame(rows, "doc_id long, pixels array<int>, width int")).collect()}
+    assert done[1].width == 120 and len(done[1].pixels) == 120 * 120 and {*done[1].pixels} == {0, 255}
+    assert done[2].pixels == [] and done[3].pixels == []
+    plain = pixels.preprocess(spark.createDataFrame(rows[:1], "doc_id long, pixels array<int>, width int"), dict.fromkeys(pixels.STEPS, False)).first()
+    assert plain.width == 120 and {*plain.pixels} >= {20, 250}
