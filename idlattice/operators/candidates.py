@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
@@ -83,6 +83,18 @@ class Page:
     words: Column
     height: Column
     as_of: Column
+    known: Column  # clean words, for confidences
+    address: Column  # first line of an address
+    pin: Column  # first line with a PIN
+
+    @classmethod
+    def of(cls, as_of: str) -> Page:
+        """The page of documents that went through with_facts."""
+        return cls(F.col("lines"), F.col("words"), F.col("page_height"), F.to_date(F.lit(as_of)), F.col("known"), F.col("address_line"), F.col("pin_line"))
+
+    def anchors(self, field: str) -> Column:
+        """Numbers of the lines with a label of the field."""
+        return F.col(f"anchors_{field}") if field in ANCHORS else F.array().cast("array<int>")
 
 
 def candidate(text: Column, raw: Column, conf: Column, line: Column | int = -1, source: str = "visual", boost: Column | float = 0.0, labelled: Column | bool = False, probe: Column | None = None) -> Column:
@@ -109,6 +121,21 @@ def field_confidence(value: Column, words: Column) -> Column:
     return let(value, lambda v: F.when(v.isNull() | (v == NOT_FOUND) | (v == ""), F.lit(0.0)).otherwise(token_confidence(v, words, 0.0)))
 
 
+def confidence_in(value: Column, known: Column) -> Column:
+    """field_confidence with the page's clean words."""
+    from .classify import looked_up
+
+    return let(value, lambda v: F.when(v.isNull() | (v == NOT_FOUND) | (v == ""), F.lit(0.0)).otherwise(looked_up(v, known)))
+
+
+def with_facts(docs: DataFrame) -> DataFrame:
+    """Adds what all candidates of a document are judged against, computed once: clean words, lines with labels, of an address, with a PIN."""
+    from .classify import cleaned
+
+    facts = {"known": cleaned(F.col("words"), 0.0), "address_line": first_address_line(F.col("lines")), "pin_line": first_index(F.col("lines"), lambda x: x.rlike(r"\b[0-9]{6}\b"))}
+    return docs.withColumns(facts | {f"anchors_{f}": anchor_places(F.col("lines"), f) for f in ANCHORS})
+
+
 def upper_words(text: Column) -> Column:
     return tokens(F.regexp_replace(F.upper(text), r"[^A-Z\s]", ""))
 
@@ -196,7 +223,7 @@ def score(kind: str, field: str, c: Column, page: Page, given_line: Column) -> C
     """Rank of a candidate: OCR confidence, nearness to a label, place on the page, source and
     boost (twice), alignment of dates, length of names, form of numbers. given_line: -1 if the
     candidate came without a line."""
-    anchors = anchor_places(page.lines, field)
+    anchors = page.anchors(field)
     line, text, box = c["line"], c["text"], c["box"]
     nearest = F.get(F.array_sort(F.transform(anchors, lambda a: F.struct(F.abs(line - a).alias("d"), a.alias("a")))), F.lit(0))["a"]
     near = let(line - nearest, lambda s: F.when(s.isNull(), 0.0).when(s.isin(0, 1), 1.0).when(s == 2, 0.8).when(s == -1, 0.4).when(s == -2, 0.2).otherwise(0.1))
@@ -219,9 +246,9 @@ def score(kind: str, field: str, c: Column, page: Page, given_line: Column) -> C
         out = out - F.when(is_calendar_date(text) & (as_date(text) > page.as_of), 5.0).otherwise(0.0)
     if kind == "DRIVING_LICENCE" and field == "name":
         n = F.size(tokens(text))
-        pin = first_index(page.lines, lambda x: x.rlike(r"\b[0-9]{6}\b"))
+        pin = page.pin
         out = out + F.when(n.between(2, 5), 2.0).otherwise(-3.0) - F.when(text.rlike(ADDRESS_WORD), 50.0).otherwise(0.0) - F.when(overlap(upper_words(text), DL_PLACES), 20.0).otherwise(0.0)
-        out = out - F.when(text.rlike("[0-9]"), 20.0).otherwise(0.0) - F.when(line >= first_address_line(page.lines), 50.0).otherwise(0.0) - F.when((pin >= 0) & (F.abs(line - pin) <= 2), 20.0).otherwise(0.0)
+        out = out - F.when(text.rlike("[0-9]"), 20.0).otherwise(0.0) - F.when(line >= page.address, 50.0).otherwise(0.0) - F.when((pin >= 0) & (F.abs(line - pin) <= 2), 20.0).otherwise(0.0)
     if kind == "PASSPORT" and field == "name":
         labels = F.filter(F.transform(page.lines, lambda x, i: F.when(contains_any(F.lower(x), ["surname", "given name", "givenname"]), F.abs(line - i))), lambda d: d.isNotNull())
         by_label = F.aggregate(labels, F.lit(0.0), lambda s, d: s + F.when(d == 1, 5.0).when(d <= 2, 3.0).otherwise(0.0))
@@ -235,7 +262,7 @@ def score(kind: str, field: str, c: Column, page: Page, given_line: Column) -> C
 def confidence(kind: str, field: str, c: Column, page: Page) -> Column:
     """Combined confidence of a chosen candidate, 0 to 1: OCR, form, nearness to a label, place on the page."""
     conf = F.when(c["conf"] > 1, c["conf"] / 100).otherwise(c["conf"])
-    distance = nearest_distance(c["line"], anchor_places(page.lines, field))
+    distance = nearest_distance(c["line"], page.anchors(field))
     position = let(distance, lambda d: F.when(d <= 1, 1.0).when(d == 2, 0.8).when(d < 5, 0.6).otherwise(0.4))
     band = BANDS.get((kind, field)) if field not in ("dob", "father_name") else None
     template = F.when(c["box"].isNotNull() & band(page_share(c["box"], page)), 1.0).otherwise(0.8) if band else F.lit(0.8)
