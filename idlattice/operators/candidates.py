@@ -52,12 +52,14 @@ BANDS = {
     ("DRIVING_LICENCE", "dl_number"): lambda y: y < 0.5,
     ("DRIVING_LICENCE", "name"): lambda y: (y > 0.2) & (y < 0.6),
 }
+# Forms of numbers.
 NUMBER_FORMS = {
     ("AADHAAR", "aadhaar_number"): r"^[0-9]{12}$",
     ("PAN", "pan_number"): r"^[A-Z]{5}[0-9]{4}[A-Z]$",
     ("PASSPORT", "passport_number"): r"^[A-Z][0-9]{7}$",
     ("DRIVING_LICENCE", "dl_number"): r"^[A-Z]{2}[0-9]{13}$",
 }
+# Confidences under which a field is marked as low.
 LEAST_CONFIDENCE = {
     "name": 0.55, "father_name": 0.55, "dob": 0.60, "validity": 0.60, "expiry": 0.60,
     "aadhaar_number": 0.65, "pan_number": 0.65, "passport_number": 0.65, "dl_number": 0.65, "mrz_line1": 0.70, "mrz_line2": 0.70,
