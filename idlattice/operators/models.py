@@ -68,14 +68,24 @@ def features_for(data: DataFrame, target: str) -> DataFrame:
     return data.withColumns({c: F.lit(0.0) for c in AFTER_OCR}) if target == "ocr" else data
 
 
+def best_threshold(scored: DataFrame, label: str) -> DataFrame:
+    """One row: threshold, the median of the thresholds 0.10 to 0.90 with the best F1. scored: p and a 0/1 label.
+
+    Rows are counted once by how many thresholds they reach; only those 82 counts meet all thresholds.
+    """
+    places = F.sequence(F.lit(10), F.lit(90))
+    reached = F.size(F.filter(places, lambda t: F.col("p") >= t / 100))
+    counts = scored.groupBy(reached.alias("reached")).agg(F.count_if(F.col(label) == 1).alias("yes"), F.count_if(F.col(label) == 0).alias("no"))
+    above = F.col("reached") > F.col("t") - 10
+    sums = counts.select("*", F.explode(places).alias("t")).groupBy("t").agg(F.sum(F.when(above, F.col("yes")).otherwise(0)).alias("tp"), F.sum(F.when(above, F.col("no")).otherwise(0)).alias("fp"), F.sum("yes").alias("all"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all")), F.lit(0.0))
+    listed = sums.select("t", f1.alias("f1")).agg(F.array_sort(F.collect_list(F.struct("t", "f1"))).alias("r"), F.max("f1").alias("m"))
+    best = listed.select(F.transform(F.filter("r", lambda x: F.col("m") - x["f1"] < 1e-6), lambda x: x["t"]).alias("ts"))
+    return best.select(((F.get("ts", ((F.size("ts") - 1) / 2).cast("int")) + F.get("ts", (F.size("ts") / 2).cast("int"))) / 200).alias("threshold"))
+
+
 def thresholds(scored: DataFrame, label: str) -> float:
-    """Median of the thresholds 0.10 to 0.90 with the best F1. scored: p and a 0/1 label."""
-    grid = scored.select(F.explode(F.sequence(F.lit(10), F.lit(90))).alias("t"), "p", F.col(label).alias("y"))
-    yes = F.col("p") >= F.col("t") / 100
-    counts = grid.groupBy("t").agg(F.count_if(yes & (F.col("y") == 1)).alias("tp"), F.count_if(yes & (F.col("y") == 0)).alias("fp"), F.count_if(~yes & (F.col("y") == 1)).alias("fn"))
-    f1 = counts.select("t", F.coalesce(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"))
-    best = f1.agg(F.max("f1").alias("m"))
-    return f1.crossJoin(F.broadcast(best)).where("m - f1 < 1e-6").agg(F.median("t")).first()[0] / 100  # one row on the right
+    return best_threshold(scored, label).first()[0]
 
 
 def train(data: DataFrame, target: str, seed: int = 42) -> tuple[PipelineModel, dict]:

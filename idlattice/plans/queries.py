@@ -590,7 +590,7 @@ s AS (SELECT doc_id, sum(CASE WHEN length(x) < 30 THEN 0 WHEN starts_with(x, 'P<
 
 def q41_threshold_sweep(spark, d):
     scored = table(spark, d, "events").select((F.abs(F.col("value")) % 100 / 100).alias("p"), (F.col("event_type") == "purchase").cast("int").alias("y"))
-    return spark.range(1).select(F.lit(models.thresholds(scored, "y")).alias("threshold"))
+    return models.best_threshold(scored, "y")
 
 
 Q41 = """WITH e AS (SELECT abs(value) % 100 / 100 AS p, event_type = 'purchase' AS y FROM events), t AS (SELECT unnest(range(10, 91)) AS t), f AS (SELECT t, 2.0 * count(*) FILTER (p >= t / 100 AND y) / nullif(2.0 * count(*) FILTER (p >= t / 100 AND y) + count(*) FILTER (p >= t / 100 AND NOT y) + count(*) FILTER (p < t / 100 AND y), 0) AS f FROM e, t GROUP BY t)
