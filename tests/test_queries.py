@@ -63,3 +63,19 @@ def test_verification_of_the_corpus(spark):
     rows = engine.q29_full_verification(spark, TINY).collect()
     assert len(rows) == 120 and {r.final_decision for r in rows} >= {"Genuine", "Needs Manual Review"}
     assert all(0 <= r.fraud_risk_score <= 100 and 0 <= r.authenticity_score <= 100 for r in rows)
+
+
+def test_candidates_of_all_types(spark):
+    """The best candidate of a number or date is the field's value, for each type; ranks have no gaps and scores fall."""
+    rows = engine.q16_candidate_ranks(spark, TINY).collect()
+    docs = {r.doc_id: r for r in engine.corpus.documents(spark, TINY).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault((r.doc_id, r.field_name), []).append((r["rank"], r.score, r.text))
+    for own in by.values():
+        own.sort()
+        assert [k for k, _, _ in own] == list(range(1, len(own) + 1)) and all(a[1] >= b[1] for a, b in zip(own, own[1:], strict=False))
+    assert {docs[k].kind for k, _ in by} == {"AADHAAR", "PAN", "PASSPORT", "DRIVING_LICENCE"}
+    for field, column in (("pan_number", "number"), ("passport_number", "number"), ("dl_number", "number"), ("dob", "dob"), ("expiry", "expiry")):
+        firsts = [(own[0][2], docs[k][column]) for (k, f), own in by.items() if f == field]
+        assert firsts and all(a == b for a, b in firsts), field
