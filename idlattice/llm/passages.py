@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, slices, text_bytes
+from .shared import discard, materialise, slices, text_bytes
 from .words import CHOICE, SEED, Words
 
 #: Words beyond a chain's end that may be equal too: with CHOICE more, another seed would have been taken.
@@ -38,7 +38,9 @@ def chains(found: DataFrame) -> DataFrame:
     follows = (before["k"]["doc"] == F.col("k.doc")) & (before["k"]["th"] == F.col("k.th")) & (F.col("place") - before["place"] == F.col("k.place") - before["k"]["place"]) & (F.col("place") - before["place"] <= CHOICE)
     numbered = hits.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(order))
     grouped = numbered.groupBy("doc", "th", "chain").agg(F.min("place").alias("start"), (F.max("place") + SEED).alias("stop"), F.min("k").alias("k"))
-    return grouped.select("doc", "th", "start", "stop", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.place").alias("kstart"))
+    out = materialise(grouped.select("doc", "th", "start", "stop", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.place").alias("kstart")), "passages-chains")
+    discard(kept)
+    return out
 
 
 def surroundings(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     docs: doc, th (a hash of the text, for rows of one key with several texts), text;
     found: doc, th, place, h of their seeds.
     """
-    linked = materialise(chains(found), "passages-chains")
+    linked = chains(found)
     ends = F.explode(F.array(
         F.struct(F.lit(True).alias("left"), F.col("start").alias("at"), F.col("kstart").alias("kat")),
         F.struct(F.lit(False).alias("left"), F.col("stop").alias("at"), (F.col("kstart") + F.col("stop") - F.col("start")).alias("kat")),
@@ -89,4 +91,6 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     again = grown.select("doc", "th", (F.col("start") - F.col("l")).alias("start"), (F.col("stop") + F.col("r")).alias("stop"), F.lit(True).alias("again"))
     size = F.col("stop") - F.col("start")
     kept = grown.select(F.col("kdoc").alias("doc"), F.col("kth").alias("th"), (F.col("kstart") - F.col("l")).alias("start"), (F.col("kstart") + size + F.col("r")).alias("stop"), F.lit(False).alias("again"))
-    return again.unionByName(kept.distinct())
+    out = materialise(again.unionByName(kept.distinct()), "passages")
+    discard(linked, near)
+    return out

@@ -49,7 +49,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables that materialise wrote, once everything that reads them has been written itself."""
+    for df in written:
+        jvm, path = df.sparkSession._jvm, df.__dict__.pop("_written_to")
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,12 +142,14 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         # Large star: each node's greater neighbours go to its least neighbour (itself included).
         around = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Least neighbours are written first: only a join whose two sides are plain shuffles can be split at a hub.
+        old = now
         least = materialise(around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), tag)
         large = materialise(around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), tag)
         # Small star: each node and its lesser neighbours go to the least of them.
         low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         now = materialise(small, tag)
+        discard(old, least, large, low)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

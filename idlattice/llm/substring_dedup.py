@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .passages import passages
-from .shared import by_ids, components, materialise, slices, sorted_groups, table, text_bytes
+from .shared import by_ids, components, discard, materialise, slices, sorted_groups, table, text_bytes
 from .words import GOLDEN, SHINGLE, Words, mixed, odd_numbers
 
 SIMILARITY = 0.8
@@ -127,10 +127,13 @@ def buckets(lines: DataFrame, block: int = BLOCK) -> DataFrame:
         yield out()
 
     sets = materialise(banded.select("band", "ph").mapInArrow(run, "bucket bigint, part int, ph bigint").distinct(), "dedup-sets")
+    # All pairs of a large band's blocks.
     last = sets.where("part is not null").groupBy("bucket").agg(F.max("part").alias("last"))
     large = sets.where("part is not null").join(last, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).where("other <> part")
     pair = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
-    return sets.where("part is null").select("bucket", "ph").unionByName(large.select(pair.alias("bucket"), "ph"))
+    out = materialise(sets.where("part is null").select("bucket", "ph").unionByName(large.select(pair.alias("bucket"), "ph")), "dedup-buckets")
+    discard(sets)
+    return out
 
 
 def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
@@ -164,9 +167,8 @@ def similar(texts: list[bytes], similarity: float = SIMILARITY) -> list[int]:
     return root
 
 
-def links(docs: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between lines of a bucket whose components under exact similarity are one."""
-    wanted = materialise(met.select("ph").distinct(), "dedup-wanted")
+def links(docs: DataFrame, met: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between lines of a bucket whose components under exact similarity are one. wanted: the lines that are in buckets."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,12 +203,15 @@ def repeats(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -
     cluster: the least identity of similar lines; first: whether the document has
     the least key of all with the cluster. Clusters of one occurrence are left out.
     """
-    met = materialise(buckets(lines), "dedup-buckets")
-    joined = components(links(docs, met, similarity), "dedup-links").withColumnsRenamed({"node": "ph", "root": "cluster"})
+    met = buckets(lines)
+    wanted = materialise(met.select("ph").distinct(), "dedup-wanted")
+    joined = components(links(docs, met, wanted, similarity), "dedup-links").withColumnsRenamed({"node": "ph", "root": "cluster"})
     each = lines.groupBy("ph").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     of = materialise(each.join(joined, "ph", "left").withColumn("joined", F.col("cluster").isNotNull()).withColumn("cluster", F.coalesce("cluster", "ph")).where("joined or n > 1"), "dedup-clusters")
-    first = of.groupBy("cluster").agg(F.min("least").alias("least"))
-    known = of.select("ph", "cluster").join(first, "cluster")
+    # Aggregates are written first: only a join whose two sides are plain shuffles can be split at a hub.
+    first = materialise(of.groupBy("cluster").agg(F.min("least").alias("least")), "dedup-firsts")
+    known = materialise(of.select("ph", "cluster").join(first, "cluster"), "dedup-known")
+    discard(met, wanted, of, first)
     rows = lines.select("doc", "ph").join(known, "ph")
     return rows.groupBy("doc").agg(F.collect_set(F.struct("ph", "cluster", (F.col("doc") == F.col("least")).alias("first"))).alias("lines"))
 
@@ -318,10 +323,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity:
     found = materialise(occurrences(plain), "dedup-paragraphs")
     lines = found.where("place is null").select("doc", F.col("h").alias("ph"), *KEYS)
     seeds = found.where("place is not null").select("doc", "th", "place", "h")
-    lists = repeats(plain, lines, similarity)
-    spans = passages(plain, seeds).groupBy("doc").agg(F.collect_set(F.struct("th", "start", "stop", "again")).alias("spans"))
+    lists = materialise(repeats(plain, lines, similarity), "dedup-lists")
+    shared = passages(plain, seeds)
+    spans = shared.groupBy("doc").agg(F.collect_set(F.struct("th", "start", "stop", "again")).alias("spans"))
+    marked = materialise(lists.join(spans, "doc", "full").select("doc", "lines", "spans"), "dedup-marked")
+    discard(found, lists, shared)
     own = "_" + "".join(docs.columns)  # clashes with no column
-    both = lists.join(spans, "doc", "full").select(F.col("doc").alias(own + "k"), F.col("lines").alias(own + "l"), F.col("spans").alias(own + "s"))
+    both = marked.select(F.col("doc").alias(own + "k"), F.col("lines").alias(own + "l"), F.col("spans").alias(own + "s"))
     joined = docs.join(both, F.col(key) == F.col(own + "k"), "left").drop(own + "k").withColumn(own + "h", F.hash(text))
     fields, at = docs.schema.fields, docs.columns.index(text)
 

@@ -35,7 +35,7 @@ def test_any_text(text):
 
 def test_every_code_point():
     points = bpe.all_points()
-    texts = [" ".join(f"a{c} {c}b" for c in map(chr, points[k : k + 500])) for k in range(0, len(points), 500)]
+    texts = [" ".join(f"a{c}b" for c in map(chr, points[k : k + 500])) for k in range(0, len(points), 500)]
     for k in range(0, len(texts), 100):
         assert [x.tolist() for x in bpe.bpe(PATH).encode_batch(texts[k : k + 100])] == library(texts[k : k + 100])
 
