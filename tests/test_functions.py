@@ -95,3 +95,11 @@ def test_scores(spark):
     assert [value(spark, scores.verdict(F.lit(a), F.lit(r))) for a, r in ((75, 25), (39, 10), (80, 60), (60, 40))] == ["Genuine", "Suspicious", "Suspicious", "Needs Manual Review"]
     assert value(spark, scores.ratio(F.lit(1), F.lit(0))) == 0.0
     assert [value(spark, scores.risk_tier(F.lit(x))) for x in (20, 50, 75, 76)] == ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
+
+
+def test_small_text_helpers(spark):
+    assert value(spark, text.slug(F.lit("Needs Manual Review"))) == "needs-manual-review"
+    assert value(spark, text.first_match(F.lit("a12 b34"), "([a-z])([0-9]+)", 2)) == "12"
+    assert value(spark, text.first_match(F.lit("none"), "[0-9]+")) is None
+    assert value(spark, text.clean_and_normalize(F.lit("B-lO 5"), True)) == "8105"
+    assert value(spark, text.clean_and_normalize(F.lit(None).cast("string"))) == ""
