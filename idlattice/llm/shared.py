@@ -3,7 +3,6 @@ check, connected components and plain Arrow helpers."""
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -151,8 +150,3 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
         now = materialise(small, tag)
         discard(old, least, large, low)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
-def local_path(uri: str) -> str:
-    """The path of a file URI, as Python opens it."""
-    return re.sub(r"^file:(//)?(?=/)", "", uri)
