@@ -85,11 +85,17 @@ def is_calendar_date(iso: Column) -> Column:
     return F.coalesce(F.year(d).between(1900, 2100), F.lit(False))
 
 
-def mrz_date(yymmdd: Column, birth: bool) -> Column:
-    """YYYY-MM-DD of a machine-readable zone's YYMMDD, unchecked; births after 26 are of the last century."""
+def mrz_date_as_read(yymmdd: Column, birth: bool) -> Column:
+    """A machine-readable zone's YYMMDD with dashes and its century, unchecked: births after 26, or without a number, are of the last one."""
     yy = F.substring(yymmdd, 1, 2)
-    century = F.when(_number(yy) > 26, F.lit("19")).otherwise(F.lit("20")) if birth else F.lit("20")
-    return F.when(yymmdd.rlike("^[0-9]{6}$"), F.concat(century, yy, F.lit("-"), F.substring(yymmdd, 3, 2), F.lit("-"), F.substring(yymmdd, 5, 2)))
+    number = yy.try_cast("int")
+    century = F.when(number.isNull() | (number > 26), F.lit("19")).otherwise(F.lit("20")) if birth else F.lit("20")
+    return F.concat(century, yy, F.lit("-"), F.substring(yymmdd, 3, 2), F.lit("-"), F.substring(yymmdd, 5, 2))
+
+
+def mrz_date(yymmdd: Column, birth: bool) -> Column:
+    """The same, null unless the zone has six digits."""
+    return F.when(yymmdd.rlike("^[0-9]{6}$"), mrz_date_as_read(yymmdd, birth))
 
 
 def age(birth: Column, on: Column) -> Column:
