@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, language_id, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
+from . import bpe, decontamination, html_text, language_id, quality_classifier, quality_rules, simhash, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 SQL: dict[str, str] = {
     "op5_decontamination": decontamination.SQL,
     "op9_warc": warc.SQL,
+    "op11_spelling": spelling.SQL,
 }
