@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, language_id, language_model, quality_classifier, quality_rules, simhash, spelling, substring_dedup, toxicity, warc
+from . import alignment, bpe, decontamination, html_text, language_id, language_model, quality_classifier, quality_rules, simhash, spelling, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_spelling": spelling.op11_spelling,
     "op12_lm_scoring": language_model.op12_lm_scoring,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 SQL: dict[str, str] = {

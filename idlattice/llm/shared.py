@@ -42,12 +42,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage, so
     that a lost executor costs one read, and keeps expensive passes from running twice."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

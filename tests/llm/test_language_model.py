@@ -42,11 +42,11 @@ class Plain:
             self.begun[a][min(n, 3)] += 1
         self.d1, self.d2 = plain_discounts(self.before.values()), plain_discounts(self.pairs.values())
         self.n, self.v = self.count.total(), len(self.count)
+        self.given, self.followers = sum(self.d1[min(n, 3) - 1] for n in self.before.values()), self.before.total()
 
     def probability(self, a, b):
         less = lambda n, d: n - d[min(n, 3) - 1] if n else 0.0
-        given = sum(self.d1[min(n, 3) - 1] for n in self.before.values())
-        alone = (less(self.before[b], self.d1) + given / (self.v + 1)) / self.before.total()
+        alone = (less(self.before[b], self.d1) + self.given / (self.v + 1)) / self.followers
         if a not in self.context:
             return alone
         share = sum(self.d2[k - 1] * n for k, n in self.begun[a].items()) / self.context[a]
