@@ -7,7 +7,7 @@ document); m = k / 5 gives names, dates and planted defects. Names are invented.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
@@ -137,3 +137,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Image DateTime"), F.when(F.col("m") % 12 == 0, F.lit("2024:02:01 10:00:00")).otherwise(F.lit("2024:01:01 10:00:00")),
     )
     return with_words(docs).withColumn("exif_tags", tags).withColumn("ocr_confidence", F.col("ocr_confidence").cast("double")).withColumnRenamed("raw_text", "ocr_raw_text")
+
+
+def tiff_bytes(software: Column, changed: Column, taken: Column, big: Column) -> Column:
+    """A TIFF file whose tags are a program's name and two times, each longer than four bytes, in either byte order."""
+
+    def number(value: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(value), 2 * size, "0")
+        return F.unhex(F.when(big, digits).otherwise(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])))
+
+    def entry(tag: int, kind: int, count: Column, value: Column) -> Column:
+        return F.concat(number(F.lit(tag), 2), number(F.lit(kind), 2), number(count, 4), number(value, 4))
+
+    ended = lambda t: F.concat(F.encode(t, "UTF-8"), F.unhex(F.lit("00")))
+    size = lambda t: F.octet_length(t) + 1
+    first = F.lit(8 + 2 + 3 * 12 + 4)
+    second = first + size(software)
+    inner = second + size(changed)
+    return F.concat(
+        F.encode(F.when(big, "MM").otherwise("II"), "UTF-8"), number(F.lit(42), 2), number(F.lit(8), 4),
+        number(F.lit(3), 2), entry(0x0131, 2, size(software), first), entry(0x0132, 2, size(changed), second), entry(0x8769, 4, F.lit(1), inner), number(F.lit(0), 4), ended(software), ended(changed),
+        number(F.lit(1), 2), entry(0x9003, 2, size(taken), inner + 18), number(F.lit(0), 4), ended(taken),
+    )
+
+
+def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and content: a file for each document, TIFF or JPEG, of either byte order, every seventh cut off in its directory."""
+    times = lambda late: F.when(late, "2024:02:01 10:00:00").otherwise("2024:01:01 10:00:00")
+    k = F.col("c_custkey")
+    made = tiff_bytes(F.when(k % 10 == 0, "Adobe Photoshop 24").otherwise(F.concat(F.lit("scanner "), k.cast("string"))), times(k % 12 == 0), times(F.lit(False)), k % 2 == 0)
+    length = F.lpad(F.hex(F.octet_length(made) + 8), 4, "0")
+    jpeg = F.concat(F.unhex(F.lit("FFD8FFE00004AAAAFFE1")), F.unhex(length), F.unhex(F.lit("457869660000")), made, F.unhex(F.lit("FFD9")))
+    whole = F.when(k % 3 == 0, jpeg).otherwise(made)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), F.when(k % 7 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("content"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import checksum, dates, scores, text
 from ..operators import candidates, classify, display, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
 from ..operators.boxes import BOX_SQL
-from ..sources import readers, sinks
+from ..sources import exif, readers, sinks
 from . import corpus
 from .pipeline import process_verification
 
@@ -488,6 +488,21 @@ def q49_failed_rules(spark, d):
     return display.failed_rules(validate.validate(planted_fields(spark, d), AS_OF), fraud.signals(docs, none)).select("doc_id", "title", "points")
 
 
+# -- files ------------------------------------------------------------------------------
+def q51_file_tags(spark, d):
+    """Tags read from the bytes of pictures, and the signals that follow from them."""
+    read = exif.with_tags(corpus.picture_files(spark, d))
+    marks = F.transform(fraud.metadata_signals(F.col("exif_tags")), lambda s: F.concat_ws(" ", s["name"], s["score"].cast("string")))
+    tag = lambda name: F.try_element_at("exif_tags", F.lit(name))
+    return read.select("doc_id", F.size("exif_tags").alias("n_tags"), tag("Image Software").alias("software"), tag("Image DateTime").alias("changed"), tag("EXIF DateTimeOriginal").alias("taken"), F.array_join(F.array_sort(marks), ", ").alias("signals"))
+
+
+Q51 = """WITH p AS (SELECT c_custkey AS k, c_custkey % 7 = 0 AS cut FROM customer)
+SELECT k AS doc_id, CASE WHEN cut THEN 0 ELSE 3 END AS n_tags, CASE WHEN cut THEN NULL WHEN k % 10 = 0 THEN 'Adobe Photoshop 24' ELSE 'scanner ' || k END AS software,
+CASE WHEN cut THEN NULL WHEN k % 12 = 0 THEN '2024:02:01 10:00:00' ELSE '2024:01:01 10:00:00' END AS changed, CASE WHEN cut THEN NULL ELSE '2024:01:01 10:00:00' END AS taken,
+CASE WHEN cut THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 10 = 0 THEN 'editing_software_detected 30' END, CASE WHEN k % 12 = 0 THEN 'timestamp_mismatch 15' END], lambda x: x IS NOT NULL), ', ') END AS signals FROM p"""
+
+
 # -- audit, exports, tables ------------------------------------------------------------
 def events_as_audit(spark, d):
     verdict = F.when(F.col("event_type") == "purchase", "Genuine").when(F.col("event_type") == "error", "Suspicious").when(F.col("event_type") == "click", "PASS").otherwise("Needs Manual Review")
@@ -642,7 +657,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags,
 }
 
 SQL = {
@@ -651,5 +666,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51,
 }
