@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import checksum, dates, scores, text
 from ..operators import candidates, classify, display, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
 from ..operators.boxes import BOX_SQL
-from ..sources import exif, readers, sinks
+from ..sources import exif, pdf, pdf_report, readers, sinks
 from . import corpus
 from .pipeline import process_verification
 
@@ -488,6 +488,9 @@ def q49_failed_rules(spark, d):
     return display.failed_rules(validate.validate(planted_fields(spark, d), AS_OF), fraud.signals(docs, none)).select("doc_id", "title", "points")
 
 
+_LABEL = "array_to_string(list_transform(string_split({}, '_'), lambda x: upper(x[1]) || substr(x, 2)), ' ')"
+
+
 # -- files ------------------------------------------------------------------------------
 def q51_file_tags(spark, d):
     """Tags read from the bytes of pictures, and the signals that follow from them."""
@@ -503,6 +506,30 @@ CASE WHEN cut THEN NULL WHEN k % 12 = 0 THEN '2024:02:01 10:00:00' ELSE '2024:01
 CASE WHEN cut THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 10 = 0 THEN 'editing_software_detected 30' END, CASE WHEN k % 12 = 0 THEN 'timestamp_mismatch 15' END], lambda x: x IS NOT NULL), ', ') END AS signals FROM p"""
 
 
+def q52_pdf_reports(spark, d):
+    """Reports as PDF files, and what a reader of such files finds on all their pages."""
+    docs = typed(spark, d).where("kind <> 'UNKNOWN'").withColumn("image_path", F.concat(F.lit("scan/"), "doc_id", F.lit(".jpg")))
+    fields = planted_fields(spark, d)
+    checked = validate.validate(fields, AS_OF).withColumns({"expected": F.col("field_name"), "actual": F.lit(None).cast("string")})
+    marks = fraud.signals(docs, fields.where("FALSE"))
+    rated = docs.select("doc_id", "document_type", F.when(F.col("m") % 3 == 0, "Genuine").otherwise("Suspicious").alias("final_decision"), (F.col("m") % 90).alias("fraud_risk_score"), (100 - F.col("m") % 90).alias("authenticity_score"), F.lit(70).alias("extraction_reliability"))
+    made = pdf_report.report_pdf(docs, fields, checked, marks, rated, f"{AS_OF} 00:00:00")
+    read = pdf.with_first_page(made.withColumnRenamed("pdf", "content"), most=None)
+    return read.select("doc_id", F.size("page_texts").alias("n_pages"), F.array_join("page_texts", "\n").alias("lines"), "error")
+
+
+Q52 = f"""{C}, pf AS ({PF}), {V},
+l AS (SELECT doc_id, 0 AS part, 0 AS seq, 'Audit Report' || chr(10) || 'Document Type: ' || kind || chr(10) || 'Verdict Status: ' || CASE WHEN m % 3 = 0 THEN 'Genuine' ELSE 'Suspicious' END || chr(10) || 'Risk Score: ' || m % 90 || '/100' || chr(10) || 'Authenticity Score: ' || (100 - m % 90) || '/100'
+  || chr(10) || 'Extraction Reliability: 70/100' || chr(10) || 'Timestamp: {AS_OF} 00:00:00' || chr(10) || 'Image File: ' || doc_id || '.jpg' || chr(10) || 'Extracted Fields' AS t FROM c WHERE kind <> 'UNKNOWN'
+UNION ALL SELECT doc_id, 1, field_seq, {_LABEL.format("field_name")} || ' | ' || value || ' | ' || (doc_id * 7 + field_seq * 11) % 100 || '%' FROM pf
+UNION ALL SELECT doc_id, 2, 0, 'Field Validation Rules' FROM c WHERE kind <> 'UNKNOWN'
+UNION ALL SELECT doc_id, 3, seq, {_LABEL.format("field_name")} || ' | ' || status || ' | Exp: ' || field_name || ' | Act:' FROM v
+UNION ALL SELECT doc_id, 4, 0, 'Fraud Risk Signal Analysis' FROM c WHERE (m % 10 = 0 OR m % 12 = 0) AND kind <> 'UNKNOWN'
+UNION ALL SELECT doc_id, 5, 0, 'metadata | editing_software_detected: Image Software: Adobe Photoshop 24 | +30' FROM c WHERE m % 10 = 0 AND kind <> 'UNKNOWN'
+UNION ALL SELECT doc_id, 5, 1, 'metadata | timestamp_mismatch: 2024:01:01 10:00:00 / 2024:02:01 10:00:00 | +15' FROM c WHERE m % 12 = 0 AND kind <> 'UNKNOWN')
+SELECT doc_id, 1 AS n_pages, string_agg(t, chr(10) ORDER BY part, seq) AS lines, CAST(NULL AS VARCHAR) AS error FROM l GROUP BY doc_id"""
+
+
 # -- audit, exports, tables ------------------------------------------------------------
 def events_as_audit(spark, d):
     verdict = F.when(F.col("event_type") == "purchase", "Genuine").when(F.col("event_type") == "error", "Suspicious").when(F.col("event_type") == "click", "PASS").otherwise("Needs Manual Review")
@@ -530,7 +557,6 @@ def q35_field_table(spark, d):
     return merge.field_table(f, validate.validate(f, AS_OF))
 
 
-_LABEL = "array_to_string(list_transform(string_split({}, '_'), lambda x: upper(x[1]) || substr(x, 2)), ' ')"
 Q35 = f"""{C}, pf AS ({PF}), {V}, m AS (SELECT pf.doc_id, pf.field_name, pf.field_seq, value, status, row_number() OVER (PARTITION BY pf.doc_id, pf.field_name ORDER BY seq DESC NULLS LAST) AS r FROM pf LEFT JOIN v ON pf.doc_id = v.doc_id AND contains(v.field_name, pf.field_name))
 SELECT doc_id, {_LABEL.format("field_name")} AS label, value, CASE WHEN (doc_id * 7 + field_seq * 11) % 100 >= 80 THEN 'high' WHEN (doc_id * 7 + field_seq * 11) % 100 >= 60 THEN 'medium' ELSE 'low' END AS band, coalesce(status, 'NONE') AS status FROM m WHERE r = 1
 UNION ALL SELECT doc_id, {_LABEL.format("field_name")}, '', '', status FROM v WHERE NOT EXISTS (SELECT 1 FROM pf WHERE pf.doc_id = v.doc_id AND contains(v.field_name, pf.field_name))"""
@@ -657,7 +683,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports,
 }
 
 SQL = {
@@ -666,5 +692,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52,
 }

@@ -95,19 +95,25 @@ def escaped(t: Column) -> Column:
     return t
 
 
-def report_html(fields: DataFrame, validations: DataFrame, scores: DataFrame) -> DataFrame:
-    """doc_id and html: a page with the verdict, the fields and the validations of each document."""
-    cell = lambda c: F.concat(F.lit("<td>"), escaped(c), F.lit("</td>"))
+def report_html(fields: DataFrame, validations: DataFrame, scores: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """doc_id and html: a page with the verdict, the fields, the validations and, if there are any, the signals of each document."""
+    cell = lambda c: F.concat(F.lit("<td>"), escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
     rows = lambda t, order, *cells: t.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("row")))), lambda x: x["row"]), "").alias("rows"))
     f = rows(fields, "field_seq", cell(display_name(F.col("field_name"))), cell(F.col("value")), cell(F.format_string("%.0f%%", F.col("confidence") * 100))).withColumnRenamed("rows", "f")
     badge = F.concat(F.lit("<td style='color:"), status_colour(F.col("status")), F.lit("'>"), F.col("status"), F.lit("</td>"))
-    v = rows(validations, "seq", cell(F.col("field_name")), badge, cell(F.coalesce("actual", F.lit("")))).withColumnRenamed("rows", "v")
+    v = rows(validations, "seq", cell(F.col("field_name")), badge, cell(F.col("actual"))).withColumnRenamed("rows", "v")
     number = lambda c, colour: F.concat(F.lit("<b style='color:"), colour, F.lit("'>"), F.col(c).cast("string"), F.lit("/100</b>"))
+    joined = scores.join(f, "doc_id", "left").join(v, "doc_id", "left")
+    marked = F.lit("")
+    if signals is not None:
+        points = F.concat(F.lit(f"<td style='color:{RED}'>+"), F.col("score").cast("string"), F.lit("</td>"))
+        joined = joined.join(rows(signals, "seq", cell(F.col("name")), cell(F.col("description")), cell(F.col("source")), points).withColumnRenamed("rows", "s"), "doc_id", "left")
+        marked = F.coalesce(F.concat(F.lit("<table>"), F.col("s"), F.lit("</table>")), F.lit(""))
     page = F.concat(
         F.lit("<!DOCTYPE html><html><body><h1>"), escaped(F.col("final_decision")), F.lit("</h1><p>Risk "), number("fraud_risk_score", risk_colour(F.col("fraud_risk_score"))), F.lit(" Authenticity "),
-        number("authenticity_score", authenticity_colour(F.col("authenticity_score"))), F.lit("</p><table>"), F.coalesce("f", F.lit("")), F.lit("</table><table>"), F.coalesce("v", F.lit("")), F.lit("</table></body></html>"),
+        number("authenticity_score", authenticity_colour(F.col("authenticity_score"))), F.lit("</p><table>"), F.coalesce("f", F.lit("")), F.lit("</table><table>"), F.coalesce("v", F.lit("")), F.lit("</table>"), marked, F.lit("</body></html>"),
     )
-    return scores.join(f, "doc_id", "left").join(v, "doc_id", "left").select("doc_id", page.alias("html"))
+    return joined.select("doc_id", page.alias("html"))
 
 
 def export_all(outputs: dict[str, tuple[DataFrame, str]]) -> dict[str, str]:
