@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import checksum, dates, scores, text
 from ..operators import candidates, classify, display, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
 from ..operators.boxes import BOX_SQL
-from ..sources import exif, pdf, pdf_report, readers, sinks
+from ..sources import audit, exif, pdf, pdf_report, readers, sinks
 from . import corpus
 from .pipeline import process_verification
+from .storage import shared_path
 
 AS_OF = corpus.AS_OF
 C = f"WITH c AS ({corpus.corpus_sql(corpus.Duck)})"
@@ -544,6 +545,20 @@ _EV = "WITH a AS (SELECT event_id AS id, event_type AS document_type, CASE event
 Q33 = f"{_EV} SELECT count(*) AS total, count(*) FILTER (verdict = 'Genuine') AS genuine, count(*) FILTER (verdict = 'Needs Manual Review') AS review, count(*) FILTER (verdict = 'Suspicious') AS suspicious, count(*) FILTER (verdict = 'PASS') AS legacy_pass, count(*) FILTER (verdict = 'WARN') AS legacy_warn, count(*) FILTER (verdict NOT IN ('PASS', 'WARN')) AS legacy_fail FROM a"
 
 
+def q53_audit_log(spark, d):
+    """Events appended by a writer and by a stream's two batches, one of which comes twice: rows and ids as read back."""
+    path = shared_path(spark, "audit-log")
+    rows = table(spark, d, "events").select("event_id", F.lit("t").alias("timestamp"), F.col("event_id").cast("string").alias("document_hash"), F.lit("").alias("file_path"), F.col("event_type").alias("document_type"), F.lit(1).alias("risk_score"), F.lit("Genuine").alias("verdict"), F.lit("{}").alias("extracted_fields"), F.lit("1.0.0").alias("pipeline_version"))
+    for share, batch in ((0, None), (1, 0), (1, 0), (2, 1)):
+        audit.append_audit(rows.where(F.col("event_id") % 3 == share).drop("event_id"), path, batch, "stream")
+    share = F.col("document_hash").cast("long") % 3
+    return audit.read_audit(spark, path).groupBy(share.alias("share")).agg(F.count("*").alias("n"), F.countDistinct("document_hash").alias("events"), F.countDistinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+Q53 = """WITH n AS (SELECT event_id % 3 AS share, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY 1)
+SELECT share, n, events, n AS ids, 1 + coalesce(sum(n) OVER (ORDER BY share ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, (sum(n) OVER (ORDER BY share))::BIGINT AS last FROM n"""
+
+
 def q34_audit_rollup(spark, d):
     rows = events_as_audit(spark, d).rollup("document_type", "verdict").agg(F.count("*").alias("n"), F.max("id").alias("latest"))
     return rows.select(F.coalesce("document_type", F.lit("all")).alias("document_type"), F.coalesce("verdict", F.lit("all")).alias("verdict"), "n", "latest")
@@ -683,7 +698,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports, "q53_audit_log": q53_audit_log,
 }
 
 SQL = {
@@ -692,5 +707,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52, "q53_audit_log": Q53,
 }

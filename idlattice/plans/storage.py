@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the folder that all executors share (spark.checkpoint.dir) and reads it back.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder in the one that all executors share (spark.checkpoint.dir).
 
-    Cuts the lineage: a lost executor costs one read. Only a local session may leave
-    the folder unset; then one under /tmp/checkpoints serves.
+    Only a local session may leave that unset; then one under /tmp/checkpoints serves.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to a shared folder and reads it back. Cuts the lineage: a lost executor costs one read."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

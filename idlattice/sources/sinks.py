@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import logging
-from itertools import accumulate
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name
-from ..plans.storage import stored
-from .readers import AUDIT_SCHEMA
+from .audit import append_audit
 
 log = logging.getLogger(__name__)
 GREEN, AMBER, RED = "#28a745", "#ffc107", "#dc3545"
@@ -44,30 +41,6 @@ def audit_rows(scores: DataFrame, fields: DataFrame, docs: DataFrame, stamp: str
     )
 
 
-def append_audit(rows: DataFrame, path: str, batch: int | None = None) -> None:
-    """Appends a batch's rows to the audit table; repeated documents are logged again.
-
-    Each batch is a folder of its number, so that a batch that runs again replaces its own
-    rows. Ids go on from the greatest of lesser batches, without a gap and without a sort:
-    the rows of each partition are counted first. batch: by default one more than the last.
-    One writer at a time.
-    """
-    spark = rows.sparkSession
-    try:
-        known = spark.read.parquet(path).groupBy("batch").agg(F.max("id").alias("id")).collect()  # a row for each batch
-    except AnalysisException:
-        known = []
-    number = batch if batch is not None else max((r.batch for r in known), default=-1) + 1
-    first = max((r.id for r in known if r.batch < number), default=0) + 1
-    rows = stored(rows.to(spark.createDataFrame([], AUDIT_SCHEMA.removeprefix("id bigint, ")).schema), "audit")
-    placed = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    begins = list(accumulate((n for _, n in counts), initial=first))
-    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, begins, strict=False)], "_part int, _first bigint")
-    numbered = placed.join(F.broadcast(offsets), "_part").select((F.col("_first") + F.col("_at")).alias("id"), *rows.columns)
-    numbered.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
-
-
 def statistics(audit: DataFrame) -> DataFrame:
     """Counts by verdict: legacy_* compares with PASS and WARN, which no verdict is; the others with the verdicts."""
     v = F.col("verdict")

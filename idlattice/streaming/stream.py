@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.pipeline import process_verification
 from ..operators.classify import classify
-from ..sources.sinks import append_audit, audit_rows
+from ..sources.audit import append_audit
+from ..sources.sinks import audit_rows
 
 
 def distinct_documents(docs: DataFrame, hash_column: str = "document_hash", delay: str = "1 hour", time: str = "arrived") -> DataFrame:
@@ -21,14 +22,14 @@ def verify_stream(docs: DataFrame, audit_path: str, checkpoint: str, as_of: str,
 
     docs: a streaming DataFrame with doc_id, ocr_raw_text, ocr_confidence, word_map,
     exif_tags, image_path and document_hash. A batch that is run again after a failure
-    replaces its own rows.
+    is logged once; the query's id, which its checkpoint keeps, tells streams apart.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
             done = process_verification(classify(rows), as_of)
-            append_audit(audit_rows(done.scores, done.fields, rows, stamp=f"{as_of} 00:00:00"), audit_path, number)
+            append_audit(audit_rows(done.scores, done.fields, rows, stamp=f"{as_of} 00:00:00"), audit_path, number, rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint)
         finally:
             rows.unpersist()
 

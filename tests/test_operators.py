@@ -154,7 +154,7 @@ def test_files_audit_and_exports(spark, tmp_path):
 
 
 def test_audit_batches(spark, tmp_path):
-    """Ids of many partitions and batches are unique and go on; a batch that runs again replaces its own rows."""
+    """Ids of many partitions and batches are unique and go on; a batch that comes again is logged once."""
     path = str(tmp_path / "audit")
     for batch in (0, 1, 1):
         rows = spark.range(0, 400, 1, 200).selectExpr("'t' timestamp", "cast(id as string) document_hash", "'' file_path", "'PAN' document_type", "1 risk_score", "'Genuine' verdict", "'{}' extracted_fields", "'1' pipeline_version")
@@ -173,7 +173,9 @@ def test_reports_of_a_document(spark):
     told = json.loads(sinks.report_json(docs, fields, validations, signals, scores).first().json)
     assert told["extracted_fields"]["name"]["value"] == "A < B" and told["fraud_signals"][0]["score"] == 5 and told["validation_results"][0]["status"] == "FAIL"
     page = sinks.report_html(fields, validations, scores).first().html
-    assert "<td>A &lt; B</td>" in page and sinks.RED in page and "Genuine" in page
+    assert "<td>A &lt; B</td>" in page and sinks.RED in page and "Genuine" in page and "+5" not in page
+    page = sinks.report_html(fields, validations, scores, signals).first().html
+    assert page.count("<table>") == 3 and f"<td>n</td><td>d</td><td>s</td><td style='color:{sinks.RED}'>+5</td>" in page
 
 
 def test_one_sided_pictures_and_shifted_fields(spark):
