@@ -7,8 +7,13 @@ document); m = k / 5 gives names, dates and planted defects. Names are invented.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bind import let
 from ..functions.checksum import dihedral_table, permutation_table
@@ -170,3 +175,47 @@ def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     jpeg = F.concat(F.unhex(F.lit("FFD8FFE00004AAAAFFE1")), F.unhex(length), F.unhex(F.lit("457869660000")), made, F.unhex(F.lit("FFD9")))
     whole = F.when(k % 3 == 0, jpeg).otherwise(made)
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), F.when(k % 7 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("content"))
+
+
+#: Lines of a drawn passport page stand so many pixels apart; a letter is a pixel as dark as its code.
+LINE_PIXELS, PAGE_PIXELS = 16, 120
+
+
+@F.arrow_udf(T.StructType([T.StructField("pixels", T.ArrayType(T.IntegerType())), T.StructField("width", T.IntegerType())]))
+def drawn(pages: pa.Array) -> pa.Array:
+    """Pictures of pages side by side, each an array of lines; every letter one pixel on white."""
+    rows = []
+    for own in pages.to_pylist():
+        high = LINE_PIXELS * max(len(lines) for lines in own)
+        a = np.full((high, PAGE_PIXELS * len(own)), 255, np.uint8)
+        for k, lines in enumerate(own):
+            for y, line in enumerate(lines):
+                letters = np.frombuffer(line.encode(), np.uint8)
+                begin = k * PAGE_PIXELS + 4
+                a[y * LINE_PIXELS + LINE_PIXELS // 2, begin : begin + len(letters)] = np.where(letters == 32, 255, letters)
+        rows.append({"pixels": a.ravel().tolist(), "width": a.shape[1]})
+    return pa.array(rows, pa.struct([("pixels", pa.list_(pa.int32())), ("width", pa.int32())]))
+
+
+def read_letters(content: bytes) -> tuple[str, float, list[dict] | None]:
+    """Reads what drawn draws, from a PGM file; a picture without a letter has no word map."""
+    head, data = content.split(b"\n", 1)
+    width, height = map(int, head.split()[1:3])
+    lines, words = [], []
+    for y in range(height):
+        row = data[y * width : (y + 1) * width]
+        own = [(m.start(), m[0].decode()) for m in re.finditer(rb"[^\xff]+", row)]
+        if own:
+            lines.append(" ".join(t for _, t in own))
+            words += [{"text": t, "left": x, "top": y, "width": len(t), "height": 1, "conf": 0.9} for x, t in own]
+    return "\n".join(lines), 0.9, words or None
+
+
+def passport_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, m, pixels and width of each passport: two pages, the one with the machine-readable lines left or right, every fifth one page; every fourth second page is empty."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    docs = spark.sql(corpus_sql(Spark, "{customer}").replace("{{", "{"), customer=customer).where("kind = 'PASSPORT'")
+    first = F.array(F.lit("REPUBLIC OF INDIA"), F.concat(F.lit("Passport No "), "number"), F.lit("Surname"), F.col("last"), F.lit("Given Name"), F.col("first"), F.concat(F.lit("Date of Birth "), "dob_text"), F.concat(F.lit("Date of Expiry "), "expiry_text"), F.lit(""), F.col("mrz1"), F.col("mrz2"))
+    second = F.when(F.col("m") % 4 == 0, F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.lit("Place of Birth"), F.lit("NASHIK"), F.lit("Place of Issue"), F.lit("PUNE")))
+    pages = F.when(F.col("m") % 5 == 0, F.array(first)).when(F.col("m") % 2 == 0, F.array(first, second)).otherwise(F.array(second, first))
+    return docs.select("doc_id", "m", drawn(pages).alias("p")).select("doc_id", "m", "p.*")
