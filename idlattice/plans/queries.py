@@ -12,7 +12,7 @@ from ..functions import checksum, dates, scores, text
 from ..operators import candidates, classify, display, extract, features, fraud, layout, merge, models, pixels, scoring, split, validate
 from ..operators.boxes import BOX_SQL
 from ..sources import audit, exif, pdf, pdf_report, readers, sinks
-from . import corpus
+from . import corpus, passports
 from .pipeline import process_verification
 from .storage import shared_path
 
@@ -441,7 +441,7 @@ Q32 = f"{_P}, s AS (SELECT * FROM b WHERE b.value <> 'NOT_FOUND') SELECT doc_id,
 def q46_page_order(spark, d):
     """Two sides of a picture, or one; the page that comes first, and the whole picture's words."""
     docs = typed(spark, d)
-    side = lambda n: docs.where(f"m % 5 <> {3 if n == 'B' else 99}").select("doc_id", F.lit(n).alias("side"), (F.col("ocr_raw_text") if n == "A" else F.when(F.col("m") % 2 == 0, F.concat("mrz1", F.lit("\n"), "mrz2")).otherwise(F.col("last"))).alias("text"), F.lit(0 if n == "A" else 300).alias("dx"), F.lit(0).alias("dy"), (F.lit(0.5) if n == "A" else F.lit(0.25)).alias("confidence"), F.slice("word_map", 1, 1).alias("word_map"))
+    side = lambda n: docs.where(f"m % 5 <> {3 if n == 'B' else 99}").select("doc_id", F.lit(n).alias("side"), (F.col("ocr_raw_text") if n == "A" else F.when(F.col("m") % 2 == 0, F.concat("mrz1", F.lit("\n"), "mrz2")).otherwise(F.col("last"))).alias("text"), F.lit(0 if n == "A" else 300).alias("dx"), F.lit(0).alias("dy"), (F.lit(0.5) if n == "A" else F.lit(0.25)).alias("confidence"), F.when(F.lit(n == "A") | (F.col("m") % 7 != 1), F.slice("word_map", 1, 1)).alias("word_map"))
     whole = merge.whole_picture(split.page_order(side("A").unionByName(side("B"))))
     return whole.select("doc_id", F.md5("ocr_raw_text").alias("text_md5"), "ocr_confidence", F.array_join(F.transform("word_map", lambda w: w["left"].cast("string")), ",").alias("lefts"))
 
@@ -450,7 +450,7 @@ _POINTS = "list_sum(list_transform(list_filter(list_transform(string_split(t, ch
 Q46 = f"""{W}, s AS (SELECT doc_id, 'A' AS side, raw_text AS t FROM c UNION ALL SELECT doc_id, 'B', CASE WHEN m % 2 = 0 THEN mrz1 || chr(10) || mrz2 ELSE last END FROM c WHERE m % 5 <> 3),
 p AS (SELECT doc_id, side, coalesce(t, '') AS t, coalesce({_POINTS}, 0) + length(coalesce(t, '')) - length(replace(coalesce(t, ''), '<', '')) AS n FROM s), f AS (SELECT doc_id, max(CASE WHEN side = 'A' THEN t END) AS ta, max(CASE WHEN side = 'B' THEN t END) AS tb, max(CASE WHEN side = 'A' THEN n END) AS na, max(CASE WHEN side = 'B' THEN n END) AS nb FROM p GROUP BY 1),
 l AS (SELECT doc_id, arg_min("left", n) AS x FROM w GROUP BY 1)
-SELECT doc_id, md5(CASE WHEN nb IS NULL THEN ta WHEN na >= nb THEN ta || chr(10) || tb ELSE tb || chr(10) || ta END) AS text_md5, CASE WHEN nb IS NULL THEN 0.5 ELSE 0.375 END AS ocr_confidence, CASE WHEN nb IS NULL THEN '' || x WHEN na >= nb THEN x || ',' || (x + 300) ELSE (x + 300) || ',' || x END AS lefts FROM f JOIN l USING (doc_id)"""
+SELECT doc_id, md5(CASE WHEN nb IS NULL THEN ta WHEN na >= nb THEN ta || chr(10) || tb ELSE tb || chr(10) || ta END) AS text_md5, CASE WHEN nb IS NULL THEN 0.5 ELSE 0.375 END AS ocr_confidence, CASE WHEN nb IS NULL OR m % 7 = 1 THEN '' || x WHEN na >= nb THEN x || ',' || (x + 300) ELSE (x + 300) || ',' || x END AS lefts FROM f JOIN l USING (doc_id) JOIN c USING (doc_id)"""
 
 
 def first_lines(spark, d):
@@ -614,6 +614,24 @@ def q37_trained_scores(spark, d):
     return models.predict({"fraud": model, "authenticity": model}, features.features(typed(spark, d))).select("doc_id", "fraud_score")
 
 
+def q54_split_passports(spark, d):
+    """Pictures of passports, of one page or two: read, split, read by page, extracted, merged, with boxes on the whole picture."""
+    read = passports.read_pictures(corpus.passport_pictures(spark, d).drop("m"), corpus.read_letters)
+    both = passports.split_and_extract(read, corpus.read_letters, AS_OF)
+    fields = both.fields.where(F.col("field_name").isin("passport_number", "mrz_line1", "mrz_line2", "place_of_birth", "place_of_issue")).select("doc_id", "field_name", "value", "box.*")
+    docs = both.docs.select("doc_id", "split_type", "split_at", F.col("page_1_offset.x").alias("page_1_x"), F.col("page_2_offset.x").alias("page_2_x"), F.size("word_map").alias("n_words"), F.md5("ocr_raw_text").alias("text_md5"))
+    return docs.join(fields, "doc_id")
+
+
+Q54 = f"""{C}, p AS (SELECT *, m % 5 <> 0 AS split, m % 4 = 0 AS bare, CASE WHEN m % 5 = 0 OR m % 2 = 0 THEN 4 ELSE 124 END AS home, CASE WHEN m % 2 = 0 THEN 124 ELSE 4 END AS other, CASE WHEN m % 4 = 0 THEN 119 ELSE 104 END AS place FROM c WHERE kind = 'PASSPORT'),
+t AS (SELECT *, 'REPUBLIC OF INDIA' || chr(10) || 'Passport No ' || number || chr(10) || 'Surname' || chr(10) || last || chr(10) || 'Given Name' || chr(10) || first || chr(10) || 'Date of Birth ' || dob_text || chr(10) || 'Date of Expiry ' || expiry_text || chr(10) || mrz1 || chr(10) || mrz2
+  || CASE WHEN NOT split THEN '' WHEN bare THEN chr(10) ELSE chr(10) || 'Place of Birth' || chr(10) || 'NASHIK' || chr(10) || 'Place of Issue' || chr(10) || 'PUNE' END AS t FROM p),
+f AS (SELECT doc_id, 'passport_number' AS field_name, number AS value, home + 12 AS x, 24 AS y, 8 AS w FROM p UNION ALL SELECT doc_id, 'mrz_line1', mrz1, home, 152, 44 FROM p UNION ALL SELECT doc_id, 'mrz_line2', mrz2, home, 168, 44 FROM p
+  UNION ALL SELECT doc_id, unnest(['place_of_birth', 'place_of_issue']), CASE WHEN split AND NOT bare THEN unnest(['NASHIK', 'PUNE']) ELSE 'NOT_FOUND' END, CASE WHEN split AND NOT bare THEN other END, CASE WHEN split AND NOT bare THEN unnest([40, 72]) END, CASE WHEN split AND NOT bare THEN unnest([6, 4]) END FROM p)
+SELECT doc_id, CASE WHEN split THEN 'vertical' END AS split_type, CASE WHEN split THEN place END AS split_at, CASE WHEN split THEN CASE WHEN home = 4 THEN 0 ELSE place END END AS page_1_x, CASE WHEN split THEN CASE WHEN home = 4 THEN place ELSE 0 END END AS page_2_x,
+  len(string_split(trim(replace(t, chr(10), ' ')), ' ')) AS n_words, md5(t) AS text_md5, field_name, value, x, y, w, CASE WHEN x IS NOT NULL THEN 1 END AS h FROM t JOIN f USING (doc_id)"""
+
+
 def q38_picture_splits(spark, d):
     sized = typed(spark, d).withColumns({"w": F.lit(600), "h": F.lit(400)})
     return sized.select("doc_id", split.by_words(F.col("word_map"), F.col("w"), F.col("h")).alias("s")).select("doc_id", F.col("s.split_type").alias("split_type"), F.col("s.split_at").alias("split_at"))
@@ -698,7 +716,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports, "q53_audit_log": q53_audit_log,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports, "q53_audit_log": q53_audit_log, "q54_split_passports": q54_split_passports,
 }
 
 SQL = {
@@ -707,5 +725,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52, "q53_audit_log": Q53,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52, "q53_audit_log": Q53, "q54_split_passports": Q54,
 }

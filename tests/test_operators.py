@@ -202,3 +202,12 @@ def test_preprocessing_of_pictures(spark):
     assert done[2].pixels == [] and done[3].pixels == []
     plain = pixels.preprocess(spark.createDataFrame(rows[:1], "doc_id long, pixels array<int>, width int"), dict.fromkeys(pixels.STEPS, False)).first()
     assert plain.width == 120 and {*plain.pixels} >= {20, 250}
+
+
+def test_pages_without_words_or_ids(spark):
+    """A page without a word map adds nothing to the whole; rows without an id stay together."""
+    word = ("a", 1, 2, 3, 4, 0.5)
+    pages = spark.createDataFrame([(1, "A", "x", 5, 0, 0.5, [word]), (1, "B", "y", 9, 0, 0.1, None), (2, "A", None, 0, 0, 0.5, None), (None, "A", "z", 0, 0, 0.5, [word])], f"doc_id long, side string, text string, dx int, dy int, confidence double, word_map {WORDS}")
+    whole = {r.doc_id: r for r in merge.whole_picture(split.page_order(pages)).collect()}
+    assert [w.left for w in whole[1].word_map] == [6] and whole[1].ocr_raw_text == "x\ny" and whole[1].ocr_confidence == pytest.approx(0.3)
+    assert whole[2].word_map == [] and whole[2].ocr_raw_text == "" and len(whole[None].word_map) == 1
