@@ -1,23 +1,35 @@
 """Trained scores: a synthetic training set, boosted trees, calibration, thresholds and weights.
 
-Trees are pyspark.ml's; probabilities are calibrated by a logistic fit on held-out
-rows. Models are saved as pyspark.ml folders. Results agree with other libraries'
-trees in kind, not to the digit; the rules of scoring.py are the reference scorer.
+Trees are pyspark.ml's. Training rows are dealt to three folds; the trees of two are
+calibrated by a logistic fit on the third, and a probability is the mean of the three.
+Models are saved as pyspark.ml folders with a manifest. Results agree with other
+libraries' trees in kind, not to the digit; the rules of scoring.py are the scorer
+where no model can be loaded.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import logging
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import to_score, verdict
 from .features import NAMES
 from .scoring import THRESHOLDS
 
+log = logging.getLogger(__name__)
+#: Folds of the training rows.
+FOLDS = 3
 TARGETS = ["ocr", "classification", "extraction", "fraud", "authenticity"]
 #: Shares of genuine, tampered, blurred and mismatched documents.
 MIX = (0.5, 0.2, 0.2, 0.1)
@@ -58,9 +70,10 @@ def training_set(spark: SparkSession, n: int = 5000, seed: int = 42) -> DataFram
 
 
 def parts(data: DataFrame, label: str, seed: int) -> DataFrame:
-    """Adds part: 0 to fit the trees (60 %), 1 to calibrate, 2 to test, in the same shares of both labels."""
-    order = F.percent_rank().over(Window.partitionBy(label, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.xxhash64("id", F.lit(seed))))
-    return data.withColumn("rank", order).withColumn("part", F.when(F.col("rank") < 0.6, 0).when(F.col("rank") < 0.8, 1).otherwise(2)).drop("rank")
+    """Adds part: 0 to FOLDS - 1, the folds of four fifths of the rows, and FOLDS for testing, in the same shares of both labels."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(64))
+    turn = (F.row_number().over(Window.partitionBy(label, bucket).orderBy(F.xxhash64("id", F.lit(seed)), "id")) + bucket) % (5 * FOLDS)
+    return data.withColumn("part", F.when(turn % 5 == 4, FOLDS).otherwise(F.floor(turn / 5)).cast("int"))
 
 
 def features_for(data: DataFrame, target: str) -> DataFrame:
@@ -88,18 +101,35 @@ def thresholds(scored: DataFrame, label: str) -> float:
     return best_threshold(scored, label).first()[0]
 
 
+def chance() -> Column:
+    """The mean of the folds' calibrated probabilities."""
+    return sum((vector_to_array(f"p{k}")[1] for k in range(FOLDS)), F.lit(0.0)) / FOLDS
+
+
 def train(data: DataFrame, target: str, seed: int = 42) -> tuple[PipelineModel, dict]:
-    """Trees and calibration for one target, with accuracy, threshold and score statistics on test rows."""
+    """Trees and calibration of each fold for one target, with statistics of the folds and of the test rows.
+
+    A fold's sigmoid is fitted to the margins that the trees of the other folds give its
+    rows, so no row calibrates trees that have seen it.
+    """
     label = f"y_{target}"
-    ready = VectorAssembler(inputCols=NAMES, outputCol="x").transform(features_for(parts(data, label, seed), target)).select("id", "part", "x", label).cache()
-    boosting = GBTClassifier(featuresCol="x", labelCol=label, maxIter=50, maxDepth=4, stepSize=0.08, seed=seed, predictionCol="tree_y")
-    trees = boosting.setRawPredictionCol("margin").setProbabilityCol("tree_p").fit(ready.where("part = 0"))
-    platt = LogisticRegression(featuresCol="margin", labelCol=label, regParam=0.0, rawPredictionCol="raw", probabilityCol="p", predictionCol="y").fit(trees.transform(ready.where("part = 1")))
-    model = PipelineModel([VectorAssembler(inputCols=NAMES, outputCol="x"), trees, platt])
-    tested = platt.transform(trees.transform(ready.where("part = 2"))).select(F.col(label).cast("int").alias(label), vector_to_array("p")[1].alias("p")).cache()
+    assembler = VectorAssembler(inputCols=NAMES, outputCol="x")
+    ready = assembler.transform(features_for(parts(data, label, seed), target)).select("id", "part", "x", label).cache()
+    stages, folds, importance = [assembler], [], [0.0] * len(NAMES)
+    for k in range(FOLDS):
+        boosting = GBTClassifier(featuresCol="x", labelCol=label, maxIter=50, maxDepth=4, stepSize=0.08, seed=seed, predictionCol=f"tree_y{k}")
+        trees = boosting.setRawPredictionCol(f"margin{k}").setProbabilityCol(f"tree_p{k}").fit(ready.where((F.col("part") != k) & (F.col("part") != FOLDS)))
+        held = trees.transform(ready.where(F.col("part") == k))
+        sigmoid = LogisticRegression(featuresCol=f"margin{k}", labelCol=label, regParam=0.0, rawPredictionCol=f"raw{k}", probabilityCol=f"p{k}", predictionCol=f"y{k}").fit(held)
+        p = vector_to_array(f"p{k}")[1]
+        loss = -F.avg(F.when(F.col(label) == 1, F.log(p)).otherwise(F.log(1 - p)))
+        folds.append(sigmoid.transform(held).agg(F.count("*").alias("n"), F.avg(label).alias("share"), F.avg(p).alias("mean"), loss.alias("loss")).first().asDict())
+        stages += [trees, sigmoid]
+        importance = [a + float(b) / FOLDS for a, b in zip(importance, trees.featureImportances.toArray(), strict=True)]
+    model = PipelineModel(stages)
+    tested = PipelineModel(stages[1:]).transform(ready.where(F.col("part") == FOLDS)).select(F.col(label).cast("int").alias(label), chance().alias("p")).cache()
     stats = tested.agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.min("p").alias("min"), F.max("p").alias("max"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy")).first().asDict()
-    stats["threshold"] = thresholds(tested, label)
-    stats["importance"] = {n: float(v) for n, v in zip(NAMES, trees.featureImportances.toArray(), strict=True)}
+    stats |= {"threshold": thresholds(tested, label), "importance": dict(zip(NAMES, importance, strict=True)), "folds": folds}
     ready.unpersist()
     tested.unpersist()
     return model, stats
@@ -124,7 +154,7 @@ def predict(models: dict[str, PipelineModel], features: DataFrame, limits: dict[
     """doc_id, the five scores (0 to 100) and final_decision."""
     out = features.select("doc_id")
     for target, model in models.items():
-        p = model.transform(features_for(features, target)).select("doc_id", to_score(vector_to_array("p")[1]).alias(f"{target}_score"))
+        p = model.transform(features_for(features, target)).select("doc_id", to_score(chance()).alias(f"{target}_score"))
         out = out.join(p, "doc_id")
     percent = lambda name: round(limits[name] * 100)
     return out.withColumn("final_decision", verdict(F.col("authenticity_score"), F.col("fraud_score"), percent("authenticity_genuine"), percent("authenticity_suspicious"), percent("fraud_suspicious"), percent("fraud_genuine")))
@@ -135,8 +165,67 @@ def attribution(model: PipelineModel, features: DataFrame, findings: DataFrame)
 
     findings: doc_id, finding (a feature's name), least. Each becomes a counterfactual row.
     """
-    base = model.transform(features).select("doc_id", vector_to_array("p")[1].alias("base"))
+    base = model.transform(features).select("doc_id", chance().alias("base"))
     changed = findings.join(features, "doc_id").withColumns({c: F.when(F.col("finding") == c, F.greatest(F.lit(0.0), F.col(c) - 1)).otherwise(F.col(c)) for c in AFTER_OCR})
-    again = model.transform(changed).select("doc_id", "finding", "least", vector_to_array("p")[1].alias("without"))
+    again = model.transform(changed).select("doc_id", "finding", "least", chance().alias("without"))
     fall = F.bround(F.greatest(F.lit(0.0), F.col("base") - F.col("without")) * 100).cast("int")
     return again.join(base, "doc_id").select("doc_id", "finding", F.greatest(F.col("least"), fall).alias("points"))
+
+
+@dataclass(frozen=True)
+class Trained:
+    """Models by target, and the limits of the verdict that were found with them."""
+
+    models: dict[str, PipelineModel]
+    limits: dict[str, float]
+
+
+def digest(spark: SparkSession, folder: str) -> str:
+    """Of the names and contents of a model's files."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = read.select(F.regexp_extract("path", "[^/]+/[^/]+/[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("hash")).orderBy("name", "hash").collect()  # some dozen files
+    return hashlib.sha256("".join(f"{r['name']} {r['hash']}\n" for r in rows).encode()).hexdigest()
+
+
+def save(spark: SparkSession, trained: dict[str, PipelineModel], stats: dict[str, dict], path: str) -> None:
+    """A folder for each model, then the manifest: the features in order, limits, and a digest of each folder. Replaces what is there."""
+    path = path.rstrip("/")
+    for target, model in trained.items():
+        model.write().overwrite().save(f"{path}/{target}")
+    manifest = {"features": NAMES, "limits": decision_thresholds(stats), "models": {t: digest(spark, f"{path}/{t}") for t in trained}}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+#: What a session has loaded, by folder and manifest.
+_LOADED: dict[tuple[str, str, str], Trained] = {}
+
+
+def load(spark: SparkSession, path: str) -> Trained | None:
+    """The models of a folder, once for each session and manifest; None, with a warning, if there are none, they are
+    damaged or were trained on other features."""
+    path = path.rstrip("/")
+    try:
+        text = "".join(r.value for r in spark.read.text(f"{path}/manifest").collect())
+        key = (spark.sparkContext.applicationId, path, text)
+        if key not in _LOADED:
+            manifest = json.loads(text)
+            if manifest["features"] != NAMES:
+                raise ValueError("the models were trained on other features")
+            for target, kept in manifest["models"].items():
+                if digest(spark, f"{path}/{target}") != kept:
+                    raise ValueError(f"the files of {target} have changed")
+            _LOADED[key] = Trained({t: PipelineModel.load(f"{path}/{t}") for t in manifest["models"]}, manifest["limits"])
+        return _LOADED[key]
+    except (PySparkException, Py4JJavaError, ValueError, KeyError, TypeError) as e:
+        log.warning("no models from %s, rules are used: %s", path, e)
+        return None
+
+
+def trained_or_ruled(spark: SparkSession, path: str | None, features: DataFrame, ruled: DataFrame) -> DataFrame:
+    """ruled (the rows of scoring.scores) with the scores and verdicts of the models in a folder, if all five can be loaded, else as it is."""
+    found = load(spark, path) if path else None
+    if found is None or set(found.models) != set(TARGETS):
+        return ruled
+    columns = {"ocr_score": "ocr_confidence", "classification_score": "classification_confidence", "extraction_score": "extraction_reliability", "fraud_score": "fraud_risk_score", "authenticity_score": "authenticity_score", "final_decision": "final_decision"}
+    scored = predict(found.models, features, found.limits).withColumnsRenamed(columns)
+    return ruled.drop(*columns.values()).join(scored, "doc_id").select(*ruled.columns)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import models
 from ..operators.classify import classify
 from ..operators.extract import extract
 from ..operators.features import features
@@ -33,11 +34,12 @@ def process_classification(docs: DataFrame, as_of: str) -> tuple[DataFrame, Data
     return typed, extract(typed, as_of)
 
 
-def process_verification(typed: DataFrame, as_of: str, overrides: DataFrame | None = None, thresholds: dict[str, float] = THRESHOLDS) -> Verified:
+def process_verification(typed: DataFrame, as_of: str, overrides: DataFrame | None = None, thresholds: dict[str, float] = THRESHOLDS, model_path: str | None = None) -> Verified:
     """Fields, findings and verdicts of documents with a known type; the others are rejected.
 
     Classified documents, fields and findings are each written once and read back; all are
-    keyed by doc_id.
+    keyed by doc_id. model_path: a folder of trained models; without one, or if they
+    can't be loaded, rules give the scores.
     """
     if overrides is not None:
         typed = with_overrides(typed, overrides)
@@ -47,4 +49,4 @@ def process_verification(typed: DataFrame, as_of: str, overrides: DataFrame | No
     checked = stored(validate(fields, as_of), "validations")
     marks = stored(signals(known, fields), "signals")
     numbers = features(known, fields, checked, marks)
-    return Verified(fields, checked, marks, numbers, scores(known, numbers, fields, checked, marks, thresholds), typed.where(F.col("document_type") == "UNKNOWN"))
+    return Verified(fields, checked, marks, numbers, models.trained_or_ruled(typed.sparkSession, model_path, numbers, scores(known, numbers, fields, checked, marks, thresholds)), typed.where(F.col("document_type") == "UNKNOWN"))

@@ -111,17 +111,46 @@ def test_pixels(spark):
     assert profile.columns == [16] * 12 + [0] * 12 and profile.rows == [12] * 16
 
 
-def test_models_learn_and_reload(spark, tmp_path):
-    from pyspark.ml import PipelineModel
+def plain_sigmoid(m, y):
+    """A logistic fit by Newton's steps: slope and shift."""
+    x, w = np.stack([m, np.ones(len(m))], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2), x.T @ (y - p))
+    return w
+
 
+def test_models_learn_and_reload(spark, tmp_path):
     data = models.training_set(spark, 1500)
     model, stats = models.train(data, "fraud")
     assert stats["accuracy"] > 0.85 and 0.1 <= stats["threshold"] <= 0.9
-    model.write().overwrite().save(str(tmp_path / "m"))
-    again = PipelineModel.load(str(tmp_path / "m"))
+    # Folds: of the same size and share of labels; three models, each calibrated so that its fold's mean is the labels'.
+    sizes = {r.part: r["count"] for r in models.parts(data, "y_fraud", 42).groupBy("part").count().collect()}
+    assert [f["n"] for f in stats["folds"]] == [sizes[k] for k in range(3)] and 0.15 < sizes[3] / 1500 < 0.25 and max(sizes[k] for k in range(3)) - min(sizes[k] for k in range(3)) < 80
+    assert all(abs(f["mean"] - f["share"]) < 1e-3 and f["loss"] < 0.6 for f in stats["folds"]) and len(model.stages) == 7
+    held = models.parts(data, "y_fraud", 42).where("part = 1")
+    own = model.transform(held).select("y_fraud", models.vector_to_array("margin1")[1].alias("m"), models.vector_to_array("p1")[1].alias("p")).collect()
+    slope, shift = plain_sigmoid(np.array([r.m for r in own]), np.array([r.y_fraud for r in own]))
+    assert np.array([r.p for r in own]) == pytest.approx(1 / (1 + np.exp(-slope * np.array([r.m for r in own]) - shift)), abs=2e-3)
+
+    path = str(tmp_path / "m")
+    assert models.load(spark, path) is None
+    models.save(spark, {"fraud": model}, {"fraud": stats}, path)
+    again = models.load(spark, path)
+    assert again is models.load(spark, path) and again.limits["fraud_suspicious"] == stats["threshold"]
     rows = data.limit(20).withColumnRenamed("id", "doc_id")
-    one, two = (models.predict({"fraud": m, "authenticity": m}, rows).orderBy("doc_id").collect() for m in (model, again))
+    one, two = (models.predict({"fraud": m, "authenticity": m}, rows).orderBy("doc_id").collect() for m in (model, again.models["fraud"]))
     assert one == two and all(0 <= r.fraud_score <= 100 for r in one)
+    ruled = rows.select("doc_id", *[F.lit(1).alias(c) for c in ("ocr_confidence", "classification_confidence", "extraction_reliability", "fraud_risk_score", "authenticity_score")], F.lit("ruled").alias("final_decision"))
+    assert models.trained_or_ruled(spark, path, rows, ruled) is ruled  # not all five
+    models.save(spark, dict.fromkeys(models.TARGETS, model), {"fraud": stats}, path)
+    scored = models.trained_or_ruled(spark, path, rows, ruled)
+    assert scored.columns == ruled.columns and scored.where("final_decision = 'ruled'").count() == 0 and scored.count() == 20
+    damaged = next((tmp_path / "m" / "fraud").rglob("part-*"))
+    damaged.write_bytes(damaged.read_bytes() + b"x")
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
+    models._LOADED.clear()
+    assert models.load(spark, path) is None and models.trained_or_ruled(spark, path, rows, ruled) is ruled
     weights = models.ensemble_weights(stats["importance"])
     assert sum(weights.values()) == pytest.approx(1)
     findings = rows.select("doc_id", F.lit("checksum_failed").alias("finding"), F.lit(15).alias("least"))
