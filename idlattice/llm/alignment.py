@@ -14,7 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from .shared import BROADCAST_ROWS, materialise, slices, table
 
 #: Between a character and a character that are no white space, a space begins a token on either side.
 UNIT_ENDS = re.compile(r"(?<=\S)(?= \S)")
-#: Units whose tokens a worker remembers, and the characters of the longest of them.
-MEMORY, LONGEST = 300_000, 40
+#: The ids of a unit that a side doesn't give back.
+CHANGED = (b"", b"")
+#: Units whose tokens a worker remembers, the characters of the longest of them, and bytes of the texts of a row.
+MEMORY, LONGEST, SLICE = 150_000, 40, 2 << 20
 #: Links of a group from which equal ids are counted before they are paired.
 MANY = 256
 #: Ids of B are below this; A's times this plus B's fit an int.
@@ -73,28 +75,32 @@ class Sides:
         self.memory: dict[str, tuple[bytes, bytes]] = {}
 
     def encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of each unit, which begins with a space, as int32."""
+        """The ids of each unit, which begins with a space, as int32; CHANGED if their bytes aren't the unit's."""
         a = [np.array(x.ids, np.int32).tobytes() for x in self.a.encode_batch(units, add_special_tokens=False)]
         b = [np.array(x, np.int32).tobytes() for x in self.b.encode([u[1:] for u in units], num_threads=1)]  # B adds the space
-        return list(zip(a, b, strict=True))
+        return [ids if self.same(u, ids) else CHANGED for u, ids in zip(units, zip(a, b, strict=True), strict=True)]
 
-    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each text behind a space; nothing for an empty one or if either side's bytes aren't the text's."""
+    def units(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
+        """The distinct units of some texts as ids of both sides, and each text's unit numbers.
+
+        Each text stands behind a space. A text has no units if it is empty or a side's
+        bytes aren't those of one of its units.
+        """
         split = [UNIT_ENDS.split(" " + t) if t else [] for t in texts]
+        number = dict(zip(dict.fromkeys(chain.from_iterable(split)), count(), strict=False))
         if len(self.memory) > MEMORY:
             self.memory.clear()
         memory = self.memory
-        new = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in memory]
+        new = [u for u in number if u not in memory]
         known = dict(zip(new, self.encode(new), strict=True))
         memory.update((u, ids) for u, ids in known.items() if len(u) <= LONGEST)
-        out, none = [], np.empty(0, np.int32)
-        for text, units in zip(texts, split, strict=True):
-            both = [memory.get(u) or known[u] for u in units]
-            a, b = (np.frombuffer(b"".join([x[side] for x in both]), np.int32) for side in (0, 1))
-            whole = b" " + text.encode()
-            same = text and all(b"".join(map(side.__getitem__, x.tolist())) == whole for side, x in ((self.a_bytes, a), (self.b_bytes, b)))
-            out.append((a, b) if same else (none, none))
-        return out
+        found = [memory.get(u) or known[u] for u in number]
+        bad = {k for k, (u, ids) in enumerate(zip(number, found, strict=True)) if ids is CHANGED}
+        numbers = [list(map(number.__getitem__, own)) for own in split]
+        return found, [[] if bad and not bad.isdisjoint(own) else own for own in numbers]
+
+    def same(self, unit: str, ids: tuple[bytes, bytes]) -> bool:
+        return all(b"".join(map(side.__getitem__, np.frombuffer(x, np.int32).tolist())) == unit.encode() for side, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -102,33 +108,42 @@ def sides(byte_path: str, piece_path: str) -> Sides:
     return Sides(byte_path, piece_path)
 
 
-def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep and a, a_ends, b, b_ends: ids and the byte offsets of their ends. One pass, a row per row."""
-    source, names = docs.select(*keep, text), [*keep, "a", "a_ends", "b", "b_ends"]
-    schema = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} array<int>" for c in names[len(keep) :]])
+def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of many texts each: a, a_ends, b, b_ends are the ids of the texts' distinct units, one behind the other, and
+    the byte offsets of their ends; unit_ends those of the units. docs: (key, n_a, n_b, units), the numbers of a text's units."""
+    kind = docs.schema[key].dataType
+    schema = f"a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, unit_ends array<int>, docs array<struct<key:{kind.simpleString()},n_a:bigint,n_b:bigint,units:array<int>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(byte_path, piece_path)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int32()))
         for whole in batches:
-            for batch in slices(whole, len(keep), most=1 << 20):
-                found = both.ids([t or "" for t in batch.column(len(keep)).to_pylist()])
-                columns = []
-                for side, sizes in ((0, both.a_sizes), (1, both.b_sizes)):
-                    ids = [x[side] for x in found]
-                    stops = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(stops, np.concatenate(x) if x else np.empty(0, np.int32)) for x in (ids, [np.cumsum(sizes[y], dtype=np.int32) for y in ids])]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names)
-
-    return source.mapInArrow(run, schema)
+            for batch in slices(whole, 1, most=SLICE, rows=10_000):
+                found, numbers = both.units([t or "" for t in batch.column(1).to_pylist()])
+                stops = np.concatenate(([0], np.cumsum([len(own) for own in numbers]))).astype(np.int32)
+                at = np.fromiter(chain.from_iterable(numbers), np.int32, int(stops[-1]))
+                columns, sizes, ends = [], [], np.zeros(0, np.int32)
+                for side, bytes_of in ((0, both.a_sizes), (1, both.b_sizes)):
+                    ids = np.frombuffer(b"".join([x[side] for x in found]), np.int32)
+                    own = np.array([len(x[side]) // 4 for x in found], np.int64)
+                    summed = np.cumsum(bytes_of[ids], dtype=np.int32)
+                    columns += [one(ids), one(summed)]
+                    total = np.concatenate(([0], np.cumsum(own[at])))
+                    sizes.append(pa.array(np.diff(total[stops]), pa.int64()))
+                    ends = summed[np.cumsum(own) - 1] if len(ids) else ends
+                kept = pa.StructArray.from_arrays([batch.column(0), *sizes, pa.ListArray.from_arrays(stops, at)], ["key", "n_a", "n_b", "units"])
+                yield pa.RecordBatch.from_arrays([*columns, one(ends), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)], ["a", "a_ends", "b", "b_ends", "unit_ends", "docs"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 PAIRS = "array<struct<pair:int,n:bigint>>"
 
 
-def reached(ends: Column, cuts: Column) -> Column:
-    """0, then for each cut how many ends are not behind it: among the sorted ends and cuts each cut stands next to its equal."""
-    both = F.sort_array(F.concat(ends, cuts))
-    return let(both, lambda s: F.concat(F.array(F.lit(0)), F.transform(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1)), lambda i, k: i - k)))
+def stops(ends: str, cuts: str, between: str) -> Column:
+    """0, then for each cut how many ends are not behind it. between: the ends and the cuts sorted, where each cut stands next to its equal."""
+    found = F.filter(F.sequence(F.lit(1), F.size(between) - 1), lambda i: F.get(between, i) == F.get(between, i - 1))
+    return F.when(F.size(cuts) > 0, F.concat(F.array(F.lit(0)), F.transform(found, lambda i, k: i - k))).otherwise(F.array(F.lit(0)))
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -140,68 +155,90 @@ def counted(ids: Column) -> Column:
     return F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("n")))
 
 
-class Cut:
-    """Groups by number: tokens from a_stops[k] to a_stops[k + 1] of one side and likewise of the other."""
+def numbers(stops: str) -> Column:
+    """Of the stretches between stops."""
+    return F.when(F.size(stops) > 1, F.sequence(F.lit(0), F.size(stops) - 2)).otherwise(F.array().cast("array<int>"))
 
-    def __init__(self, a: Column, b: Column, a_stops: Column, b_stops: Column):
-        self.a, self.b, self.a_stops, self.b_stops = a, b, a_stops, b_stops
-        self.numbers = F.sequence(F.lit(0), F.size(a_stops) - 2)
 
-    def single(self, k: Column) -> Column:
-        """Most groups are a token of either side."""
-        return F.get(self.a_stops, k + 1) + F.get(self.b_stops, k + 1) == F.get(self.a_stops, k) + F.get(self.b_stops, k) + 2
+def run_of(values: str, stops: str, k: Column) -> Column:
+    """The values from stops[k] to stops[k + 1]."""
+    return F.transform(F.sequence(F.get(stops, k), F.get(stops, k + 1) - 1), lambda i: F.get(values, i))
 
-    def last(self, k: Column) -> tuple[Column, Column]:
-        return F.get(self.a, F.get(self.a_stops, k + 1) - 1), F.get(self.b, F.get(self.b_stops, k + 1) - 1)
 
-    def ids(self, k: Column, body) -> Column:
-        run = lambda ids, stops: F.transform(F.sequence(F.get(stops, k), F.get(stops, k + 1) - 1), lambda i: F.get(ids, i))
-        return let(run(self.a, self.a_stops), lambda x: let(run(self.b, self.b_stops), lambda y: body(x, y)))
+def single(k: Column) -> Column:
+    """Most groups are a token of either side."""
+    return F.get("both_stops", k + 1) - F.get("both_stops", k) == 2
 
-    def text(self) -> Column:
-        join = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-        several = lambda k: self.ids(k, lambda x, y: F.concat(join(x), F.lit("|"), join(y)))
-        return F.array_join(F.transform(self.numbers, lambda k: F.when(self.single(k), F.concat_ws("|", *[x.cast("string") for x in self.last(k)])).otherwise(several(k))), ";")
 
-    def links(self) -> Column:
-        """pairs: one for each group, of its last tokens, and the others of groups of more tokens. more: (pair, n), n further times.
+def lasts(k: Column) -> tuple[Column, Column]:
+    return F.get("a", F.get("a_stops", k + 1) - 1), F.get("b", F.get("b_stops", k + 1) - 1)
 
-        A group of very many tokens gives its distinct pairs once, and the rest as more.
-        """
-        lasts = F.transform(self.numbers, lambda k: pair(*self.last(k)))
-        others = F.transform(F.filter(self.numbers, lambda k: ~self.single(k)), lambda k: self.ids(k, self.others))
-        return let(others, lambda o: F.struct(F.sort_array(F.concat(lasts, F.flatten(o["pairs"]))).alias("pairs"), F.flatten(o["more"]).alias("more")))
 
-    @staticmethod
-    def others(x: Column, y: Column) -> Column:
-        all_pairs = F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: pair(i, j))))
-        few = F.struct(F.slice(all_pairs, 1, F.size(x) * F.size(y) - 1).alias("pairs"), F.array().cast(PAIRS).alias("more"))
-        weighed = F.flatten(F.transform(counted(x), lambda i: F.transform(counted(y), lambda j: F.struct(pair(i["id"], j["id"]).alias("pair"), (i["n"] * j["n"]).alias("n")))))
-        last = pair(F.element_at(x, -1), F.element_at(y, -1))
-        less = lambda w: F.filter(F.transform(w, lambda z: F.struct(z["pair"].alias("pair"), (z["n"] - 1 - (z["pair"] == last).cast("long")).alias("n"))), lambda z: z["n"] != 0)
-        many = let(weighed, lambda w: F.struct(w["pair"].alias("pairs"), less(w).alias("more")))
-        return F.when(F.size(x).cast("long") * F.size(y) < MANY, few).otherwise(many)
+def large(k: Column) -> Column:
+    many = (F.get("a_stops", k + 1) - F.get("a_stops", k)).cast("long") * (F.get("b_stops", k + 1) - F.get("b_stops", k)) >= MANY
+    return (F.get("both_stops", k + 1) - F.get("both_stops", k) > 2 * int(MANY**0.5) - 1) & many  # the sum first: it is cheaper
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`; null without tokens), pairs and more.
+def places(stops: str, k: Column) -> Column:
+    return F.sequence(F.get(stops, k), F.get(stops, k + 1) - 1)
+
+
+def with_ids(k: Column, body) -> Column:
+    return let(run_of("a", "a_stops", k), lambda x: let(run_of("b", "b_stops", k), lambda y: body(x, y)))
 
-    pairs are the linked ids, A's times B_IDS plus B's, sorted, one for each link but
-    for those that more (pair, n) tells. A row per row, repeated ones included. Null
-    and empty texts, and texts that a side doesn't give back byte by byte, have no tokens.
-    """
-    coded = tokenise(docs, byte_path, piece_path, text, (key,))
 
-    def build(a_stops: Column, b_stops: Column) -> Column:
-        cut = Cut(F.col("a"), F.col("b"), a_stops, b_stops)
-        return F.struct((F.size(a_stops) - 1).alias("n_groups"), cut.text().alias("groups"), cut.links().alias("links"))
+def group_text(k: Column) -> Column:
+    side = lambda ids, stops: F.array_join(F.transform(places(stops, k), lambda i: F.get(ids, i).cast("string")), ",")
+    x, y = (v.cast("string") for v in lasts(k))
+    return F.when(single(k), F.concat_ws("|", x, y)).otherwise(F.concat_ws("|", side("a", "a_stops"), side("b", "b_stops")))
 
-    whole = let(F.array_intersect("a_ends", "b_ends"), lambda cuts: let(reached(F.col("a_ends"), cuts), lambda x: let(reached(F.col("b_ends"), cuts), lambda y: build(x, y))))
-    found = coded.select(key, F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.when(F.size("a") > 0, whole).alias("g"))
-    more = F.coalesce("g.links.more", F.array().cast(PAIRS))
-    n_links = F.coalesce(F.size("g.links.pairs"), F.lit(0)).cast("long") + F.aggregate(more, F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    return found.select(key, "n_a", "n_b", F.coalesce("g.n_groups", F.lit(0)).cast("long").alias("n_groups"), F.when(F.col("n_a") > 0, n_links).otherwise(F.lit(0).cast("long")).alias("n_links"),
-                        F.col("g.groups").alias("groups"), F.coalesce("g.links.pairs", F.array().cast("array<int>")).alias("pairs"), more.alias("more"))
+
+def group_pairs(k: Column) -> Column:
+    """The linked ids; of a group of very many links the distinct ones."""
+    distinct = with_ids(k, lambda x, y: let(F.array_distinct(y), lambda z: F.flatten(F.transform(F.array_distinct(x), lambda i: F.transform(z, lambda j: pair(i, j))))))
+    all_pairs = F.flatten(F.transform(places("a_stops", k), lambda i: F.transform(places("b_stops", k), lambda j: pair(F.get("a", i), F.get("b", j)))))
+    return F.when(single(k), F.array(pair(*lasts(k)))).when(large(k), distinct).otherwise(all_pairs)
+
+
+def group_more(k: Column) -> Column:
+    """How many times more the distinct pairs of a group of very many links are linked."""
+    weighed = lambda x, y: F.flatten(F.transform(counted(x), lambda i: F.transform(counted(y), lambda j: F.struct(pair(i["id"], j["id"]).alias("pair"), (i["n"] * j["n"] - 1).alias("n")))))
+    return F.when(large(k), F.filter(with_ids(k, weighed), lambda z: z["n"] > 0)).otherwise(F.array().cast(PAIRS))
+
+
+def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`, empty without tokens), pairs and more.
+
+    Both sides end at a unit's end, so groups lie inside units: those of distinct units
+    are built once, and a text's are its units' one behind the other. pairs are the
+    linked ids, A's times B_IDS plus B's, sorted, one for each link but for those that
+    more (pair, n) tells. A row per row, repeated ones included. Null and empty texts,
+    and texts that a side doesn't give back byte by byte, have no tokens.
+
+    Each step is a projection of its own, so that what it makes lies in plain arrays for
+    the next one, which looks single values up.
+    """
+    coded = tokenise(docs, byte_path, piece_path, text, key).withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    between = lambda *ends: F.sort_array(F.concat(*ends))
+    placed = coded.select("a", "b", "docs", "a_ends", "b_ends", "unit_ends", "cuts", between("a_ends", "cuts").alias("by_a"), between("b_ends", "cuts").alias("by_b"), between("cuts", "unit_ends").alias("by_unit"))
+    cut = placed.select("a", "b", "docs", stops("a_ends", "cuts", "by_a").alias("a_stops"), stops("b_ends", "cuts", "by_b").alias("b_stops"), stops("cuts", "unit_ends", "by_unit").alias("unit_stops"))
+    cut = cut.select("*", F.zip_with("a_stops", "b_stops", lambda x, y: x + y).alias("both_stops"))
+    # Groups, then units, then texts; more is empty but for rows that have a very large group.
+    any_large = F.exists(numbers("a_stops"), large)
+    each = lambda of: F.transform(numbers("a_stops"), of)
+    grouped = cut.select("docs", "unit_stops", each(group_text).alias("texts"), each(group_pairs).alias("pairs"), F.when(any_large, each(group_more)).alias("more"))
+    of_unit = lambda values: F.transform(numbers("unit_stops"), lambda u: run_of(values, "unit_stops", u))
+    units = grouped.select(
+        "docs", "unit_stops", F.transform(numbers("unit_stops"), lambda u: F.array_join(run_of("texts", "unit_stops", u), ";")).alias("texts"),
+        F.transform(of_unit("pairs"), F.flatten).alias("pairs"), F.when(F.col("more").isNotNull(), F.transform(of_unit("more"), F.flatten)).alias("more"),
+    )
+    all_of = lambda d, values: F.transform(d["units"], lambda u: F.get(values, u))
+    n_groups = lambda d: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get("unit_stops", u + 1) - F.get("unit_stops", u))
+    more = lambda d: F.when(F.col("more").isNotNull(), F.flatten(all_of(d, "more"))).otherwise(F.array().cast(PAIRS))
+    own = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups(d).alias("n_groups"), all_of(d, "texts").alias("texts"), all_of(d, "pairs").alias("pairs"), more(d).alias("more")))
+    rows = units.select(F.inline(own)).select("key", "n_a", "n_b", "n_groups", "texts", F.flatten("pairs").alias("pairs"), "more")
+    n_links = F.size("pairs").cast("long") + F.aggregate("more", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return rows.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", n_links.alias("n_links"), F.array_join("texts", ";").alias("groups"), F.sort_array("pairs").alias("pairs"), "more")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -250,7 +287,7 @@ def best_links(aligned: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROW
 
 
 def digests(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    rows = align(docs, byte_path, piece_path, text, key).withColumn("groups", F.when(F.col("groups").isNull(), F.lit("")).otherwise(F.sha2("groups", 256)))
+    rows = align(docs, byte_path, piece_path, text, key).withColumn("groups", F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256)))
     aligned = materialise(rows.withColumnRenamed("groups", "groups_sha256").withColumn("row", F.monotonically_increasing_id()), "aligned", "zstd")
     return best_links(aligned, key, broadcast_rows).select(key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -81,9 +82,9 @@ def test_either_way_to_the_counts(spark, monkeypatch, broadcast_rows, many):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_units_give_the_libraries_tokens(text):
-    a, b = alignment.sides(*PATHS).ids([text])[0]
-    whole = plain_tokens(text)
-    assert (a.tolist(), b.tolist()) == tuple([i for i, _ in side] for side in whole)
+    found, numbers = alignment.sides(*PATHS).units([text])
+    a, b = (np.frombuffer(b"".join(found[u][side] for u in numbers[0]), np.int32).tolist() for side in (0, 1))
+    assert (a, b) == tuple([i for i, _ in side] for side in plain_tokens(text))
 
 
 def test_edges_of_the_input(spark):
