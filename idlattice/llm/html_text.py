@@ -76,15 +76,22 @@ def words_of(attributes: str) -> tuple[set[str], bool]:
     return found, hidden
 
 
-def end_of_tag(html: str, at: int) -> int:
-    """The place after the tag whose inside begins at a place; a > in quotes doesn't end it, unless the quotes have no end. -1 without an end."""
-    place = at
+def end_of_tag(html: str, at: int, hopeless: set[int]) -> int:
+    """The place after the tag whose inside begins at a place; a > in quotes doesn't end it, unless the quotes have no end. -1 without an end.
+
+    hopeless: places of quotes from which a scan has come to the end of the page without
+    closing its tag. A scan that meets one ends, so all failing scans of a page together
+    pass each of its quotes once.
+    """
+    place, met = at, []
     while m := QUOTE_OR_END.search(html, place):
         if m[0] == ">":
             return m.end()
-        if (close := html.find(m[0], m.end())) < 0:
-            break  # no such quote follows, so this happens once a page for either kind
+        met.append(m.start())
+        if m.start() in hopeless or (close := html.find(m[0], m.end())) < 0:
+            break
         place = close + 1
+    hopeless.update(met)
     return html.find(">", at) + 1 or -1
 
 
@@ -95,6 +102,7 @@ def tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
     read once: what has no end is text, from there to the end of the page.
     """
     at, begin, last = 0, 0, html.rfind(">")
+    hopeless: set[int] = set()
     while 0 <= (at := html.find("<", at)) < last:
         if html.startswith("<!--", at):
             close = html.find("-->", at + 4)
@@ -103,7 +111,7 @@ def tags(html: str) -> Iterator[tuple[str, bool, str, str]]:
         elif html.startswith(("<!", "<?"), at):
             yield html[begin:at], False, "", ""
             at = begin = html.find(">", at) + 1
-        elif (m := NAME.match(html, at + 1)) and (close := end_of_tag(html, m.end())) > 0:
+        elif (m := NAME.match(html, at + 1)) and (close := end_of_tag(html, m.end(), hopeless)) > 0:
             name, ends = m[1].lower(), html[at + 1] == "/"
             yield html[begin:at], ends, name, html[m.end() : close - 1]
             at = begin = close
@@ -128,8 +136,8 @@ def blocks(html: str) -> list[Block]:
 
     def flush() -> None:
         nonlocal parts, linked_parts
-        if parts and (text := " ".join(unescape("".join(parts)).split())):
-            out.append(Block(text, len(" ".join(unescape("".join(linked_parts)).split())), inside > 0, headings > 0, parent))
+        if parts and (text := " ".join("".join(map(unescape, parts)).split())):
+            out.append(Block(text, len(" ".join("".join(map(unescape, linked_parts)).split())), inside > 0, headings > 0, parent))
         parts, linked_parts = [], []
 
     def close(depth: int) -> None:

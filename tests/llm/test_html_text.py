@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import time
 
@@ -11,6 +12,7 @@ CASES = [
     ("", ""),
     ("plain text only", ""),
     ("<article>Tiny</article>", "Tiny"),
+    ("<article>&am<b>p;</b> &amp;</article>", "&amp; &"),
     (f"<article><h1>Head &amp; tail</h1><p>{LONG}<p>a<b>b</b>c<br>d&nbsp;e</article>", f"Head & tail {LONG} abc d e"),
     (f"<nav><a href=/>Home</a></nav><header><h1>Site</h1></header><main><p>{LONG}</p></main><footer>Of the end</footer>", LONG),
     (f'<div class="cookie-notice">We use cookies and that is good for all of you and for the others.</div><div id=content><h2>Title</h2><p>{LONG}</p><p>End.</p></div><div class="comments"><p>I like the article and it was the best of all that I have read so far.</p></div>', f"Title {LONG} End."),
@@ -85,6 +87,36 @@ def test_malformed_pages_take_linear_time(piece):
     assert time.perf_counter() - begin < 15  # quadratic scans take minutes
 
 
+@pytest.mark.parametrize("piece", ["\"<a '>'\" ", "<a \"'>\" '", "<b x='\">'\"", "' <i \" > '\" "])
+def test_quotes_without_an_end_take_linear_time(piece):
+    """Quotes that are left open whichever way they are paired."""
+    for tail in ('"', "'", "\"'"):
+        page = "<p>x</p><a " + piece * (1_000_000 // len(piece)) + tail
+        begin = time.perf_counter()
+        H.main_text(page)
+        assert time.perf_counter() - begin < 8
+
+
+def test_quotes_and_ends_of_tags():
+    """Every start in small pages gives what a scan without memory gives."""
+
+    def plain(html, at):
+        place = at
+        while m := H.QUOTE_OR_END.search(html, place):
+            if m[0] == ">":
+                return m.end()
+            if (close := html.find(m[0], m.end())) < 0:
+                break
+            place = close + 1
+        return html.find(">", at) + 1 or -1
+
+    rng = random.Random(7)
+    for _ in range(500):
+        html, hopeless = "".join(rng.choices("a>'\"", weights=[3, 1, 2, 2], k=30)), set()
+        for at in range(len(html)):
+            assert H.end_of_tag(html, at, hopeless) == plain(html, at)
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<article>" + "word " * 300_000 + "</article>"), (3, "u", "<p>" * 20_000), (None, "v", "<article>a</article>")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
