@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, slices, table, text_bytes
 
 #: Distinct keys that a task holds before it sends them on; training tokens per shard of pairs; words whose hash a worker remembers.
-HELD, SHARD, MEMORY = 3_000_000, 2_000_000, 300_000
+HELD, SHARD, MEMORY = 1_000_000, 2_000_000, 100_000
 #: The end of a text is the hash of no bytes, which no word has. A word's number takes 32 bits.
 END = xxhash.xxh64_intdigest(b"")
 MOST_WORDS = (1 << 32) - 2
@@ -93,7 +93,7 @@ class Sums:
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
-        if self.held > 2 * self.distinct + HELD // 2:
+        if self.held > self.distinct + HELD:
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ def count_words(train: DataFrame, text: str, path: str) -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, sums = Hashes(), Sums()
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, most=1 << 20):
                 keys, counts = np.unique(tokens(text_bytes(batch.column(0)), memory)[0], return_counts=True)
                 sums.add(keys, counts[None])
                 if sums.distinct > HELD:
@@ -278,7 +278,7 @@ def count_pairs(train: DataFrame, text: str, vocabulary: Vocabulary, shards: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, sums = Hashes(), Sums()
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, most=1 << 20):
                 own, before, _ = pair_keys(vocabulary, *tokens(text_bytes(batch.column(0)), memory))
                 keys, counts = np.unique(before.astype(np.uint64) << np.uint64(32) | own.astype(np.uint64), return_counts=True)
                 sums.add(keys, counts[None])
@@ -420,7 +420,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Hashes()
         for whole in batches:
-            for batch in slices(whole, len(keep)):
+            for batch in slices(whole, len(keep), most=1 << 20):
                 hashes, stops = tokens(text_bytes(batch.column(len(keep))), memory)
                 counts, own = log_probabilities(model, hashes, stops)
                 starts = np.concatenate(([0], stops[:-1]))
