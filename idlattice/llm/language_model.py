@@ -102,6 +102,12 @@ class Sums:
         return keys, counts
 
 
+def stretches(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each distinct value begins and stops; none of no values."""
+    cuts = np.flatnonzero(np.diff(sorted_values, prepend=-1))
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(sorted_values))[: len(cuts)].tolist(), strict=True))
+
+
 PACKED = "shard int, n int, keys binary, counts binary"
 
 
@@ -110,8 +116,7 @@ def packed(sums: Sums, shard_of) -> Iterator[pa.RecordBatch]:
     keys, counts = sums.fold()
     shards = shard_of(keys)
     order = np.argsort(shards, kind="stable")
-    cuts = np.flatnonzero(np.diff(shards[order], prepend=-1))
-    for begin, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+    for begin, stop in stretches(shards[order]):
         own = order[begin:stop]
         row = [[int(shards[own[0]])], [len(own)], [planes(np.diff(keys[own], prepend=np.uint64(0)))], [planes(counts[:, own].ravel())]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "keys", "counts"])
@@ -163,8 +168,7 @@ def found_in(wanted: np.ndarray, shard_of, shards: list, place) -> np.ndarray:
     out = np.full(len(wanted), -1, np.float64)
     own = shard_of(wanted)
     order = np.argsort(own, kind="stable")
-    cuts = np.flatnonzero(np.diff(own[order], prepend=-1))
-    for begin, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+    for begin, stop in stretches(own[order]):
         at = order[begin:stop]
         k = int(own[at[0]])
         if (keys := shards[k]) is not None and len(keys):
