@@ -382,6 +382,83 @@ def q29_full_verification(spark, d):
     return process_verification(typed_docs, AS_OF).scores
 
 
+def q56_field_features(spark, d):
+    """Fields that are missing and signals of each kind, by document."""
+    docs, fields = typed(spark, d).where("kind <> 'UNKNOWN'"), planted_fields(spark, d)
+    out = features.field_features(fields).join(features.signal_features(fraud.signals(docs, fields)), "doc_id", "left")
+    return out.select("doc_id", "missing_fields_count", F.round("field_extraction_success_rate", 6).alias("success_rate"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("overlapping_fields_count", "layout_anomaly_count", "exif_editor_detected", "exif_timestamp_mismatch")])
+
+
+Q56 = f"""{_B}, s AS (SELECT doc_id, CAST(count(*) FILTER (name = 'overlapping_fields_detected') AS DOUBLE) AS o, CAST(count(*) FILTER (name LIKE 'layout%') AS DOUBLE) AS l FROM ({LAYOUT}) GROUP BY 1),
+f AS (SELECT doc_id, CAST(count(*) FILTER (value = 'NOT_FOUND') AS DOUBLE) AS missing, count(*) AS n FROM pf GROUP BY 1)
+SELECT doc_id, missing AS missing_fields_count, round((n - missing) / n, 6) AS success_rate, coalesce(o, 0) AS overlapping_fields_count, coalesce(l, 0) AS layout_anomaly_count,
+CASE WHEN m % 10 = 0 THEN 1.0 ELSE 0.0 END AS exif_editor_detected, CASE WHEN m % 12 = 0 THEN 1.0 ELSE 0.0 END AS exif_timestamp_mismatch FROM f JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+def given_candidates(spark, d):
+    """Candidates of three fields for each document of their type: found on a line, told by another zone, of wrong form, on another line."""
+    box = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(60).alias("w"), F.lit(20).alias("h")).cast(BOX_SQL)
+    conf = (60 + F.col("k") % 31) / 100
+
+    def one(value, raw=None, conf=conf, line=-1, source="visual", boost=0.0, at=None):
+        own = candidates.candidate(value, value if raw is None else raw, conf, line, source, boost)
+        return own if at is None else own.withField("box", at)
+
+    lit = F.lit
+    listed = {
+        ("AADHAAR", "dob"): [one(F.col("dob"), F.col("dob_text"), at=box(72, 90)), one(lit("2031-01-01"), conf=lit(90), line=0, source="mrz", boost=0.1), one(lit("2020-13-45")), one(F.col("dob"), line=4, conf=lit(0.97), at=box(500, 205))],
+        ("PASSPORT", "passport_number"): [one(F.col("number"), at=box(0, 90)), one(lit("A123")), one(lit("Z7654321"), line=14, source="mrz", boost=0.2, conf=lit(0.71)), one(F.col("number"), line=9, conf=lit(55), at=box(0, 190))],
+        ("PAN", "name"): [one(F.col("name"), at=box(0, 130)), one(lit("RAVI"), line=0), one(lit("A1")), one(lit("ANIL KUMAR RAO"), line=6, conf=lit(0.52), boost=0.05, at=box(0, 250))],
+    }
+    docs = typed(spark, d).withColumns({"lines": text.lines(F.col("ocr_raw_text")), "words": F.col("word_map"), "page_height": F.lit(400)})
+    return candidates.with_facts(docs), listed
+
+
+def q57_candidate_scores(spark, d):
+    """Scores, ranks and combined confidences of candidates, and the one chosen with its mark."""
+    docs, listed = given_candidates(spark, d)
+    page, rows = candidates.Page.of(AS_OF), F.lit(None)
+
+    def listing(kind, field, own):
+        best = candidates.choose(kind, field, own, page)
+        shown = lambda x, i: F.struct(
+            F.lit(field).alias("field_name"), (i + 1).alias("rank"), x["c"]["text"].alias("text"), x["c"]["line"].alias("line"), F.round(x["score"], 6).alias("score"),
+            F.round(candidates.confidence(kind, field, x["c"], page), 6).alias("confidence"), best["value"].alias("chosen"), best["status"].alias("status"),
+        )
+        return F.transform(candidates.ranked(kind, field, own, page), shown)
+
+    for (kind, field), own in listed.items():
+        rows = F.when(F.col("kind") == kind, listing(kind, field, F.array(*own))).otherwise(rows)
+    return docs.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+def _given(kind, field, rows):
+    return " UNION ALL ".join(f"SELECT doc_id, kind, '{field}' AS field, {i} AS i, {t} AS text, {raw} AS raw, CAST({conf} AS DOUBLE) AS conf, {line} AS given, '{src}' AS source, CAST({boost} AS DOUBLE) AS boost, CAST({y} AS DOUBLE) AS y, CAST({x} AS INT) AS x FROM c WHERE kind = '{kind}'" for i, t, raw, conf, line, src, boost, x, y in rows)
+
+
+_CONF = "(60 + k % 31) / 100.0"
+# Those of wrong form are left out.
+_GIVEN = " UNION ALL ".join([
+    _given("AADHAAR", "dob", [(0, "dob", "dob_text", _CONF, -1, "visual", 0, 72, 90), (1, "'2031-01-01'", "'2031-01-01'", 0.9, 0, "mrz", 0.1, "NULL", "NULL"), (3, "dob", "dob", 0.97, 4, "visual", 0, 500, 205)]),
+    _given("PASSPORT", "passport_number", [(0, "number", "number", _CONF, -1, "visual", 0, 0, 90), (2, "'Z7654321'", "'Z7654321'", 0.71, 14, "mrz", 0.2, "NULL", "NULL"), (3, "number", "number", 0.55, 9, "visual", 0, 0, 190)]),
+    _given("PAN", "name", [(0, "name", "name", _CONF, -1, "visual", 0, 0, 130), (1, "'RAVI'", "'RAVI'", _CONF, 0, "visual", 0, "NULL", "NULL"), (3, "'ANIL KUMAR RAO'", "'ANIL KUMAR RAO'", 0.52, 6, "visual", 0.05, 0, 250)]),
+])
+Q57 = rf"""{W}, l AS (SELECT doc_id, unnest(range(len(string_split(raw_text, chr(10))))) AS line, lower(unnest(string_split(raw_text, chr(10)))) AS t FROM c), g0 AS ({_GIVEN}),
+g AS (SELECT g0.*, CASE WHEN given = -1 THEN coalesce((SELECT min(line) FROM l WHERE l.doc_id = g0.doc_id AND (contains(t, lower(raw)) OR contains(t, lower(text)))), 0) ELSE given END AS line FROM g0),
+a AS (SELECT doc_id, f.field, line AS pos FROM l JOIN (VALUES ('dob', 'dob|birth|yob|date of|nasc|d\.o\.b'), ('passport_number', 'pass no|passport|document no|pasp|no|number'), ('name', 'name|gvn|nam|nom')) f(field, p) ON regexp_matches(t, p)),
+n AS (SELECT doc_id, field, i, line - pos AS s FROM g JOIN a USING (doc_id, field) QUALIFY row_number() OVER (PARTITION BY doc_id, field, i ORDER BY abs(line - pos), pos) = 1),
+b AS (SELECT g.doc_id, g.field, g.i, bool_or(abs(w.top + 10 - (g.y + 10)) < 15) AS level, bool_or(greatest(w."left", g.x) <= least(w."left" + w.width, g.x + 60)) AS beneath FROM g JOIN w ON g.doc_id = w.doc_id WHERE g.field = 'dob' AND g.y IS NOT NULL AND regexp_matches(lower(w.text), 'dob|birth|yob|nasc|d\.o\.b') GROUP BY ALL),
+r AS (SELECT g.*, s, coalesce(level, FALSE) AS level, coalesce(beneath, FALSE) AS beneath, (y + 10) / 400 AS share, len(string_split(text, ' ')) AS words FROM g LEFT JOIN n USING (doc_id, field, i) LEFT JOIN b USING (doc_id, field, i)),
+t AS (SELECT *, coalesce(CASE field WHEN 'dob' THEN share > 0.3 AND share < 0.7 WHEN 'passport_number' THEN share < 0.3 OR share > 0.7 ELSE share > 0.2 AND share < 0.6 END, FALSE) AS placed FROM r),
+v AS (SELECT *, 0.4 * conf + 0.25 * CASE WHEN s IS NULL THEN 0 WHEN s IN (0, 1) THEN 1 WHEN s = 2 THEN 0.8 WHEN s = -1 THEN 0.4 WHEN s = -2 THEN 0.2 ELSE 0.1 END + 0.2 + 0.1 * CASE WHEN placed THEN 1 ELSE 0.5 END
+  + 0.05 * CASE WHEN source = 'visual' THEN CASE WHEN kind = 'PASSPORT' THEN 0.8 ELSE 1 END WHEN kind = 'PASSPORT' THEN 1 ELSE 0.5 END + 2 * boost
+  + CASE field WHEN 'passport_number' THEN 2 WHEN 'name' THEN CASE WHEN words >= 3 THEN 1.5 WHEN words = 2 THEN 1 ELSE -2 END - CASE WHEN length(text) < 5 THEN 2 ELSE 0 END
+    ELSE CASE WHEN level THEN 1.5 ELSE 0 END + CASE WHEN beneath THEN 1.5 ELSE 0 END - CASE WHEN text > '{AS_OF}' THEN 5 ELSE 0 END END AS score,
+  0.4 * conf + 0.3 + 0.2 * CASE WHEN s IS NULL OR abs(s) >= 5 THEN 0.4 WHEN abs(s) <= 1 THEN 1 WHEN abs(s) = 2 THEN 0.8 ELSE 0.6 END + 0.1 * CASE WHEN field <> 'dob' AND placed THEN 1 ELSE 0.8 END AS confidence FROM t)
+SELECT doc_id, field AS field_name, row_number() OVER o AS rank, text, line, round(CAST(score AS DOUBLE), 6) AS score, round(CAST(confidence AS DOUBLE), 6) AS confidence, first_value(text) OVER o AS chosen,
+  CASE WHEN first_value(conf) OVER o < CASE field WHEN 'dob' THEN 0.6 WHEN 'name' THEN 0.55 ELSE 0.65 END THEN 'low_confidence' ELSE 'ok' END AS status FROM v WINDOW o AS (PARTITION BY doc_id, field ORDER BY score DESC, i)"""
+
+
 def q30_attribution(spark, d):
     v = validate.validate(planted_fields(spark, d), AS_OF)
     return v.select("doc_id", "seq", scoring.attribution(F.col("status"), F.col("field_name")).alias("points"), sinks.status_colour(F.col("status")).alias("colour"))
@@ -471,6 +548,24 @@ def q47_highlights(spark, d):
 Q47 = f"{C} SELECT doc_id, 'name' AS field_name, CASE WHEN m % 4 IN (0, 2) THEN 'Highlight unavailable for this field.' ELSE '' END AS highlight_status FROM c WHERE kind <> 'UNKNOWN'"
 
 
+def q58_number_highlights(spark, d):
+    """Numbers and dates against the words of their line: look-alike digits count as equal, other readings don't."""
+    docs = typed(spark, d).where("kind IN ('AADHAAR', 'DRIVING_LICENCE')")
+    on_line = lambda j: F.filter("word_map", lambda w: w["top"] == 40 * j + 10)
+    aadhaar = F.col("kind") == "AADHAAR"
+    number = F.when(aadhaar, on_line(F.when(F.col("k") % 17 == 0, 3).otherwise(4))).otherwise(F.filter(on_line(F.lit(2)), lambda w: w["left"] >= 72))
+    date = F.slice(on_line(F.when(aadhaar, 2).otherwise(4)), 2, 1)
+    rows = [(F.when(aadhaar, "aadhaar_number").otherwise("dl_number"), F.col("number"), number), (F.lit("dob"), F.translate("dob_text", "0158", "OISB"), date), (F.lit("validity"), F.col("dob"), date), (F.lit("name"), F.lit("NOT_FOUND"), date)]
+    listed = F.array(*[F.struct(n.alias("field_name"), v.alias("value"), layout.union_box(w).alias("box")) for n, v, w in rows])
+    return display.with_highlights(docs.select("doc_id", F.inline(listed)), docs).select("doc_id", "field_name", "highlight_status")
+
+
+# A noisy number has the letter O for each 0, and never a wrong check digit.
+Q58 = f"""{C}, d AS (SELECT * FROM c WHERE kind IN ('AADHAAR', 'DRIVING_LICENCE')), no AS (SELECT 'Highlight unavailable for this field.' AS t)
+SELECT doc_id, CASE kind WHEN 'AADHAAR' THEN 'aadhaar_number' ELSE 'dl_number' END AS field_name, CASE WHEN kind = 'AADHAAR' AND m % 11 = 3 AND m % 7 = 0 THEN t ELSE '' END AS highlight_status FROM d, no
+UNION ALL SELECT doc_id, 'dob', '' FROM d UNION ALL SELECT doc_id, 'validity', t FROM d, no UNION ALL SELECT doc_id, 'name', '' FROM d"""
+
+
 def q48_display_text(spark, d):
     docs, fields = first_lines(spark, d)
     named = typed(spark, d).select("doc_id", F.col("kind").alias("document_type"), F.lit(0.875).alias("classification_confidence"))
@@ -608,6 +703,40 @@ j AS (SELECT doc_id, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY y, x)) AS m
 SELECT doc_id, medians, round(var_pop(n), 6) AS level FROM r JOIN j USING (doc_id) GROUP BY 1, 2"""
 
 
+def q55_resized_pictures(spark, d):
+    """Pictures enlarged, made to fit and shrunk, and grey values of their pixels taken as colours."""
+    read = pictures(spark, d)
+    md5 = lambda df, name: df.select("doc_id", F.col("width").alias(f"{name}_width"), F.md5(F.array_join("pixels", ",")).alias(name))
+    large, small, least = md5(pixels.resize(read, 32, 48), "large"), md5(pixels.fit(read, 13, 11), "fit"), md5(pixels.resize(read, 5, 7, "bilinear"), "small")
+    return read.select("doc_id", F.md5(F.array_join(pixels.grey(F.col("pixels")), ",")).alias("grey")).join(large, "doc_id").join(small, "doc_id").join(least, "doc_id")
+
+
+_KERNEL_SQL = {
+    "bilinear": (1, "greatest(0, 1 - abs(t))"),
+    "bicubic": (2, "CASE WHEN abs(t) < 1 THEN (1.5 * abs(t) - 2.5) * t * t + 1 WHEN abs(t) < 2 THEN ((2.5 - 0.5 * abs(t)) * abs(t) - 4) * abs(t) + 2 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN t = 0 THEN 1 WHEN abs(t) < 3 THEN sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) ELSE 0 END"),
+}
+
+
+def _weights(old, new, kernel):
+    reach, f = _KERNEL_SQL[kernel]
+    step, wide = old / new, max(1.0, old / new)
+    return f"""(SELECT o, i, CAST(CASE WHEN v < 0 THEN ceil(v * 4194304 - 0.5) ELSE floor(v * 4194304 + 0.5) END AS BIGINT) AS w FROM (SELECT o, i, f / sum(f) OVER (PARTITION BY o) AS v FROM (SELECT o, i, CAST({f} AS DOUBLE) AS f FROM (
+  SELECT o, i, (i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {step!r}::DOUBLE) / {wide!r}::DOUBLE AS t FROM range({new}) a(o), range({old}) b(i) WHERE i >= trunc((o + 0.5::DOUBLE) * {step!r}::DOUBLE - {reach * wide!r}::DOUBLE + 0.5) AND i < trunc((o + 0.5::DOUBLE) * {step!r}::DOUBLE + {reach * wide!r}::DOUBLE + 0.5)))))"""
+
+
+def _resized(name, height, width, kernel):
+    whole = "CAST(greatest(0, least(255, floor((sum(g * w) + 2097152) / 4194304::DOUBLE))) AS INT) AS g"
+    return f"""{name}_rows AS (SELECT doc_id, y, o AS x, {whole} FROM p JOIN {_weights(24, width, kernel)} k ON p.x = k.i GROUP BY 1, 2, 3),
+{name} AS (SELECT doc_id, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY y, x)) AS md5 FROM (SELECT doc_id, o AS y, x, {whole} FROM {name}_rows r JOIN {_weights(16, height, kernel)} k ON r.y = k.i GROUP BY 1, 2, 3) GROUP BY 1)"""
+
+
+Q55 = f"""WITH p AS (SELECT s_suppkey AS doc_id, i, i // 24 AS y, i % 24 AS x, (s_suppkey * 31 + i * i * (1 + s_suppkey % 5) + (i % 24) * 11) % 256 AS g FROM supplier, range(384) r(i)),
+{_resized("large", 32, 48, "bicubic")}, {_resized("fit", 8, 13, "lanczos")}, {_resized("small", 5, 7, "bilinear")},
+c AS (SELECT doc_id, i // 3 AS n, CAST(sum(g * CASE i % 3 WHEN 0 THEN 19595 WHEN 1 THEN 38470 ELSE 7471 END) + 32768 AS BIGINT) // 65536 AS g FROM p GROUP BY 1, 2), c1 AS (SELECT doc_id, md5(string_agg(CAST(g AS VARCHAR), ',' ORDER BY n)) AS grey FROM c GROUP BY 1)
+SELECT doc_id, grey, 48 AS large_width, large.md5 AS large, 13 AS fit_width, fit.md5 AS fit, 7 AS small_width, small.md5 AS small FROM c1 JOIN large USING (doc_id) JOIN fit USING (doc_id) JOIN small USING (doc_id)"""
+
+
 def q37_trained_scores(spark, d):
     """A model of fraud, trained on the synthetic set, over the corpus' features."""
     model, _ = models.train(models.training_set(spark, 2000), "fraud")
@@ -716,7 +845,7 @@ QUERIES = {
     "q27_text_features": q27_text_features, "q28_risk_scores": q28_risk_scores, "q29_full_verification": q29_full_verification, "q30_attribution": q30_attribution, "q31_page_merge": q31_page_merge, "q32_fallback_fill": q32_fallback_fill,
     "q33_audit_statistics": q33_audit_statistics, "q34_audit_rollup": q34_audit_rollup, "q35_field_table": q35_field_table, "q36_pixel_quality": q36_pixel_quality, "q37_trained_scores": q37_trained_scores, "q38_picture_splits": q38_picture_splits,
     "q39_ocr_tokens": q39_ocr_tokens, "q40_mrz_indicators": q40_mrz_indicators, "q41_threshold_sweep": q41_threshold_sweep, "q42_audit_rows": q42_audit_rows, "q43_line_pairs": q43_line_pairs, "q44_overrides": q44_overrides, "q45_token_confidence": q45_token_confidence,
-    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports, "q53_audit_log": q53_audit_log, "q54_split_passports": q54_split_passports,
+    "q46_page_order": q46_page_order, "q47_highlights": q47_highlights, "q48_display_text": q48_display_text, "q49_failed_rules": q49_failed_rules, "q50_picture_repair": q50_picture_repair, "q51_file_tags": q51_file_tags, "q52_pdf_reports": q52_pdf_reports, "q53_audit_log": q53_audit_log, "q54_split_passports": q54_split_passports, "q55_resized_pictures": q55_resized_pictures, "q56_field_features": q56_field_features, "q57_candidate_scores": q57_candidate_scores, "q58_number_highlights": q58_number_highlights,
 }
 
 SQL = {
@@ -725,5 +854,5 @@ SQL = {
     "q20_pan_fields": Q20, "q21_passport_fields": Q21, "q22_licence_fields": Q22, "q23_validations": Q23, "q24_validation_summary": Q24, "q25_metadata_signals": Q25, "q26_layout_signals": Q26, "q27_text_features": Q27, "q28_risk_scores": Q28,
     "q30_attribution": Q30, "q31_page_merge": Q31, "q32_fallback_fill": Q32, "q33_audit_statistics": Q33, "q34_audit_rollup": Q34, "q35_field_table": Q35, "q36_pixel_quality": Q36, "q38_picture_splits": Q38, "q39_ocr_tokens": Q39,
     "q40_mrz_indicators": Q40, "q41_threshold_sweep": Q41, "q42_audit_rows": Q42, "q43_line_pairs": Q43, "q44_overrides": Q44, "q45_token_confidence": Q45,
-    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52, "q53_audit_log": Q53, "q54_split_passports": Q54,
+    "q46_page_order": Q46, "q47_highlights": Q47, "q48_display_text": Q48, "q49_failed_rules": Q49, "q50_picture_repair": Q50, "q51_file_tags": Q51, "q52_pdf_reports": Q52, "q53_audit_log": Q53, "q54_split_passports": Q54, "q55_resized_pictures": Q55, "q56_field_features": Q56, "q57_candidate_scores": Q57, "q58_number_highlights": Q58,
 }

@@ -233,6 +233,22 @@ def test_preprocessing_of_pictures(spark):
     assert plain.width == 120 and {*plain.pixels} >= {20, 250}
 
 
+def test_resampling_of_pictures(spark):
+    """Flat pictures stay flat, a ramp stays a ramp, sides keep their proportion; a cubic turn by nothing changes nothing."""
+    ramp = np.tile(np.arange(0, 240, 4.0), (40, 1))
+    for kernel in pixels.KERNELS:
+        assert {*np.unique(pixels.resized(np.full((7, 9), 93.0), 20, 4, kernel))} == {93}
+        large = pixels.resized(ramp, 80, 120, kernel)
+        assert large.shape == (80, 120) and np.abs(np.diff(large[40, 10:-10]) - 2).max() <= 1
+        assert (pixels.weights(60, 7, kernel)[1].sum(axis=1) - (1 << pixels.WEIGHT_BITS)).max() <= 60
+    assert pixels.fitted(ramp, 30, 600).shape == (20, 30) and pixels.fitted(ramp, 60, 40) is ramp and pixels.fitted(np.zeros((1, 900)), 9, 9).shape == (1, 9)
+    assert (pixels.rotated(ramp, 0, 255, cubic=True) == ramp).all() and pixels.rotated(ramp, 45, 255, expand=True, cubic=True)[0, 0] == 255
+    rows = [(1, [255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9], 3), (2, [], 0), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, pixels array<int>, width int")
+    assert [r.g for r in docs.select(pixels.grey(F.col("pixels")).alias("g")).collect()] == [[76, 150, 29], [], None]
+    assert [r.pixels for r in pixels.fit(docs, 2, 2).where("doc_id > 1").collect()] == [[], []]
+
+
 def test_pages_without_words_or_ids(spark):
     """A page without a word map adds nothing to the whole; rows without an id stay together."""
     word = ("a", 1, 2, 3, 4, 0.5)
