@@ -64,15 +64,24 @@ LEAST_CONFIDENCE = {
     "name": 0.55, "father_name": 0.55, "dob": 0.60, "validity": 0.60, "expiry": 0.60,
     "aadhaar_number": 0.65, "pan_number": 0.65, "passport_number": 0.65, "dl_number": 0.65, "mrz_line1": 0.70, "mrz_line2": 0.70,
 }
-# Words that no name has.
-CITIES = "MUMBAI DELHI AHMEDABAD BANGALORE KOLKATA CHENNAI HYDERABAD PUNE JAIPUR LUCKNOW SURAT PATNA INDORE THANE BHOPAL VISAKHAPATNAM VADODARA GANDHINAGAR PANAJI".split()
-DL_LABELS = "DOB DL VALIDITY CLASS LICENSE LICENCE DATE BIRTH EXPIRY SDMW SDW SON DAUGHTER WIFE HUSBAND FATHER HOLDER ADDRESS SIGNATURE AUTHORITY TRANSPORT UNION INDIA".split()
-DL_LABEL_ONLY = "SDMW SDW SON DAUGHTER WIFE HUSBAND FATHER NAME".split()
-DL_PLACES = [*CITIES, *"MAHARASHTRA GUJARAT KARNATAKA BHOR MAZGAON INDIA STATE".split()]
-VEHICLES = "MCWG LMV MCWOG HMV TRANS COV".split()
+# Cities, and labels and places of licences, that no name has.
+CITIES = [
+    "MUMBAI", "DELHI", "AHMEDABAD", "BANGALORE", "KOLKATA", "CHENNAI", "HYDERABAD", "PUNE", "JAIPUR", "LUCKNOW", "SURAT", "PATNA", "INDORE", "THANE",
+    "BHOPAL", "VISAKHAPATNAM", "VADODARA", "GANDHINAGAR", "PANAJI",
+]
+DL_LABELS = [
+    "DOB", "DL", "VALIDITY", "CLASS", "LICENSE", "LICENCE", "DATE", "BIRTH", "EXPIRY", "SDMW", "SDW", "SON", "DAUGHTER", "WIFE", "HUSBAND", "FATHER",
+    "HOLDER", "ADDRESS", "SIGNATURE", "AUTHORITY", "TRANSPORT", "UNION", "INDIA",
+]
+DL_LABEL_ONLY = ["SDMW", "SDW", "SON", "DAUGHTER", "WIFE", "HUSBAND", "FATHER", "NAME"]
+DL_PLACES = [*CITIES, "MAHARASHTRA", "GUJARAT", "KARNATAKA", "BHOR", "MAZGAON", "INDIA", "STATE"]
+# Classes of vehicles.
+VEHICLES = ["MCWG", "LMV", "MCWOG", "HMV", "TRANS", "COV"]
+# Words of addresses, and how a line of an address begins.
 ADDRESS_WORD = r"(?i)\b(add|address|a/p|ajp|at|post|tal|taluka|dist|district|road|street|lane|village|pin|pincode)\b"
 ADDRESS_STARTS = ["add:", "address:", "add ", "address ", "a/p", "at/post", "at post", "at & post", "at/po", "at po"]
 ADDRESS_LINE = r"\b(tal|taluka|dist|district|pincode|pin|village|town|road|street|lane)\b"
+# Words near names that aren't the holder's, and labels in a passport.
 FAMILY_NEAR = ["father", "mother", "spouse", "wife", "husband", "son of", "daughter of", "address", "permanent address", "near", "village", "pin", "state"]
 PASSPORT_LABELS = ["father", "mother", "spouse", "wife", "husband", "son of", "daughter of", "address", "permanent", "near", "village", "pin", "state", "given name", "surname", "nationality"]
 
