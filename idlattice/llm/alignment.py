@@ -1,10 +1,11 @@
 """Operator 13: which tokens of two tokenizers stand for the same bytes.
 
-Python only tokenises: it gives the ids of both sides and the byte offsets where
-tokens end. What both sides end at cuts the text into groups; Spark's array functions
-find these cuts and from them the groups and the linked ids. Which documents hold a
-pair of ids linked is counted over the corpus, and each document's pairs are joined
-with these counts: frequent pairs by a broadcast of bounded size, the rest by a shuffle.
+Python tokenises and cuts at the byte offsets where both sides end: it gives the distinct
+groups of some texts and each text's group numbers. Spark's array functions make the
+linked ids and the text of these groups once and put each document together from them.
+Which documents hold a pair of ids linked is counted over the corpus, and each document's
+pairs are joined with these counts: frequent pairs by a broadcast of bounded size, the
+rest by a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,9 @@ from .shared import BROADCAST_ROWS, materialise, slices, table
 
 #: Between a character and a character that are no white space, a space begins a token on either side.
 UNIT_ENDS = re.compile(r"(?<=\S)(?= \S)")
-#: The ids of a unit that a side doesn't give back.
-CHANGED = (b"", b"")
-#: Units whose tokens a worker remembers, the characters of the longest of them, and bytes of the texts of a row.
-MEMORY, LONGEST, SLICE = 150_000, 40, 2 << 20
+#: Units and bytes of groups that a worker remembers, the characters of the longest of these units, units that are
+#: encoded in one call, and bytes of the texts of a row.
+MEMORY, GROUP_BYTES, LONGEST, AT_ONCE, SLICE = 400_000, 64 << 20, 40, 4096, 2 << 20
 #: Links of a group from which equal ids are counted before they are paired.
 MANY = 256
 #: Ids of B are below this; A's times this plus B's fit an int.
@@ -72,35 +72,101 @@ class Sides:
             raise ValueError("the tokenizers' ids don't fit, or a piece goes on behind a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes))
-        self.memory: dict[str, tuple[bytes, bytes]] = {}
-
-    def encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of each unit, which begins with a space, as int32; CHANGED if their bytes aren't the unit's."""
-        a = [np.array(x.ids, np.int32).tobytes() for x in self.a.encode_batch(units, add_special_tokens=False)]
-        b = [np.array(x, np.int32).tobytes() for x in self.b.encode([u[1:] for u in units], num_threads=1)]  # B adds the space
-        return [ids if self.same(u, ids) else CHANGED for u, ids in zip(units, zip(a, b, strict=True), strict=True)]
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all units and groups, which changes no result."""
+        self.memory: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.number: dict[bytes | int, int] = {}
+        self.groups: list[tuple[bytes, bytes]] = []
+        self.held = 0
+
+    def forget(self) -> None:
+        """Where too much is held, all but the units that came in more slices than one since the last time, if these are few."""
+        if self.held > GROUP_BYTES or len(self.again) > MEMORY // 2:
+            self.clear()
+        elif len(self.memory) > MEMORY:
+            self.memory, self.again = {u: self.memory[u] for u in self.again}, set()
+
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Of each side the ids of the units, one behind the other, and their number by unit; which units both sides give
+        back byte by byte. A unit stands behind a space; ids of units that aren't given back are left out."""
+        behind = [" " + u for u in units]
+        coded = ([x.ids for x in self.a.encode_batch_fast(behind, add_special_tokens=False)], self.b.encode(units, num_threads=1))  # B adds the space
+        whole = [u.encode() for u in behind]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        good, ids, own = np.ones(len(units), bool), [], []
+        for lists, bytes_of in zip(coded, (self.a_sizes, self.b_sizes), strict=True):
+            own.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(own[-1].sum())))
+            total = np.concatenate(([0], np.cumsum(bytes_of[ids[-1]], dtype=np.int64)))[np.concatenate(([0], np.cumsum(own[-1])))]
+            good &= np.diff(total) == sizes
+        for lists, names in zip(coded, (self.a_bytes, self.b_bytes), strict=True):
+            # Of the right sizes; nearly always all are right.
+            left = np.flatnonzero(good).tolist()
+            if b"".join(map(names.__getitem__, chain.from_iterable([lists[k] for k in left]))) != b"".join([whole[k] for k in left]):
+                good[[k for k in left if b"".join(map(names.__getitem__, lists[k])) != whole[k]]] = False
+        return [x[np.repeat(good, n)] for x, n in zip(ids, own, strict=True)], [n[good] for n in own], good
+
+    def numbered(self, key: bytes | int, a: bytes, b: bytes) -> int:
+        """The number of a group."""
+        if (n := self.number.get(key)) is None:
+            n = self.number[key] = len(self.groups)
+            self.groups.append((a, b))
+            self.held += 2 * (len(a) + len(b)) + 200
+        return n
+
+    def align(self, units: list[str]) -> tuple[list[bytes], list[str]]:
+        """The numbers of each unit's groups as int32; the units that a side doesn't give back."""
+        (a, b), (n_a, _), good = self.encode(units)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a], dtype=np.int64), np.cumsum(self.b_sizes[b], dtype=np.int64)
+        ends = np.zeros((2, int(a_ends[-1]) + 1 if len(a) else 1), bool)
+        ends[0, a_ends] = ends[1, b_ends] = True
+        a_stops, b_stops = (np.concatenate(([0], np.flatnonzero(ends[other, own]) + 1)) for own, other in ((a_ends, 1), (b_ends, 0)))
+        found = np.empty(len(a_stops) - 1, np.int32)
+        single = (np.diff(a_stops) == 1) & (np.diff(b_stops) == 1)
+        pairs, back = np.unique(a[a_stops[1:][single] - 1] * np.int64(B_IDS) + b[b_stops[1:][single] - 1], return_inverse=True)
+        found[single] = np.array([self.numbered(p, *(np.int32(x).tobytes() for x in divmod(p, B_IDS))) for p in pairs.tolist()], np.int32)[back]
+        a_raw, b_raw, a_at, b_at = a.tobytes(), b.tobytes(), (4 * a_stops).tolist(), (4 * b_stops).tolist()
+        for k in np.flatnonzero(~single).tolist():
+            x, y = a_raw[a_at[k] : a_at[k + 1]], b_raw[b_at[k] : b_at[k + 1]]
+            found[k] = self.numbered(b"%d|%b%b" % (len(x), x, y), x, y)
+        # Both sides end at a unit's end.
+        stops = np.zeros(len(units) + 1, np.int64)
+        stops[1:][good] = np.searchsorted(a_stops, np.cumsum(n_a))
+        stops = (4 * np.maximum.accumulate(stops)).tolist()
+        raw = found.tobytes()
+        return [raw[x:y] for x, y in zip(stops, stops[1:])], [units[k] for k in np.flatnonzero(~good).tolist()]  # noqa: B905
+
+    def aligned(self, texts: list[str]) -> list[bytes]:
+        """The numbers of each text's groups as int32; none if it is empty or a side's bytes aren't those of one of its units."""
+        self.forget()
+        split, memory, bad = [split_units(t) for t in texts], self.memory, []
+        seen = set(chain.from_iterable(split))
+        new = list(seen.difference(memory))
+        self.again.update(seen.difference(new))
+        for k in range(0, len(new), AT_ONCE):
+            numbers, changed = self.align(new[k : k + AT_ONCE])
+            memory.update(zip(new[k : k + AT_ONCE], numbers, strict=True))
+            bad += changed
+        out = [b"" if bad and not set(bad).isdisjoint(own) else b"".join(map(memory.__getitem__, own)) for own in split]
+        for u in {*bad, *(u for u in new if len(u) > LONGEST)}:
+            del memory[u]
+        return out
 
     def units(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
-        """The distinct units of some texts as ids of both sides, and each text's unit numbers.
-
-        Each text stands behind a space. A text has no units if it is empty or a side's
-        bytes aren't those of one of its units.
-        """
-        split = [UNIT_ENDS.split(" " + t) if t else [] for t in texts]
-        number = dict(zip(dict.fromkeys(chain.from_iterable(split)), count(), strict=False))
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        memory = self.memory
-        new = [u for u in number if u not in memory]
-        known = dict(zip(new, self.encode(new), strict=True))
-        memory.update((u, ids) for u, ids in known.items() if len(u) <= LONGEST)
-        found = [memory.get(u) or known[u] for u in number]
-        bad = {k for k, (u, ids) in enumerate(zip(number, found, strict=True)) if ids is CHANGED}
-        numbers = [list(map(number.__getitem__, own)) for own in split]
-        return found, [[] if bad and not bad.isdisjoint(own) else own for own in numbers]
-
-    def same(self, unit: str, ids: tuple[bytes, bytes]) -> bool:
-        return all(b"".join(map(side.__getitem__, np.frombuffer(x, np.int32).tolist())) == unit.encode() for side, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
+        """The ids of both sides of the distinct groups of some texts, as int32, and each text's group numbers."""
+        numbers = [np.frombuffer(x, np.int32).tolist() for x in self.aligned(texts)]
+        return self.groups, numbers
+
+
+def split_units(text: str) -> list[str]:
+    """The units of a space and the text, each without the space that it begins with."""
+    parts = text.split(" ")
+    if "" in parts or list(map(str.strip, parts)) != parts:
+        return [u[1:] for u in UNIT_ENDS.split(" " + text)] if text else []
+    return parts
 
 
 @lru_cache(maxsize=2)
@@ -109,30 +175,32 @@ def sides(byte_path: str, piece_path: str) -> Sides:
 
 
 def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of many texts each: a, a_ends, b, b_ends are the ids of the texts' distinct units, one behind the other, and
-    the byte offsets of their ends; unit_ends those of the units. docs: (key, n_a, n_b, units), the numbers of a text's units."""
+    """Rows of many texts each: a and b are the ids of the texts' distinct groups, one behind the other, a_stops and b_stops
+    where they stop, 0 first. docs: (key, n_a, n_b, groups), the numbers of a text's groups."""
     kind = docs.schema[key].dataType
-    schema = f"a array<int>, a_ends array<int>, b array<int>, b_ends array<int>, unit_ends array<int>, docs array<struct<key:{kind.simpleString()},n_a:bigint,n_b:bigint,units:array<int>>>"
+    schema = f"a array<int>, a_stops array<int>, b array<int>, b_stops array<int>, docs array<struct<key:{kind.simpleString()},n_a:bigint,n_b:bigint,groups:array<int>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(byte_path, piece_path)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int32()))
         for whole in batches:
             for batch in slices(whole, 1, most=SLICE, rows=10_000):
-                found, numbers = both.units([t or "" for t in batch.column(1).to_pylist()])
-                stops = np.concatenate(([0], np.cumsum([len(own) for own in numbers]))).astype(np.int32)
-                at = np.fromiter(chain.from_iterable(numbers), np.int32, int(stops[-1]))
-                columns, sizes, ends = [], [], np.zeros(0, np.int32)
-                for side, bytes_of in ((0, both.a_sizes), (1, both.b_sizes)):
-                    ids = np.frombuffer(b"".join([x[side] for x in found]), np.int32)
-                    own = np.array([len(x[side]) // 4 for x in found], np.int64)
-                    summed = np.cumsum(bytes_of[ids], dtype=np.int32)
-                    columns += [one(ids), one(summed)]
-                    total = np.concatenate(([0], np.cumsum(own[at])))
-                    sizes.append(pa.array(np.diff(total[stops]), pa.int64()))
-                    ends = summed[np.cumsum(own) - 1] if len(ids) else ends
-                kept = pa.StructArray.from_arrays([batch.column(0), *sizes, pa.ListArray.from_arrays(stops, at)], ["key", "n_a", "n_b", "units"])
-                yield pa.RecordBatch.from_arrays([*columns, one(ends), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)], ["a", "a_ends", "b", "b_ends", "unit_ends", "docs"])
+                found = both.aligned([t or "" for t in batch.column(1).to_pylist()])
+                stops = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+                numbers = np.frombuffer(b"".join(found), np.int32)
+                held = np.zeros(len(both.groups), bool)
+                held[numbers] = True
+                own = np.flatnonzero(held)
+                at = (np.cumsum(held, dtype=np.int32) - np.int32(1))[numbers]
+                groups = [both.groups[k] for k in own.tolist()]
+                columns, sizes = [], []
+                for side in (0, 1):
+                    parts = [x[side] for x in groups]
+                    n = np.array([len(x) // 4 for x in parts], np.int64)
+                    columns += [one(np.frombuffer(b"".join(parts), np.int32)), one(np.concatenate(([0], np.cumsum(n))).astype(np.int32))]
+                    sizes.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(n[at])))[stops]), pa.int64()))
+                kept = pa.StructArray.from_arrays([batch.column(0), *sizes, pa.ListArray.from_arrays(stops, at)], ["key", "n_a", "n_b", "groups"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)], ["a", "a_stops", "b", "b_stops", "docs"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -140,12 +208,6 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text
 PAIRS = "array<struct<pair:int,n:bigint>>"
 
 
-def stops(ends: str, cuts: str, between: str) -> Column:
-    """0, then for each cut how many ends are not behind it. between: the ends and the cuts sorted, where each cut stands next to its equal."""
-    found = F.filter(F.sequence(F.lit(1), F.size(between) - 1), lambda i: F.get(between, i) == F.get(between, i - 1))
-    return F.when(F.size(cuts) > 0, F.concat(F.array(F.lit(0)), F.transform(found, lambda i, k: i - k))).otherwise(F.array(F.lit(0)))
-
-
 def pair(a: Column, b: Column) -> Column:
     return a * F.lit(B_IDS) + b
 
@@ -209,36 +271,29 @@ def group_more(k: Column) -> Column:
 def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`, empty without tokens), pairs and more.
 
-    Both sides end at a unit's end, so groups lie inside units: those of distinct units
-    are built once, and a text's are its units' one behind the other. pairs are the
-    linked ids, A's times B_IDS plus B's, sorted, one for each link but for those that
-    more (pair, n) tells. A row per row, repeated ones included. Null and empty texts,
-    and texts that a side doesn't give back byte by byte, have no tokens.
+    Text and links of the distinct groups of about SLICE bytes of texts are made once, and
+    a text's are its groups' one behind the other. pairs are the linked ids, A's times
+    B_IDS plus B's, sorted, one for each link but for those that more (pair, n) tells. A
+    row per row, repeated ones included. Null and empty texts, and texts that a side
+    doesn't give back byte by byte, have no tokens.
 
     Each step is a projection of its own, so that what it makes lies in plain arrays for
     the next one, which looks single values up.
     """
-    coded = tokenise(docs, byte_path, piece_path, text, key).withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    between = lambda *ends: F.sort_array(F.concat(*ends))
-    placed = coded.select("a", "b", "docs", "a_ends", "b_ends", "unit_ends", "cuts", between("a_ends", "cuts").alias("by_a"), between("b_ends", "cuts").alias("by_b"), between("cuts", "unit_ends").alias("by_unit"))
-    cut = placed.select("a", "b", "docs", stops("a_ends", "cuts", "by_a").alias("a_stops"), stops("b_ends", "cuts", "by_b").alias("b_stops"), stops("cuts", "unit_ends", "by_unit").alias("unit_stops"))
-    cut = cut.select("*", F.zip_with("a_stops", "b_stops", lambda x, y: x + y).alias("both_stops"))
-    # Groups, then units, then texts; more is empty but for rows that have a very large group.
+    cut = tokenise(docs, byte_path, piece_path, text, key).select("*", F.zip_with("a_stops", "b_stops", lambda x, y: x + y).alias("both_stops"))
+    # more is null but for rows that have a very large group.
     any_large = F.exists(numbers("a_stops"), large)
     each = lambda of: F.transform(numbers("a_stops"), of)
-    grouped = cut.select("docs", "unit_stops", each(group_text).alias("texts"), each(group_pairs).alias("pairs"), F.when(any_large, each(group_more)).alias("more"))
-    of_unit = lambda values: F.transform(numbers("unit_stops"), lambda u: run_of(values, "unit_stops", u))
-    units = grouped.select(
-        "docs", "unit_stops", F.transform(numbers("unit_stops"), lambda u: F.array_join(run_of("texts", "unit_stops", u), ";")).alias("texts"),
-        F.transform(of_unit("pairs"), F.flatten).alias("pairs"), F.when(F.col("more").isNotNull(), F.transform(of_unit("more"), F.flatten)).alias("more"),
-    )
-    all_of = lambda d, values: F.transform(d["units"], lambda u: F.get(values, u))
-    n_groups = lambda d: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get("unit_stops", u + 1) - F.get("unit_stops", u))
+    grouped = cut.select("docs", each(group_text).alias("texts"), each(group_pairs).alias("pairs"), F.when(any_large, each(group_more)).alias("more"))
+    all_of = lambda d, values: F.transform(d["groups"], lambda g: F.get(values, g))
     more = lambda d: F.when(F.col("more").isNotNull(), F.flatten(all_of(d, "more"))).otherwise(F.array().cast(PAIRS))
-    own = F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups(d).alias("n_groups"), all_of(d, "texts").alias("texts"), all_of(d, "pairs").alias("pairs"), more(d).alias("more")))
-    rows = units.select(F.inline(own)).select("key", "n_a", "n_b", "n_groups", "texts", F.flatten("pairs").alias("pairs"), "more")
+    own = lambda d: F.struct(
+        d["key"].alias("key"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.size(d["groups"]).cast("long").alias("n_groups"),
+        F.array_join(all_of(d, "texts"), ";").alias("groups"), F.flatten(all_of(d, "pairs")).alias("pairs"), more(d).alias("more"),
+    )
+    rows = grouped.select(F.inline(F.transform("docs", own)))
     n_links = F.size("pairs").cast("long") + F.aggregate("more", F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    return rows.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", n_links.alias("n_links"), F.array_join("texts", ";").alias("groups"), F.sort_array("pairs").alias("pairs"), "more")
+    return rows.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups", F.sort_array("pairs").alias("pairs"), "more")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -274,16 +329,16 @@ def best_links(aligned: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROW
     counts = materialise(pair_counts(aligned), "pair-best")
     least = frequent_from(counts, broadcast_rows)
     own = [c for c in aligned.columns if c not in ("pairs", "more")]
-    further = aligned.where(F.size("more") > 0).select(*own, F.inline("more"))
-    links = aligned.select(*own, F.explode_outer("pairs").alias("pair")).withColumn("n", F.lit(1).cast("long")).unionByName(further)
+    further = aligned.where(F.size("more") > 0).select("row", F.inline("more"))
+    links = aligned.select("row", F.explode("pairs").alias("pair")).withColumn("n", F.lit(1).cast("long")).unionByName(further)
     sums = [F.sum(F.when(F.col("best"), F.col("n"))).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum")]
     near = links.join(F.broadcast(counts.where(F.col("count") >= least)), "pair", "left")
     # A row's links stand together, so they are added up before anything is shuffled.
-    found = near.groupBy(*own).agg(*sums)
-    rest = near.where(F.col("pair").isNotNull() & F.col("count").isNull()).select("row", "pair", "n").join(counts.where(F.col("count") < least), "pair")
+    found = near.groupBy("row").agg(*sums)
+    rest = near.where(F.col("count").isNull()).select("row", "pair", "n").join(counts.where(F.col("count") < least), "pair")
     more = rest.groupBy("row").agg(*[s.alias(f"more_{n}") for s, n in zip(sums, ("n_best", "count_sum"), strict=True)])
     total = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"more_{c}", F.lit(0))).cast("long").alias(c)
-    return found.join(more, "row", "left").select(*own, total("n_best"), total("count_sum"))
+    return aligned.select(*own).join(found, "row", "left").join(more, "row", "left").select(*own, total("n_best"), total("count_sum"))
 
 
 def digests(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -95,3 +95,28 @@ def test_edges_of_the_input(spark):
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
     assert alignment.digests(docs.limit(0), *PATHS).count() == 0
+
+
+def test_distinct_groups_are_sent_once(spark):
+    """Texts of thousands of different units made of few groups: Spark builds links and texts of these few."""
+    rng = random.Random(1)
+    made = [" ".join("".join(rng.choices(["tion", "er", "ing", "ber", "qu"], k=rng.randint(1, 7))) for _ in range(500)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(1)
+    rows = alignment.tokenise(docs, *PATHS).collect()
+    groups = [(tuple(r.a[i:j]), tuple(r.b[k:m])) for r in rows for i, j, k, m in zip(r.a_stops, r.a_stops[1:], r.b_stops, r.b_stops[1:], strict=False)]
+    n_units = len(set(" ".join(made).split()))
+    assert len(rows) == 1 and len(groups) == len(set(groups)) < n_units / 4
+    assert {d.key: (d.n_a, d.n_b) for d in rows[0].docs} == {k: tuple(map(len, plain_tokens(t))) for k, t in enumerate(made)}
+
+
+@pytest.mark.parametrize(("memory", "group_bytes"), [(3, 64 << 20), (40, 64 << 20), (400_000, 0)])
+def test_forgetting_changes_no_group(monkeypatch, memory, group_bytes):
+    for name, value in (("MEMORY", memory), ("GROUP_BYTES", group_bytes), ("AT_ONCE", 2), ("LONGEST", 5)):
+        monkeypatch.setattr(alignment, name, value)
+    both, rng = alignment.Sides(*PATHS), random.Random(memory)
+    words = ["the", "cat", "Zwölf", "zzzz", "résumé\n", "北京", "12345678", "don't", "\x00", "\tx", ""]
+    for _ in range(20):
+        texts = [t or "" for t in [*rng.sample(ODD, 3), *(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(5))]]
+        found, numbers = both.units(texts)
+        got = [tuple([i for n in own for i in np.frombuffer(found[n][side], np.int32).tolist()] for side in (0, 1)) for own in numbers]
+        assert got == [tuple([i for i, _ in side] for side in plain_tokens(t)) for t in texts]
