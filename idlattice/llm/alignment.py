@@ -176,9 +176,9 @@ def sides(byte_path: str, piece_path: str) -> Sides:
 
 def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of many texts each: a and b are the ids of the texts' distinct groups, one behind the other, a_stops and b_stops
-    where they stop, 0 first. docs: (key, n_a, n_b, groups), the numbers of a text's groups."""
+    where they stop, 0 first. docs: (key, n_a, n_b, groups, held), the numbers of a text's groups and the distinct ones with how often."""
     kind = docs.schema[key].dataType
-    schema = f"a array<int>, a_stops array<int>, b array<int>, b_stops array<int>, docs array<struct<key:{kind.simpleString()},n_a:bigint,n_b:bigint,groups:array<int>>>"
+    schema = f"a array<int>, a_stops array<int>, b array<int>, b_stops array<int>, docs array<struct<key:{kind.simpleString()},n_a:bigint,n_b:bigint,groups:array<int>,held:array<struct<group:int,n:int>>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(byte_path, piece_path)
@@ -199,15 +199,16 @@ def tokenise(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text
                     n = np.array([len(x) // 4 for x in parts], np.int64)
                     columns += [one(np.frombuffer(b"".join(parts), np.int32)), one(np.concatenate(([0], np.cumsum(n))).astype(np.int32))]
                     sizes.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(n[at])))[stops]), pa.int64()))
-                kept = pa.StructArray.from_arrays([batch.column(0), *sizes, pa.ListArray.from_arrays(stops, at)], ["key", "n_a", "n_b", "groups"])
+                each, n = np.unique(np.repeat(np.arange(len(found)), np.diff(stops)) * max(1, len(own)) + at, return_counts=True)
+                of, group = np.divmod(each, max(1, len(own)))
+                often = pa.StructArray.from_arrays([pa.array(group, pa.int32()), pa.array(n, pa.int32())], ["group", "n"])
+                often = pa.ListArray.from_arrays(np.searchsorted(of, np.arange(len(found) + 1)).astype(np.int32), often)
+                kept = pa.StructArray.from_arrays([batch.column(0), *sizes, pa.ListArray.from_arrays(stops, at), often], ["key", "n_a", "n_b", "groups", "held"])
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)], ["a", "a_stops", "b", "b_stops", "docs"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-PAIRS = "array<struct<pair:int,n:bigint>>"
-
-
 def pair(a: Column, b: Column) -> Column:
     return a * F.lit(B_IDS) + b
 
@@ -255,45 +256,41 @@ def group_text(k: Column) -> Column:
     return F.when(single(k), F.concat_ws("|", x, y)).otherwise(F.concat_ws("|", side("a", "a_stops"), side("b", "b_stops")))
 
 
-def group_pairs(k: Column) -> Column:
-    """The linked ids; of a group of very many links the distinct ones."""
-    distinct = with_ids(k, lambda x, y: let(F.array_distinct(y), lambda z: F.flatten(F.transform(F.array_distinct(x), lambda i: F.transform(z, lambda j: pair(i, j))))))
-    all_pairs = F.flatten(F.transform(places("a_stops", k), lambda i: F.transform(places("b_stops", k), lambda j: pair(F.get("a", i), F.get("b", j)))))
-    return F.when(single(k), F.array(pair(*lasts(k)))).when(large(k), distinct).otherwise(all_pairs)
+def link(a: Column, b: Column, n: Column) -> Column:
+    return F.struct(pair(a, b).alias("pair"), n.cast("long").alias("n"))
 
 
-def group_more(k: Column) -> Column:
-    """How many times more the distinct pairs of a group of very many links are linked."""
-    weighed = lambda x, y: F.flatten(F.transform(counted(x), lambda i: F.transform(counted(y), lambda j: F.struct(pair(i["id"], j["id"]).alias("pair"), (i["n"] * j["n"] - 1).alias("n")))))
-    return F.when(large(k), F.filter(with_ids(k, weighed), lambda z: z["n"] > 0)).otherwise(F.array().cast(PAIRS))
+def group_links(k: Column) -> Column:
+    """(pair, n) of the linked ids; of a group of very many links each pair is there once."""
+    one = F.lit(1)
+    weighed = with_ids(k, lambda x, y: let(counted(y), lambda z: F.flatten(F.transform(counted(x), lambda i: F.transform(z, lambda j: link(i["id"], j["id"], i["n"] * j["n"]))))))
+    all_pairs = F.flatten(F.transform(places("a_stops", k), lambda i: F.transform(places("b_stops", k), lambda j: link(F.get("a", i), F.get("b", j), one))))
+    return F.when(single(k), F.array(link(*lasts(k), one))).when(large(k), weighed).otherwise(all_pairs)
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`, empty without tokens), pairs and more.
+    """key, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`, empty without tokens) and links.
 
-    Text and links of the distinct groups of about SLICE bytes of texts are made once, and
-    a text's are its groups' one behind the other. pairs are the linked ids, A's times
-    B_IDS plus B's, sorted, one for each link but for those that more (pair, n) tells. A
-    row per row, repeated ones included. Null and empty texts, and texts that a side
-    doesn't give back byte by byte, have no tokens.
+    Text and links of the distinct groups of about SLICE bytes of texts are made once; a
+    text's text is its groups' one behind the other. links are (pair, n), for each distinct
+    group of the text its pairs (A's id times B_IDS plus B's) and how often they are linked
+    by it. A row per row, repeated ones included. Null and empty texts, and texts that a
+    side doesn't give back byte by byte, have no tokens.
 
     Each step is a projection of its own, so that what it makes lies in plain arrays for
     the next one, which looks single values up.
     """
     cut = tokenise(docs, byte_path, piece_path, text, key).select("*", F.zip_with("a_stops", "b_stops", lambda x, y: x + y).alias("both_stops"))
-    # more is null but for rows that have a very large group.
-    any_large = F.exists(numbers("a_stops"), large)
     each = lambda of: F.transform(numbers("a_stops"), of)
-    grouped = cut.select("docs", each(group_text).alias("texts"), each(group_pairs).alias("pairs"), F.when(any_large, each(group_more)).alias("more"))
-    all_of = lambda d, values: F.transform(d["groups"], lambda g: F.get(values, g))
-    more = lambda d: F.when(F.col("more").isNotNull(), F.flatten(all_of(d, "more"))).otherwise(F.array().cast(PAIRS))
+    grouped = cut.select("docs", each(group_text).alias("texts"), each(group_links).alias("links"))
+    times = lambda h: F.transform(F.get("links", h["group"]), lambda x: F.struct(x["pair"].alias("pair"), (x["n"] * h["n"]).alias("n")))
     own = lambda d: F.struct(
         d["key"].alias("key"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.size(d["groups"]).cast("long").alias("n_groups"),
-        F.array_join(all_of(d, "texts"), ";").alias("groups"), F.flatten(all_of(d, "pairs")).alias("pairs"), more(d).alias("more"),
+        F.array_join(F.transform(d["groups"], lambda g: F.get("texts", g)), ";").alias("groups"), F.flatten(F.transform(d["held"], times)).alias("links"),
     )
     rows = grouped.select(F.inline(F.transform("docs", own)))
-    n_links = F.size("pairs").cast("long") + F.aggregate("more", F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    return rows.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups", F.sort_array("pairs").alias("pairs"), "more")
+    n_links = F.aggregate("links", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return rows.select(F.col("key").alias(key), "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups", "links")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -301,7 +298,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
     The best of an id is one row for each id of A's vocabulary, which bounds the broadcast.
     """
-    counts = materialise(aligned.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count")), "pair-counts")
+    counts = materialise(aligned.select(F.explode(F.array_distinct("links.pair")).alias("pair")).groupBy("pair").agg(F.count("*").alias("count")), "pair-counts")
     own = F.floor(F.col("pair") / B_IDS).cast("int")
     most = counts.groupBy(own.alias("a")).agg(F.max("count").alias("most"))
     return counts.withColumn("a", own).join(F.broadcast(most), "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -320,7 +317,7 @@ def frequent_from(counts: DataFrame, most_rows: int) -> int:
 
 
 def best_links(aligned: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """aligned without pairs and more, with n_best and count_sum over each row's links.
+    """aligned without links, with n_best and count_sum over each row's links.
 
     aligned has a column row that tells rows apart. Pairs are joined where the row is,
     by a broadcast of the frequent ones, and only links of other pairs are shuffled;
@@ -328,9 +325,8 @@ def best_links(aligned: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROW
     """
     counts = materialise(pair_counts(aligned), "pair-best")
     least = frequent_from(counts, broadcast_rows)
-    own = [c for c in aligned.columns if c not in ("pairs", "more")]
-    further = aligned.where(F.size("more") > 0).select("row", F.inline("more"))
-    links = aligned.select("row", F.explode("pairs").alias("pair")).withColumn("n", F.lit(1).cast("long")).unionByName(further)
+    own = [c for c in aligned.columns if c != "links"]
+    links = aligned.select("row", F.inline("links"))
     sums = [F.sum(F.when(F.col("best"), F.col("n"))).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum")]
     near = links.join(F.broadcast(counts.where(F.col("count") >= least)), "pair", "left")
     # A row's links stand together, so they are added up before anything is shuffled.
