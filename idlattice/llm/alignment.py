@@ -142,16 +142,16 @@ class Sides:
     def aligned(self, texts: list[str]) -> list[bytes]:
         """The numbers of each text's groups as int32; none if it is empty or a side's bytes aren't those of one of its units."""
         self.forget()
-        split, memory, bad = [split_units(t) for t in texts], self.memory, []
+        split, memory, bad = [split_units(t) for t in texts], self.memory, set()
         seen = set(chain.from_iterable(split))
         new = list(seen.difference(memory))
         self.again.update(seen.difference(new))
         for k in range(0, len(new), AT_ONCE):
             numbers, changed = self.align(new[k : k + AT_ONCE])
             memory.update(zip(new[k : k + AT_ONCE], numbers, strict=True))
-            bad += changed
-        out = [b"" if bad and not set(bad).isdisjoint(own) else b"".join(map(memory.__getitem__, own)) for own in split]
-        for u in {*bad, *(u for u in new if len(u) > LONGEST)}:
+            bad.update(changed)
+        out = [b"" if bad and not bad.isdisjoint(own) else b"".join(map(memory.__getitem__, own)) for own in split]
+        for u in bad.union(u for u in new if len(u) > LONGEST):
             del memory[u]
         return out
 
